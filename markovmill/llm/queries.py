@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import find_contamination
 from .encoding import tokenizer_path
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
@@ -42,12 +43,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": SHARDING_SQL}
+    return {"op5_sharding": SHARDING_SQL, "op9_decontamination": CONTAMINATION_SQL}
 
 
 SHARDING_SQL = """
@@ -78,3 +83,22 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS
        grown_shard::INT AS grown_shard
 FROM parted
 """
+
+CONTAMINATION_SQL = """
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}\\p{M}_]+') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}\\p{M}_]+') FROM benchmark
+), cut AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
+  FROM texts
+), sizes AS (
+  SELECT id AS item_id, count(*) AS n_item_shingles FROM cut WHERE kind = 'i' GROUP BY id
+), pairs AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM cut d JOIN cut i USING (shingle)
+  WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY ALL
+)
+SELECT doc_id, item_id, n_item_shingles, n_shared, n_shared / n_item_shingles AS containment
+FROM pairs JOIN sizes USING (item_id) WHERE n_shared >= 0.8 * n_item_shingles
+"""
