@@ -79,12 +79,19 @@ def encode_all(tokenizer, texts: list[str], chunk: int, overlap: int) -> list[li
     return [chunked_ids(tokenizer, texts[i], chunk, overlap) if x is None else x for i, x in enumerate(out)]
 
 
-def encode_counts(tokenizer, texts: list[str], chunk: int, overlap: int) -> list[int]:
-    """How many ids each text has."""
-    short = [i for i, t in enumerate(texts) if len(t) <= chunk + overlap]
+def encode_counts(tokenizer, texts: list[str], chunk: int, overlap: int, quick=None) -> list[int]:
+    """How many ids each text has. quick: from load_fast(), for short texts of COMMON characters."""
     out = [-1] * len(texts)
-    for at in range(0, len(short), 64):
-        part = short[at : at + 64]
+    rest = []
+    for i, t in enumerate(texts):
+        if len(t) > chunk + overlap:
+            out[i] = len(chunked_ids(tokenizer, t, chunk, overlap))
+        elif quick is not None and COMMON.fullmatch(t):
+            out[i] = len(quick.encode(t, allowed_special="all", disallowed_special=()))
+        else:
+            rest.append(i)
+    for at in range(0, len(rest), 64):
+        part = rest[at : at + 64]
         for i, e in zip(part, tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)):
             out[i] = len(e)
-    return [len(chunked_ids(tokenizer, texts[i], chunk, overlap)) if x < 0 else x for i, x in enumerate(out)]
+    return out
