@@ -186,3 +186,12 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def held_out(ident: Column, parts: int, rest: int) -> Column:
     return F.pmod(F.crc32(ident.cast("string").cast("binary")), F.lit(parts)) == rest
+
+
+#: Rows of a few numbers each that a join sends to every executor at most: about 40 MB there as a hash table.
+BROADCAST_ROWS = 500_000
+
+
+def sent_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows; beyond that the join deals both sides out by key. df should be cut()."""
+    return F.broadcast(df) if df.count() <= most else df
