@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import find_contamination
 from .encoding import tokenizer_path
 from .line_dedup import dedup_lines
+from .ngram_join import ngram_join
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .sharding import assign_shards
@@ -48,6 +49,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
