@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontamination import find_contamination
+from .embedding_dedup import near_duplicates
 from .encoding import tokenizer_path
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_join
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
+from .revisits import page_records, resolve_revisits
 from .sharding import assign_shards
 from .tokens import token_counts
 from .toxicity import fit_toxicity, score_toxicity
@@ -23,6 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), near=0.9)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024, ranks=tokenizer_path("byte_bpe_50k.tiktoken"))
 
@@ -57,12 +64,20 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(page_records(_table(spark, sf_dir, "pages")))
+    h = F.col("headers")
+    columns = [(-1 - F.col("record_id")).alias("page_id"), "canonical_url", "outcome", F.col("resolved_id").alias("resolved_page_id")]
+    fields = [F.coalesce(h[name], h[title]).alias(name.replace("-", "_")) for name, title in (("etag", "ETag"), ("date", "Date"), ("content-length", "Content-Length"), ("content-type", "Content-Type"), ("cache-control", "Cache-Control"))]
+    return found.select(*columns, *fields)
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": SHARDING_SQL, "op9_decontamination": CONTAMINATION_SQL}
+    return {"op5_sharding": SHARDING_SQL, "op9_decontamination": CONTAMINATION_SQL, "op10_warc_revisits": REVISITS_SQL}
 
 
 SHARDING_SQL = """
@@ -112,3 +127,28 @@ WITH texts AS (
 SELECT doc_id, item_id, n_item_shingles, n_shared, n_shared / n_item_shingles AS containment
 FROM pairs JOIN sizes USING (item_id) WHERE n_shared >= 0.8 * n_item_shingles
 """
+
+REVISITS_SQL = r"""
+WITH bare AS (
+  SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u, md5(coalesce(html, '')) AS tag, strlen(coalesce(html, '')) AS size FROM pages
+), parts AS (
+  SELECT *, regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?:@]*)', 1)), '^(www[0-9]*|m)\.', '') AS host,
+    regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?[^/?:@]*(:[0-9]+)', 1) AS port,
+    regexp_replace(regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '(/index)?\.html?$', ''), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|ref|fbclid|gclid|sessionid|sid|phpsessid|jsessionid)(=|$)'))), '&') AS query
+  FROM bare
+), named AS (
+  SELECT page_id, tag, size, CASE WHEN host <> '' THEN host || CASE WHEN port IN (':80', ':443') THEN '' ELSE port END || path
+    || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical_url
+  FROM parts
+), latest AS (
+  SELECT canonical_url, max(page_id) AS last_id, arg_max(tag, page_id) AS last_tag, arg_max(size, page_id) AS last_size
+  FROM named WHERE canonical_url IS NOT NULL GROUP BY 1
+)
+SELECT page_id, canonical_url,
+  CASE WHEN canonical_url IS NULL THEN 'no_url' WHEN last_tag = tag THEN 'resolved' ELSE 'changed' END AS outcome, last_id AS resolved_page_id,
+  '"' || tag || '"' AS etag, 'visit ' || page_id AS date, CASE WHEN last_tag = tag THEN last_size::VARCHAR ELSE '0' END AS content_length,
+  CASE WHEN last_tag = tag THEN 'text/html' END AS content_type, 'max-age=60' AS cache_control
+FROM named LEFT JOIN latest USING (canonical_url)
+"""
