@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import cut, map_rows, sent_if_small
 from .shingles import WordHashes, hash_rows, shingles, word_hashes
 
 #: Hash functions; a window is a candidate where one of them has the item's least value (bands of one row).
@@ -138,6 +138,7 @@ def _searcher(held: list[tuple[int, np.ndarray]], least: float, hashes: int):
     return make
 
 
-def contaminated(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents without any that are found to hold an item."""
-    return docs.join(found.select(key).distinct(), key, "left_anti").select(docs.columns)
+def without_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """docs without those that hold an item, all columns as they are; rows with a null id stay."""
+    ids = cut(find_contamination(docs, items, key=key, **options).select(key).distinct())
+    return docs.join(sent_if_small(ids), key, "left_anti").select(docs.columns)

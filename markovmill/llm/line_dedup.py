@@ -137,10 +137,16 @@ def dedup_lines(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text
     return marked.withColumn("new_", _rewrite(run)(F.col(text), F.col("runs"))).select(*[_new(c, text, F.col(c)) for c in old.columns], F.col("new_.n_lines").alias("n_lines"), F.col("new_.n_removed").alias("n_removed"))
 
 
+def without_repeats(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with later copies of runs deleted; documents of which nothing is left go. Columns as they are, but for text and n_chars."""
+    out = dedup_lines(docs, run, key, text)
+    return out.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace(text, r"\s+", " ")) != "")).select(docs.columns)
+
+
 def _new(name: str, text: str, column: Column) -> Column:
     if name == text:
         return F.col("new_.text").alias(name)
-    return F.when(F.col("new_.n_removed") > 0, F.length("new_.text")).otherwise(column).cast("long").alias(name) if name == "n_chars" else column
+    return F.when(F.col("new_.n_removed") > 0, F.length("new_.text")).otherwise(column).cast("long").alias(name) if name == "n_chars" else column.alias(name)
 
 
 def _rewrite(run: int):

@@ -209,3 +209,9 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", tex
     out = signed.select("doc", "set_key").join(sent_if_small(facts, 200_000), "set_key", "left")
     class_id = F.coalesce("component", "rep", "doc")
     return out.select(F.col("doc").alias(key), class_id.alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("mult", F.lit(1)) - 1).cast("long").alias("n_links"), F.coalesce(F.col("doc") == class_id, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one document (the least id) of each class of ngram_join(), all columns as they are."""
+    gone = cut(ngram_join(docs, threshold, key, text, **options).where("not kept").select(key).distinct())
+    return docs.join(sent_if_small(gone), key, "left_anti").select(docs.columns)

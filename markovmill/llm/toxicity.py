@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -199,3 +201,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, parts: int = 5, rest:
     kind = rows.schema["key_"].dataType.simpleString().replace("bigint", "long")
     out = map_rows(rows, make, f"key_ {kind}, score double, predicted int, n_segments long, segment_start long, segment_end long")
     return out.select(F.col("key_").alias(key), F.coalesce(held_out(F.col("key_"), parts, rest), F.lit(False)).alias("held_out"), "score", "predicted", "n_segments", "segment_start", "segment_end")
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """docs without rows of score >= threshold, all columns as they are. Null and empty texts as in score_toxicity()."""
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = scorer(model)
+        for texts in parts:
+            z = np.array([model.a + model.b * min(one(t or "")[0], 60.0) for t in texts], dtype=float)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+
+    return docs.where(score(F.col(text)) < threshold)
