@@ -42,9 +42,10 @@ def split_lines(text: str) -> list[tuple[int, int]]:
 
 
 def line_hashes(text: str, lines: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    bodies = [text[a:b].split() for a, b in lines]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(" ".join(b)) for b in bodies), np.uint64, len(bodies)).view(np.int64)
-    return hashes, np.fromiter(map(len, bodies), np.int64, len(bodies))
+    """Hashes and numbers of words (parted by single spaces) of the lines, without the white space around them."""
+    bodies = [text[a:b].strip() for a, b in lines]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, bodies), np.uint64, len(bodies)).view(np.int64)
+    return hashes, np.fromiter((b.count(" ") + 1 for b in bodies), np.int64, len(bodies))
 
 
 def winnow(hashes: np.ndarray, words: np.ndarray, run: int) -> np.ndarray:
@@ -104,7 +105,7 @@ def _same(a: Column, b: Column) -> Column:
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, runs): stretches (first, last) of lines that equal earlier ones, by document. Earlier: of a lower id, or before in the text.
+    """(doc, runs): stretches (first << 32 | last) of lines that equal earlier ones, by document. Earlier: of a lower id, or before in the text.
 
     Fingerprints are summed up by hash to the first place and a count; those that repeat meet their first place, and the match is extended
     to both sides as far as lines agree, up to the next fingerprint, which has a match of its own if the run goes on.
@@ -112,29 +113,32 @@ def repeated_runs(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", te
     found = cut(fingerprints(docs, run, key, text))
     firsts = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = cut(firsts.select("h", F.col("first.doc").alias("doc_1"), F.col("first.pos").alias("pos_1")))
-    rows = found.join(sent_if_small(firsts), "h")
+    rows = found.join(firsts, "h")
     is_first = (F.col("doc") == F.col("doc_1")) & (F.col("pos") == F.col("pos_1"))
     rows = cut(rows.withColumn("is_first", is_first).drop("doc_1", "pos_1"))
     # rows of one id that repeat have one place; any of them will do
     sources = cut(rows.where("is_first").groupBy("h").agg(F.min("left").alias("left_1"), F.min("right").alias("right_1")))
-    both = rows.where("not is_first").join(sent_if_small(sources), "h")
-    runs = both.select("doc", F.struct((F.col("pos") - _same(F.col("left"), F.col("left_1"))).alias("first"), (F.col("pos") + _same(F.col("right"), F.col("right_1"))).alias("last")).alias("run"))
+    both = rows.where("not is_first").join(sources, "h")
+    first, last = F.col("pos") - _same(F.col("left"), F.col("left_1")), F.col("pos") + _same(F.col("right"), F.col("right_1"))
+    runs = both.select("doc", (first.cast("long") * (1 << 32) + last).alias("run"))
     return runs.groupBy("doc").agg(F.collect_set("run").alias("runs"))  # of a document's own lines at most
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with later copies of repeated runs deleted from the text, and n_lines, n_removed (and n_chars, if there, of the new text).
+    """docs with later copies of repeated runs deleted from the text, and n_removed lines (and n_chars, if there, of the new text).
 
     A run is deleted if its whole lines have at least `run` words and stand before in the same text, or in one of a lower id; the first
-    copy of each line always stays, as what is deleted equals something earlier. White space within lines does not matter, case does.
-    Null texts stay null, empty ones empty (0 lines). Rows with a null id are left as they are. Rows that repeat an id and a text are one
-    place: none is deleted for the other. No rows: no rows. Columns named as the new ones are replaced.
+    copy of each line always stays, as what is deleted equals something earlier. Lines are equal by case, white space around them aside.
+    Null texts stay null, empty ones empty. Rows with a null id are left as they are. Rows that repeat an id and a text are one place:
+    none is deleted for the other. No rows: no rows. A column n_removed is replaced.
     """
-    old = docs.drop("n_lines", "n_removed")
+    old = docs.drop("n_removed")
     runs = cut(repeated_runs(old, run, key, text))
-    # rows of a few numbers; beyond the bound both sides are dealt out by id
+    # a few numbers to a row; beyond the bound both sides are dealt out by id
     marked = old.join(sent_if_small(runs, 200_000).withColumnRenamed("doc", "doc_"), old[key] == F.col("doc_"), "left").drop("doc_")
-    return marked.withColumn("new_", _rewrite(run)(F.col(text), F.col("runs"))).select(*[_new(c, text, F.col(c)) for c in old.columns], F.col("new_.n_lines").alias("n_lines"), F.col("new_.n_removed").alias("n_removed"))
+    # texts without a run aren't sent to Python
+    marked = marked.withColumn("new_", _rewrite(run)(F.when(F.col("runs").isNotNull(), F.col(text)), F.col("runs")))
+    return marked.select(*[_new(c, text, F.col(c)) for c in old.columns], F.coalesce("new_.n_removed", F.lit(0)).cast("long").alias("n_removed"))
 
 
 def without_repeats(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,29 +149,25 @@ def without_repeats(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id",
 
 def _new(name: str, text: str, column: Column) -> Column:
     if name == text:
-        return F.col("new_.text").alias(name)
+        return F.when(F.col("runs").isNull(), column).otherwise(F.col("new_.text")).alias(name)
     return F.when(F.col("new_.n_removed") > 0, F.length("new_.text")).otherwise(column).cast("long").alias(name) if name == "n_chars" else column.alias(name)
 
 
 def _rewrite(run: int):
-    @F.pandas_udf("text string, n_lines long, n_removed long")
+    @F.pandas_udf("text string, n_removed long")
     def rewrite(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        out = [_without(t, r, run) for t, r in zip(texts, runs)]
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
+        out = [(t, 0) if t is None or r is None else _without(t, r, run) for t, r in zip(texts, runs)]
+        return pd.DataFrame(out, columns=["text", "n_removed"])
 
     return rewrite
 
 
-def _without(text: str | None, runs, run: int) -> tuple[str | None, int, int]:
-    if text is None:
-        return None, 0, 0
+def _without(text: str, runs, run: int) -> tuple[str, int]:
     lines = split_lines(text)
-    if runs is None or not len(runs):
-        return text, len(lines), 0
     gone = np.zeros(len(lines), dtype=bool)
-    words = np.array([0, *np.cumsum([len(text[a:b].split()) for a, b in lines])])
+    words = np.r_[0, np.cumsum(line_hashes(text, lines)[1])]
     for r in runs:
-        a, b = max(0, r["first"]), min(len(lines), r["last"] + 1)
+        a, b = max(0, int(r) >> 32), min(len(lines), (int(r) & 0xFFFFFFFF) + 1)
         if b > a and words[b] - words[a] >= run:
             gone[a:b] = True
-    return "".join(text[a:b] for (a, b), g in zip(lines, gone) if not g), len(lines), int(gone.sum())
+    return "".join(text[a:b] for (a, b), g in zip(lines, gone) if not g), int(gone.sum())
