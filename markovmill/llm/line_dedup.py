@@ -134,11 +134,16 @@ def dedup_lines(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text
     """
     old = docs.drop("n_removed")
     runs = cut(repeated_runs(old, run, key, text))
-    # a few numbers to a row; beyond the bound both sides are dealt out by id
-    marked = old.join(sent_if_small(runs, 200_000).withColumnRenamed("doc", "doc_"), old[key] == F.col("doc_"), "left").drop("doc_")
+    # the row in a struct, so that no name clashes; runs are few numbers to a row, and beyond the bound both sides are dealt out by id
+    rows = old.select(F.struct(*old.columns).alias("row"))
+    marked = rows.join(sent_if_small(runs, 200_000), F.col(f"row.{key}") == F.col("doc"), "left")
     # texts without a run aren't sent to Python
-    marked = marked.withColumn("new_", _rewrite(run)(F.when(F.col("runs").isNotNull(), F.col(text)), F.col("runs")))
-    return marked.select(*[_new(c, text, F.col(c)) for c in old.columns], F.coalesce("new_.n_removed", F.lit(0)).cast("long").alias("n_removed"))
+    marked = marked.withColumn("new", _rewrite(run)(F.when(F.col("runs").isNotNull(), F.col(f"row.{text}")), F.col("runs")))
+    out = {c: F.col(f"row.{c}") for c in old.columns}
+    out[text] = F.when(F.col("runs").isNull(), out[text]).otherwise(F.col("new.text"))
+    if "n_chars" in out and text != "n_chars":
+        out["n_chars"] = F.when(F.col("new.n_removed") > 0, F.length("new.text")).otherwise(out["n_chars"]).cast(old.schema["n_chars"].dataType)
+    return marked.select(*[c.alias(n) for n, c in out.items()], F.coalesce("new.n_removed", F.lit(0)).cast("long").alias("n_removed"))
 
 
 def without_repeats(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,12 +152,6 @@ def without_repeats(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id",
     return out.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace(text, r"\s+", " ")) != "")).select(docs.columns)
 
 
-def _new(name: str, text: str, column: Column) -> Column:
-    if name == text:
-        return F.when(F.col("runs").isNull(), column).otherwise(F.col("new_.text")).alias(name)
-    return F.when(F.col("new_.n_removed") > 0, F.length("new_.text")).otherwise(column).cast("long").alias(name) if name == "n_chars" else column.alias(name)
-
-
 def _rewrite(run: int):
     @F.pandas_udf("text string, n_removed long")
     def rewrite(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
