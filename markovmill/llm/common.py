@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,31 +9,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, shared_folder
+
+__all__ = ["cut", "shared_folder"]
+
 #: Rows that a Python worker turns into Python objects at once, and bytes of text it holds in one go.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="markovmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+#: Rows and bytes of the batches that go to Python workers, unless the session says otherwise: texts may be long, and both sides hold a few.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later stages start there, whatever executors are lost.
-
-    The files go when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/markovmill/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession) -> None:
+    for k, v in BATCHES.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
@@ -58,6 +47,7 @@ def _offsets(column: pa.Array) -> np.ndarray:
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list] | None]], schema: str) -> DataFrame:
     """Runs a function of row slices over each partition. make() is called once in each task and may load models."""
+    small_batches(df.sparkSession)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,6 +76,7 @@ def map_groups(df: DataFrame, keys: list[str], f: Callable[[dict[str, object]],
 
     Rows come sorted, so that thousands of small groups share one Arrow batch rather than a frame each.
     """
+    small_batches(df.sparkSession)
     names = [x.split()[0] for x in schema.split(", ")]
     columns = df.columns
 

@@ -158,7 +158,8 @@ def _rewrite(run: int):
         out = [(t, 0) if t is None or r is None else _without(t, r, run) for t, r in zip(texts, runs)]
         return pd.DataFrame(out, columns=["text", "n_removed"])
 
-    return rewrite
+    # evaluated once, wherever the optimizer moves what reads it
+    return rewrite.asNondeterministic()
 
 
 def _without(text: str, runs, run: int) -> tuple[str, int]:

@@ -18,7 +18,7 @@ class WordHashes(dict):
     A token of one word has its hash; one of none or several has a negative number, -1 - its place in `several`.
     """
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
         self.several: list[list[int]] = []

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows
+from .common import held_out, map_rows, small_batches
 from .labelled import labelled_sample, logistic
 
 WORD = re.compile(r"\w+")
@@ -36,7 +36,7 @@ class _TokenScores(dict):
     """Scores by token as it stands in the text; learnt once per worker and spelling."""
 
     model: ToxicityModel
-    most: int = 400_000
+    most: int = 250_000
     known: dict = field(default_factory=dict)
 
     def __missing__(self, token: str) -> float:
@@ -213,4 +213,5 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5,
             z = np.array([model.a + model.b * min(one(t or "")[0], 60.0) for t in texts], dtype=float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
+    small_batches(docs.sparkSession)
     return docs.where(score(F.col(text)) < threshold)
