@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; where that is unset a local one for a local session, as in tests, else one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="markovmill-")
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        folder = tempfile.mkdtemp(prefix="markovmill-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
