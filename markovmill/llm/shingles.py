@@ -72,19 +72,16 @@ def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
 
 def coefficients(k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(1, 1 << 32, k, dtype=np.uint64).astype(np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32)
+    a, b = (rng.integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32) | np.uint32(1) for _ in range(2))
+    return a, b
 
 
 def hash_rows(x: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
-    """k x len(x) values of 32 bits: row i is a hash function of its own."""
+    """k x len(x) values of 32 bits: row i is a hash function of its own, linear in the halves of the (already mixed) shingle hashes."""
     a, b = coefficients(k, seed)
     low, high = (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)
-    with np.errstate(over="ignore"):
-        v = a[:, None] * low[None, :]
-        v ^= b[:, None] ^ high[None, :]
-        v *= np.uint32(0x9E3779B1)
-        v ^= v >> np.uint32(15)
-        v *= np.uint32(0x85EBCA77)
+    v = a[:, None] * low[None, :]
+    v += b[:, None] * high[None, :]
     return v
 
 
