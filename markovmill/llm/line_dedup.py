@@ -127,8 +127,8 @@ def repeated_runs(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", te
 def dedup_lines(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with later copies of repeated runs deleted from the text, and n_removed lines (and n_chars, if there, of the new text).
 
-    A run is deleted if its whole lines have at least `run` words and stand before in the same text, or in one of a lower id; the first
-    copy of each line always stays, as what is deleted equals something earlier. Lines are equal by case, white space around them aside.
+    A run is deleted if its whole lines have at least `run` words and stand before, in the same text or in ones of a lower id; matches
+    that touch are one run. The first copy of each line always stays, as what is deleted equals something earlier. Lines are equal by case, white space around them aside.
     Null texts stay null, empty ones empty. Rows with a null id are left as they are. Rows that repeat an id and a text are one place:
     none is deleted for the other. No rows: no rows. A column n_removed is replaced.
     """
@@ -164,10 +164,13 @@ def _rewrite(run: int):
 
 def _without(text: str, runs, run: int) -> tuple[str, int]:
     lines = split_lines(text)
-    gone = np.zeros(len(lines), dtype=bool)
-    words = np.r_[0, np.cumsum(line_hashes(text, lines)[1])]
+    known = np.zeros(len(lines) + 2, dtype=bool)
     for r in runs:
-        a, b = max(0, int(r) >> 32), min(len(lines), (int(r) & 0xFFFFFFFF) + 1)
-        if b > a and words[b] - words[a] >= run:
-            gone[a:b] = True
+        known[max(0, int(r) >> 32) + 1 : min(len(lines), (int(r) & 0xFFFFFFFF) + 1) + 1] = True
+    words = np.r_[0, np.cumsum(line_hashes(text, lines)[1])]
+    # matches that touch are one run
+    change = np.flatnonzero(known[1:] != known[:-1])
+    gone = np.zeros(len(lines), dtype=bool)
+    for a, b in zip(change[::2], change[1::2]):
+        gone[a:b] = words[b] - words[a] >= run
     return "".join(text[a:b] for (a, b), g in zip(lines, gone) if not g), int(gone.sum())
