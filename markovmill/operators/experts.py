@@ -12,7 +12,8 @@ from .ngrams import count_transitions, weigh
 
 def term_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, word, cnt, freq): how often each word stands in a document, and its share of the document's tokens."""
-    words = docs.select(key, F.size("tokens").alias("len"), F.explode("tokens").alias("word"))
+    # outer: else Spark asks beforehand whether there are tokens, and so makes them twice
+    words = docs.select(key, F.size("tokens").alias("len"), F.explode_outer("tokens").alias("word")).where("word is not null")
     return words.groupBy(key, "word", "len").agg(F.count("*").alias("cnt")).select(key, "word", "cnt", (F.col("cnt") / F.col("len")).alias("freq"))
 
 
@@ -55,11 +56,10 @@ def pick_seeds(docs: DataFrame, experts: int, centroids: int, seed: int = 0, key
 def seeds_by_similarity(docs: DataFrame, experts: int, centroids: int, seed: int = 0, key: str = "doc_id") -> DataFrame:
     """(expert, key): the first expert's seeds at random, each later one's drawn by weights of the inverse geometric mean of the
     similarities to the experts before, without replacement (largest u^(1/w)). A loop over experts, each a pass over the documents."""
-    counts = term_counts(docs, key)
     tf = term_frequency(docs, key)
     found = pick_seeds(docs, 1, centroids, seed, key)
     for e in range(1, experts):
-        sims = similarity(counts, cluster_ranks(docs, found, tf, key, centroids), key)
+        sims = similarity(docs, cluster_ranks(docs, found, tf, key, centroids), key)
         # similarities may be negative; the note's weights are of positive ones
         weight = F.exp(-F.avg(F.log(F.greatest(F.col("sim"), F.lit(1e-6)))))
         weights = docs.select(key).join(sims, key, "left").fillna(1.0, ["sim"]).groupBy(key).agg(weight.alias("w"))
@@ -74,17 +74,21 @@ def cluster_ranks(docs: DataFrame, seeds: DataFrame, tf: DataFrame, key: str = "
     """(expert, word, rank): log2 of the seeds' mean frequency (each occurrence counts) less log2 of the corpus's tf."""
     own = docs.join(F.broadcast(seeds), key)
     size = seeds.groupBy("expert").agg(F.count("*").alias("k"))
-    counts = own.select("expert", key, F.size("tokens").alias("len"), F.explode("tokens").alias("word")).groupBy("expert", key, "word", "len").agg(F.count("*").alias("cnt"))
+    counts = own.select("expert", key, F.size("tokens").alias("len"), F.explode_outer("tokens").alias("word")).where("word is not null").groupBy("expert", key, "word", "len").agg(F.count("*").alias("cnt"))
     sums = counts.join(F.broadcast(size), "expert").groupBy("expert", "word").agg(F.sum(F.col("cnt") * F.col("cnt") / F.col("len") / F.col("k")).alias("sdf"))
     eps = 2.0**-23  # of single precision, for words that the corpus lacks
     return sums.join(tf.select("word", "tf"), "word", "left").select("expert", "word", (F.log2("sdf") - F.log2(F.coalesce("tf", F.lit(eps)))).alias("rank"))
 
 
-def similarity(counts: DataFrame, ranks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, expert, sim): the sum of ranks over occurrences; pairs without a common word are left out (0). counts: (key, word, cnt).
+def similarity(docs: DataFrame, ranks: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
+    """(key, expert, sim): the sum of ranks over occurrences; pairs without a common word are left out (0).
 
-    Ranks are of few seed documents each: they go to every executor unless Spark's own size limit says otherwise."""
-    return counts.join(ranks, "word").groupBy(key, "expert").agg(F.round(F.sum(F.col("cnt") * F.col("rank")), 6).alias("sim"))
+    Ranks are summed up as whole millionths, so that the order of rows makes no difference. They are of few seed documents each: Spark
+    sends them to every executor unless its own size limit says otherwise, and then only sums are dealt out.
+    """
+    words = docs.select(key, F.explode_outer(tokens).alias("word"))
+    millionths = ranks.select("expert", "word", F.round(F.col("rank") * 1e6).cast("bigint").alias("r"))
+    return words.join(millionths, "word").groupBy(key, "expert").agg((F.sum("r") / 1e6).alias("sim"))
 
 
 def assign_documents(docs: DataFrame, sims: DataFrame, experts: int, key: str = "doc_id") -> DataFrame:

@@ -21,9 +21,10 @@ def windows(docs: DataFrame, n_from: int, n_to: int, keep: list[str] = (), inclu
     if not (1 <= n_from <= 255 and 1 <= n_to <= 255):
         raise ValueError("depths must be from 1 to 255")
     size, names = n_from + n_to, from_columns(n_from) + to_columns(n_to)
-    m = F.size("tokens") - size + int(include_last)
+    m = F.greatest(F.size("tokens") - size + int(include_last), F.lit(0))
     zipped = F.arrays_zip(*[F.slice("tokens", k + 1, m).alias(c) for k, c in enumerate(names)])
-    return docs.where(m > 0).select(*keep, F.inline(zipped)).toDF(*keep, *names)
+    # outer, and short documents left out afterwards: conditions on tokens would move down and make them twice
+    return docs.select(*keep, F.inline_outer(zipped)).toDF(*keep, *names).where(F.col(names[0]).isNotNull())
 
 
 def count_transitions(docs: DataFrame, n_from: int, n_to: int, keep: list[str] = (), include_last: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .experts import similarity
 from .lookup import find_transitions
 from .ngrams import from_columns, to_columns
 
@@ -28,8 +29,7 @@ class Chains:
 
 def similarities(state: DataFrame, ranks: DataFrame, total: int) -> DataFrame:
     """(query_id, expert, sim) for each query and expert, over the whole sequence seq; 0 without a common word."""
-    counts = state.select("query_id", F.explode("seq").alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("cnt"))
-    sims = counts.join(ranks, "word").groupBy("query_id", "expert").agg(F.round(F.sum(F.col("cnt") * F.col("rank")), 6).alias("sim"))
+    sims = similarity(state, ranks, "query_id", "seq")
     every = state.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("expert"))
     return every.join(sims, ["query_id", "expert"], "left").select("query_id", "expert", F.coalesce("sim", F.lit(0.0)).alias("sim"))
 

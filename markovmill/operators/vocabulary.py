@@ -15,7 +15,7 @@ def build_vocabulary(docs: DataFrame, strict: bool = True) -> DataFrame:
 
     Ids are ranks by the words' bytes: a prefix's count gives its offset, so that the ranking runs by prefix rather than in one task.
     """
-    words = docs.select(F.explode("tokens").alias("word")).distinct()
+    words = docs.select(F.explode_outer("tokens").alias("word")).where("word is not null").distinct()
     if strict:
         words = words.where(F.when(F.octet_length("word") > MOST_WORD_BYTES, F.raise_error(F.lit("word of over 65535 bytes")).cast("boolean")).otherwise(True))
     words = words.withColumn("prefix", F.substring("word", 1, 2))
@@ -36,7 +36,7 @@ def vocabulary_size(vocab: DataFrame) -> DataFrame:
 
 def encode(rows: DataFrame, vocab: DataFrame, key: str, words: str = "words") -> DataFrame:
     """(key, ids, words): each row's words that the vocabulary has, in order; unknown ones are dropped. Rows without any have empty arrays."""
-    at = rows.select(key, F.posexplode(words).alias("pos", "word")).join(vocab, "word")
+    at = rows.select(key, F.posexplode_outer(words).alias("pos", "word")).join(vocab, "word")
     known = at.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "word"))).alias("x"))
     out = rows.select(key).join(known, key, "left")
     return out.select(key, F.coalesce(F.col("x.token"), F.array().cast("array<int>")).alias("ids"), F.coalesce(F.col("x.word"), F.array().cast("array<string>")).alias("words"))

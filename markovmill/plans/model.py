@@ -56,7 +56,7 @@ class Model:
         tf = X.term_frequency(tokens)
         pick = X.seeds_by_similarity if by_similarity else X.pick_seeds
         ranks = cut(X.cluster_ranks(tokens, cut(pick(tokens, total, centroids, seed)), tf))
-        assigned = X.assign_documents(tokens, X.similarity(X.term_counts(tokens), ranks), total)
+        assigned = X.assign_documents(tokens, X.similarity(tokens, ranks), total)
         own = cut(X.expert_transitions(tokens, assigned, n_from, n_to))
         if strict and own.select("expert").distinct().count() < total:
             raise ValueError("an expert has no transitions")

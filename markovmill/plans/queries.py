@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..functions.text import START, STOP, WordTokenizer, decode, fill_template
 from ..operators import experts as X
 from ..operators.generate import Limits, generate, prepare_prompts
 from ..operators.lookup import find_transitions
-from ..operators.ngrams import base_transitions, count_transitions
+from ..operators.ngrams import base_transitions, count_transitions, windows
 from ..operators.predict import Chains, activate, candidates, draw, multipliers, similarities, top_candidates, uniform
 from ..operators.vocabulary import build_vocabulary, encode, vocabulary_size
 from ..sources import corpora, exports
@@ -46,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prose(spark: SparkSession, sf_dir: str, tokenizer: WordTokenizer = TOKENIZER) -> DataFrame:
-    return corpora.tokenised(table(spark, sf_dir, "documents"), tokenizer)
+    return corpora.tokenised(corpora.spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer)
 
 
 def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return docs.select(F.explode_outer("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 _WORD_COUNTS = "SELECT word, count(*) AS n FROM (SELECT unnest(tokens) AS word FROM toks) GROUP BY word"
@@ -78,7 +79,7 @@ _WORD_COUNTS = "SELECT word, count(*) AS n FROM (SELECT unnest(tokens) AS word F
 
 @query(f"WITH {S.tokens()} SELECT doc_id, generate_subscripts(tokens, 1) - 1 AS pos, unnest(tokens) AS word FROM toks")
 def tok_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose(spark, sf_dir).select("doc_id", F.posexplode("tokens").alias("pos", "word")).withColumn("pos", F.col("pos").cast("bigint"))
+    return prose(spark, sf_dir).select("doc_id", F.posexplode_outer("tokens").alias("pos", "word")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query(f"WITH {S.tokens(punct=True)} {_WORD_COUNTS}")
@@ -93,7 +94,7 @@ def tok_cased(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S.tokens(S.DIALOGUES)} SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(tokens) AS word FROM toks) GROUP BY ALL")
 def tok_special_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = dialogue(spark, sf_dir).select("doc_id", F.explode("tokens").alias("word"))
+    words = dialogue(spark, sf_dir).select("doc_id", F.explode_outer("tokens").alias("word"))
     return words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
@@ -207,9 +208,7 @@ SELECT f0, f1, t0, n_all, count AS n_distinct FROM every JOIN base USING (f0, f1
 def transitions_dedup_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     # both counts from one pass over the distinct documents and their numbers
     docs = prose(spark, sf_dir).groupBy("tokens").agg(F.count("*").alias("copies"))
-    m = F.size("tokens") - 3
-    zipped = F.arrays_zip(*[F.slice("tokens", k + 1, m).alias(c) for k, c in enumerate(("f0", "f1", "t0"))])
-    rows = docs.where(m > 0).select("copies", F.inline(zipped)).toDF("copies", "f0", "f1", "t0")
+    rows = windows(docs, 2, 1, ["copies"])
     both = rows.groupBy("f0", "f1", "t0").agg(F.sum("copies").alias("n_all"), F.count("*").alias("n_distinct"))
     return both.where("n_all <> n_distinct")
 
@@ -239,13 +238,13 @@ def ranked(docs: DataFrame) -> DataFrame:
 def assigned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ranks, assignment)"""
     ranks = cut(ranked(docs))
-    return ranks, X.assign_documents(docs, X.similarity(X.term_counts(docs), ranks), EXPERTS)
+    return ranks, X.assign_documents(docs, X.similarity(docs, ranks), EXPERTS)
 
 
 def mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Chains]:
     docs = cut(prose(spark, sf_dir))
     ranks, own = assigned(docs)
-    return docs, Chains(base_transitions(docs), cut(X.expert_transitions(docs, own)), ranks, 2, 1, EXPERTS)
+    return docs, Chains(base_transitions(docs), X.expert_transitions(docs, own), ranks, 2, 1, EXPERTS)
 
 
 @query(f"WITH {S.tokens()}, {_SEEDS} SELECT * FROM seeds")
@@ -269,7 +268,7 @@ _ASSIGNED = f"{S.tokens()}, {S.TERMS}, {_SEEDS}, {S.RANKS}, {S.assignment(EXPERT
 @query(f"WITH {_ASSIGNED} SELECT doc_id, expert, sim FROM sims WHERE sim <> 0")
 def doc_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = cut(prose(spark, sf_dir))
-    return X.similarity(X.term_counts(docs), ranked(docs)).where("sim <> 0")
+    return X.similarity(docs, ranked(docs)).where("sim <> 0")
 
 
 @query(f"WITH {_ASSIGNED} SELECT * FROM assigned")
@@ -292,7 +291,9 @@ def expert_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contexts(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    return prepare_prompts(benchmark(spark, sf_dir), build_vocabulary(docs), TOKENIZER)
+    # known words alone, without ids
+    words = docs.select(F.explode_outer("tokens").alias("word")).distinct().withColumn("token", F.lit(0))
+    return prepare_prompts(benchmark(spark, sf_dir), words, TOKENIZER)
 
 
 _PROMPTS = S.prompts(S.BENCHMARK)
@@ -389,6 +390,7 @@ def generate_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_MIXTURE}, {S.generation(STEPS, EXPERTS, ACTIVE, TOP_K, SEED, list(STOPS))} {_TEXTS}")
 def generate_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, chains = mixture(spark, sf_dir)
+    chains = replace(chains, base=cut(chains.base), experts=cut(chains.experts))  # read in each step
     return _texts(generate(cut(contexts(spark, sf_dir, docs)), chains, Limits(ACTIVE, TOP_K, 200, STOPS), STEPS, SEED)[0])
 
 
@@ -402,6 +404,7 @@ SELECT query_id, expert, coalesce(uses, 0) AS uses, round(coalesce(uses, 0) / su
 FROM every LEFT JOIN uses USING (query_id, expert)""")
 def expert_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, chains = mixture(spark, sf_dir)
+    chains = replace(chains, base=cut(chains.base), experts=cut(chains.experts))
     used = generate(cut(contexts(spark, sf_dir, docs)), chains, Limits(ACTIVE, TOP_K, 200, STOPS), STEPS, SEED)[1]
     return used.withColumn("frequency", F.round("frequency", 9))
 
@@ -430,10 +433,11 @@ def events_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT 'vocabulary' AS part, NULL::INT AS expert, count(*) AS items, sum(strlen(word) + 5)::BIGINT AS bytes FROM vocab
   UNION ALL SELECT 'base', NULL, count(*), count(*) * 13 + 2 FROM base
   UNION ALL SELECT 'expert', expert, count(*), count(*) * 13 + 2 FROM own GROUP BY expert
-) SELECT * FROM rows UNION ALL SELECT 'total', NULL, sum(items)::BIGINT, sum(bytes)::BIGINT FROM rows""")
+) SELECT part, coalesce(expert, -1) AS expert, items, bytes FROM rows UNION ALL SELECT 'total', -1, sum(items)::BIGINT, sum(bytes)::BIGINT FROM rows""")
 def model_summary_(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, chains = mixture(spark, sf_dir)
-    return model_summary(build_vocabulary(docs), chains.base, chains.experts, 2, 1)
+    found = model_summary(build_vocabulary(docs), cut(chains.base), cut(chains.experts), 2, 1)
+    return found.withColumn("expert", F.coalesce("expert", F.lit(-1)))
 
 
 REGISTRY["model_summary"], ORACLES["model_summary"] = REGISTRY.pop("model_summary_"), ORACLES.pop("model_summary_")

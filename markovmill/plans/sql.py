@@ -75,7 +75,7 @@ RANKS = """ranks AS MATERIALIZED (
 
 def assignment(experts: int) -> str:
     return f"""sims AS MATERIALIZED (
-  SELECT doc_id, expert, round(coalesce(sum(cnt * rank), 0), 6) AS sim
+  SELECT doc_id, expert, (coalesce(sum(cnt * round(rank * 1e6)::BIGINT), 0)::BIGINT / 1e6::DOUBLE) AS sim
   FROM (SELECT doc_id, unnest(range({experts}))::INT AS expert FROM toks) LEFT JOIN
        (SELECT doc_id, expert, cnt, rank FROM terms JOIN ranks USING (word)) USING (doc_id, expert) GROUP BY ALL
 ), assigned AS MATERIALIZED (
@@ -122,7 +122,7 @@ def follow(state: str, table: str, extra: str = "", on: str = "") -> str:
 def activation(state: str, n: str, experts: int, active: int) -> str:
     """sim{n}, act{n}(query_id, expert, sim, place, multiplier)"""
     return f"""sim{n} AS MATERIALIZED (
-  SELECT query_id, expert, round(coalesce(sum(cnt * rank), 0), 6) AS sim
+  SELECT query_id, expert, (coalesce(sum(cnt * round(rank * 1e6)::BIGINT), 0)::BIGINT / 1e6::DOUBLE) AS sim
   FROM (SELECT query_id, unnest(range({experts}))::INT AS expert FROM {state}) LEFT JOIN
        (SELECT query_id, expert, cnt, rank FROM (SELECT query_id, word, count(*) AS cnt FROM (SELECT query_id, unnest(seq) AS word FROM {state}) GROUP BY ALL) JOIN ranks USING (word))
        USING (query_id, expert) GROUP BY ALL

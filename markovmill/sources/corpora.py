@@ -25,6 +25,15 @@ def read_files(spark: SparkSession, recipe: Recipe) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan's rows dealt over all cores, if it has fewer tasks than two for each: small tables come in few files and row groups.
+
+    Larger scans stay as they are, without a shuffle. scan: a plain read; counting its tasks runs nothing.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < 2 * cores else scan
+
+
 def tokenised(docs: DataFrame, tokenizer: WordTokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, tokens): start, words, stop. A null text is an empty document."""
     return docs.select(key, tokenizer.tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))

@@ -113,7 +113,7 @@ def test_invariants(spark):
     base = base_transitions(d)
     assert base.agg(F.sum("count")).first()[0] == distinct
     ranks = X.cluster_ranks(d, X.pick_seeds(d, 2, 2), X.term_frequency(d))
-    own = X.assign_documents(d, X.similarity(X.term_counts(d), ranks), 2)
+    own = X.assign_documents(d, X.similarity(d, ranks), 2)
     assert own.count() == 6 and own.where("expert is null").count() == 0
     t = X.expert_transitions(d, own)
     assert t.agg(F.sum("count")).first()[0] == n
