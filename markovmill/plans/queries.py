@@ -252,7 +252,7 @@ def seed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.pick_seeds(prose(spark, sf_dir), EXPERTS, CENTROIDS, SEED)
 
 
-@query()
+@query(f"WITH {S.tokens()}, {S.TERMS}, {S.seeds_by_similarity(EXPERTS, CENTROIDS, SEED)} SELECT expert, doc_id FROM seeds{EXPERTS - 1}")
 def seed_docs_by_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.seeds_by_similarity(cut(prose(spark, sf_dir)), EXPERTS, CENTROIDS, SEED)
 

@@ -73,6 +73,25 @@ RANKS = """ranks AS MATERIALIZED (
 )"""
 
 
+def seeds_by_similarity(experts: int, centroids: int, seed: int = 0) -> str:
+    """seeds0.., each with one expert's seeds more; needs toks, TERMS"""
+    first = f"SELECT 0 AS expert, doc_id FROM (SELECT doc_id, md5('{seed}|' || doc_id) AS o FROM toks ORDER BY o, doc_id LIMIT {centroids})"
+    out = [f"seeds0 AS MATERIALIZED ({first})"]
+    for e in range(1, experts):
+        before = f"seeds{e - 1}"
+        u = f"((('0x' || substr(md5('{seed}|{e}|' || doc_id), 1, 8))::BIGINT::DOUBLE + 1) / 4294967297.0)"
+        out.append(RANKS.replace("ranks AS", f"ranks{e} AS").replace("seeds", before))
+        out.append(f"""near{e} AS MATERIALIZED (
+  SELECT doc_id, expert, sum(cnt * round(rank * 1e6)::BIGINT)::BIGINT / 1e6::DOUBLE AS sim FROM terms JOIN ranks{e} USING (word) GROUP BY ALL
+), weights{e} AS MATERIALIZED (
+  SELECT doc_id, exp(-avg(ln(greatest(coalesce(sim, 1.0), 1e-6)))) AS w FROM (SELECT doc_id FROM toks) LEFT JOIN near{e} USING (doc_id) GROUP BY doc_id
+), seeds{e} AS MATERIALIZED (
+  SELECT * FROM {before} UNION ALL
+  SELECT {e}, doc_id FROM (SELECT doc_id, ln({u}) / w AS o FROM weights{e} WHERE doc_id NOT IN (SELECT doc_id FROM {before}) ORDER BY o DESC, doc_id LIMIT {centroids})
+)""")
+    return ",\n".join(out)
+
+
 def assignment(experts: int) -> str:
     return f"""sims AS MATERIALIZED (
   SELECT doc_id, expert, (coalesce(sum(cnt * round(rank * 1e6)::BIGINT), 0)::BIGINT / 1e6::DOUBLE) AS sim
