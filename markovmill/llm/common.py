@@ -57,7 +57,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[s
             out = f(part)
             if out and len(out[names[0]]):
                 types = types or _arrow(schema)
-                yield pa.RecordBatch.from_arrays([pa.array(out[n], type=t) for n, t in zip(names, types)], names=names)
+                yield pa.RecordBatch.from_arrays([out[n] if isinstance(out[n], pa.Array) else pa.array(out[n], type=t) for n, t in zip(names, types)], names=names)
 
     return df.mapInArrow(run, schema)
 

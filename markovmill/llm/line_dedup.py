@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ RUN_WORDS = 12
 #: A sentence of more words without an end mark is cut after words that a hash picks, one in CUT_ONE_IN.
 LONG_WORDS, CUT_ONE_IN = 40, 12
 
-_END = re.compile(r"(?<=[.!?])\s+|\n\s*")
+_END = re.compile(r"[.!?]\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
 
 
@@ -31,8 +32,8 @@ def split_lines(text: str) -> list[tuple[int, int]]:
     start = 0
     for end in (*(m.end() for m in _END.finditer(text)), len(text)):
         if end > start:
-            if end - start > LONG_WORDS * 3 and len(words := list(_WORD.finditer(text, start, end))) > LONG_WORDS:
-                for m in words:
+            if end - start > 2 * LONG_WORDS and text.count(" ", start, end) >= LONG_WORDS:
+                for m in _WORD.finditer(text, start, end):
                     if xxhash.xxh32_intdigest(m.group().rstrip()) % CUT_ONE_IN == 0 and m.end() < end:
                         out.append((start, m.end()))
                         start = m.end()
@@ -48,18 +49,17 @@ def line_hashes(text: str, lines: list[tuple[int, int]]) -> tuple[np.ndarray, np
     return hashes, np.fromiter((b.count(" ") + 1 for b in bodies), np.int64, len(bodies))
 
 
-def winnow(hashes: np.ndarray, words: np.ndarray, run: int) -> np.ndarray:
-    """Indexes of selected lines: of each shortest stretch of at least `run` words the line of least hash, if possible of 5 words or more.
+def winnow(hashes: np.ndarray, words: np.ndarray, stop: np.ndarray, run: int) -> np.ndarray:
+    """Indexes of selected lines of some texts, one after the other; stop: for each line the index at which its text ends.
 
-    What a stretch selects depends on its lines alone, so two texts that share one select the same line there.
+    Of each shortest stretch of at least `run` words within a text it is the line of least hash, if possible of 5 words or more. What a
+    stretch selects depends on its lines alone, so two texts that share one select the same line there.
     """
-    total = np.cumsum(words)
-    n = len(words)
-    if not n or total[-1] < run:
+    if not len(words):
         return np.zeros(0, dtype=np.int64)
-    before = total - words
-    last = np.searchsorted(total, before + run)
-    starts = np.flatnonzero(last < n)
+    total = np.cumsum(words)
+    last = np.searchsorted(total, total - words + run)
+    starts = np.flatnonzero(last < stop)
     last = last[starts]
     key = (hashes.view(np.uint64) >> np.uint64(1)) | np.where(words < 5, np.uint64(1 << 63), np.uint64(0))
     best, step = starts.copy(), 1
@@ -73,24 +73,33 @@ def winnow(hashes: np.ndarray, words: np.ndarray, run: int) -> np.ndarray:
         step += 1
 
 
+def _lists(hashes: np.ndarray, first: np.ndarray, size: np.ndarray, way: int) -> pa.Array:
+    """Lists of hashes from `first` on, `size` of them, forwards (1) or backwards (-1)."""
+    offsets = np.r_[0, np.cumsum(size)]
+    at = np.repeat(first, size) + way * (np.arange(offsets[-1]) - np.repeat(offsets[:-1], size))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[at], pa.int64()))
+
+
 def fingerprints(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(h, doc, pos, left, right) of each selected line; left and right: hashes of the lines up to the next selected ones, nearest first."""
 
     def make():
         def work(part):
-            out: dict[str, list] = {n: [] for n in ("h", "doc", "pos", "left", "right")}
-            for k, t in zip(part.column("doc").to_pylist(), part.column("text").to_pylist()):
-                h, w = line_hashes(t, split_lines(t))
-                chosen = winnow(h, w, run).tolist()
-                all_ = h.tolist()
-                edges = [-1, *chosen, len(all_)]
-                for i, p in enumerate(chosen):
-                    out["h"].append(all_[p])
-                    out["doc"].append(k)
-                    out["pos"].append(p)
-                    out["left"].append(all_[edges[i] + 1 : p][::-1])
-                    out["right"].append(all_[p + 1 : edges[i + 2]])
-            return out
+            texts = part.column("text").to_pylist()
+            spans = [split_lines(t) for t in texts]
+            sizes = np.fromiter(map(len, spans), np.int64, len(spans))
+            found = [line_hashes(t, s) for t, s in zip(texts, spans) if s]
+            if not found:
+                return None
+            h, w = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            end = np.cumsum(sizes)
+            start, stop = np.repeat(end - sizes, sizes), np.repeat(end, sizes)
+            chosen = winnow(h, w, stop, run)
+            # the neighbours that are selected too, within the text
+            before = np.maximum(np.r_[-1, chosen[:-1]], start[chosen] - 1) if len(chosen) else chosen
+            after = np.minimum(np.r_[chosen[1:], len(h)], stop[chosen]) if len(chosen) else chosen
+            doc = np.repeat(part.column("doc").to_numpy(zero_copy_only=False), sizes)
+            return {"h": h[chosen], "doc": doc[chosen], "pos": (chosen - start[chosen]).astype(np.int32), "left": _lists(h, chosen - 1, chosen - before - 1, -1), "right": _lists(h, chosen + 1, after - chosen - 1, 1)}
 
         return work
 
