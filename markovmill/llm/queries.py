@@ -77,7 +77,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": SHARDING_SQL, "op9_decontamination": CONTAMINATION_SQL, "op10_warc_revisits": REVISITS_SQL}
+    return {"op1_embedding_neardup": VECTORS_SQL, "op8_ngram_join": JACCARD_SQL, "op5_sharding": SHARDING_SQL, "op9_decontamination": CONTAMINATION_SQL, "op10_warc_revisits": REVISITS_SQL}
 
 
 SHARDING_SQL = """
@@ -152,3 +152,45 @@ SELECT page_id, canonical_url,
   CASE WHEN last_tag = tag THEN 'text/html' END AS content_type, 'max-age=60' AS cache_control
 FROM named LEFT JOIN latest USING (canonical_url)
 """
+
+#: Links to and from; ids and what each reaches; the least of it.
+_CLASSES = """both_ways AS MATERIALIZED (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT DISTINCT a AS id, a AS r FROM both_ways UNION SELECT reach.id, b FROM reach JOIN both_ways ON r = a
+), classes AS (
+  SELECT id, min(r) AS class FROM reach GROUP BY id
+), counts AS (
+  SELECT a AS id, count(*) AS n FROM both_ways GROUP BY a
+)"""
+
+VECTORS_SQL = f"""
+WITH RECURSIVE good AS MATERIALIZED (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id < y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v) * list_dot_product(y.v, y.v)) >= 0.9
+), {_CLASSES}
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(class, vec_id) AS component_id, vec_id = coalesce(class, vec_id) AS kept, 1.0::DOUBLE AS audited_recall
+FROM embeddings LEFT JOIN counts ON counts.id = vec_id LEFT JOIN classes ON classes.id = vec_id
+"""
+
+JACCARD_SQL = f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
+  FROM texts
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS size FROM sets GROUP BY doc_id
+), pairs AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 5 * n >= 4 * (p.size + q.size - n)
+), {_CLASSES}
+SELECT doc_id, coalesce(class, doc_id) AS class_id, coalesce(n, 0)::BIGINT AS n_links, doc_id = coalesce(class, doc_id) AS kept
+FROM documents LEFT JOIN counts ON counts.id = doc_id LEFT JOIN classes ON classes.id = doc_id
+"""

@@ -36,7 +36,7 @@ def test_stages(spark):
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_like_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     df = Q.queries()[name](spark, DIR)
     found = con.execute(f"SELECT {', '.join(sorted(df.columns))} FROM ({Q.oracle_sql()[name]})").fetchall()
