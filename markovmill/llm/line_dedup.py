@@ -42,9 +42,13 @@ def split_lines(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def line_bodies(text: str, lines: list[tuple[int, int]]) -> list[str]:
+    return [text[a:b].strip() for a, b in lines]
+
+
 def line_hashes(text: str, lines: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and numbers of words (parted by single spaces) of the lines, without the white space around them."""
-    bodies = [text[a:b].strip() for a, b in lines]
+    bodies = line_bodies(text, lines)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, bodies), np.uint64, len(bodies)).view(np.int64)
     return hashes, np.fromiter((b.count(" ") + 1 for b in bodies), np.int64, len(bodies))
 
@@ -73,6 +77,29 @@ def winnow(hashes: np.ndarray, words: np.ndarray, stop: np.ndarray, run: int) ->
         step += 1
 
 
+def stretches(hashes: np.ndarray, words: np.ndarray, start: np.ndarray, stop: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, hash) of the shortest stretches of at least `run` words and several lines that begin or end with each line of a text.
+
+    Each line of a run of that many words lies in one of them that lies in the run: where the words up to the line are fewer, in the
+    one from the run's first line on, else in the one that ends with the line.
+    """
+    total = np.cumsum(words)
+    at = np.arange(len(words))
+    to = np.searchsorted(total, total - words + run)
+    since = np.searchsorted(total - words, total - run, "right") - 1
+    begin, end = (to < stop) & (to > at), (since >= start) & (since < at)
+    spans = np.unique(np.r_[at[begin] << 32 | to[begin], since[end] << 32 | at[end]])
+    first, last = spans >> 32, spans & 0xFFFFFFFF
+    # a polynomial of the lines' hashes modulo 2^64, from sums over all lines, moved to its first line by the base's inverse
+    base = 0x9E3779B97F4A7C15
+    power, inverse = (np.cumprod(np.r_[np.uint64(1), np.full(len(words), b, np.uint64)]) for b in (base, pow(base, -1, 1 << 64)))
+    sums = np.r_[np.uint64(0), np.cumsum(hashes.view(np.uint64) * power[:-1])]
+    h = (sums[last + 1] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)
+    for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(c)
+    return first, last, (h ^ (h >> np.uint64(33))).view(np.int64)
+
+
 def _lists(hashes: np.ndarray, first: np.ndarray, size: np.ndarray, way: int) -> pa.Array:
     """Lists of hashes from `first` on, `size` of them, forwards (1) or backwards (-1)."""
     offsets = np.r_[0, np.cumsum(size)]
@@ -81,7 +108,10 @@ def _lists(hashes: np.ndarray, first: np.ndarray, size: np.ndarray, way: int) ->
 
 
 def fingerprints(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(h, doc, pos, left, right) of each selected line; left and right: hashes of the lines up to the next selected ones, nearest first."""
+    """(h, doc, pos, more, left, right) of each selected line and each of stretches(), which has `more` lines after its first.
+
+    left and right: of a selected line the hashes of the lines up to the next selected ones, nearest first; of a stretch nothing.
+    """
 
     def make():
         def work(part):
@@ -99,12 +129,18 @@ def fingerprints(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", tex
             before = np.maximum(np.r_[-1, chosen[:-1]], start[chosen] - 1) if len(chosen) else chosen
             after = np.minimum(np.r_[chosen[1:], len(h)], stop[chosen]) if len(chosen) else chosen
             doc = np.repeat(part.column("doc").to_numpy(zero_copy_only=False), sizes)
-            return {"h": h[chosen], "doc": doc[chosen], "pos": (chosen - start[chosen]).astype(np.int32), "left": _lists(h, chosen - 1, chosen - before - 1, -1), "right": _lists(h, chosen + 1, after - chosen - 1, 1)}
+            first, last, own = stretches(h, w, start, stop, run)
+            none = np.zeros(len(first), dtype=np.int64)
+            at = np.r_[chosen, first]
+            left = _lists(h, np.r_[chosen - 1, none], np.r_[chosen - before - 1, none], -1)
+            right = _lists(h, np.r_[chosen + 1, none], np.r_[after - chosen - 1, none], 1)
+            more = np.r_[np.zeros(len(chosen), dtype=np.int64), last - first]
+            return {"h": np.r_[h[chosen], own], "doc": doc[at], "pos": (at - start[at]).astype(np.int32), "more": more.astype(np.int32), "left": left, "right": right}
 
         return work
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return map_rows(rows, make, "h long, doc long, pos int, left array<long>, right array<long>")
+    return map_rows(rows, make, "h long, doc long, pos int, more int, left array<long>, right array<long>")
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -117,7 +153,8 @@ def repeated_runs(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", te
     """(doc, runs): stretches (first << 32 | last) of lines that equal earlier ones, by document. Earlier: of a lower id, or before in the text.
 
     Fingerprints are summed up by hash to the first place and a count; those that repeat meet their first place, and the match is extended
-    to both sides as far as lines agree, up to the next fingerprint, which has a match of its own if the run goes on.
+    to both sides as far as lines agree, up to the next fingerprint, which has a match of its own if the run goes on. A line's first place
+    may have other neighbours than a later one, so each stretch of `run` words has a hash and a first place of its own.
     """
     found = cut(fingerprints(docs, run, key, text))
     firsts = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -126,10 +163,12 @@ def repeated_runs(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", te
     is_first = (F.col("doc") == F.col("doc_1")) & (F.col("pos") == F.col("pos_1"))
     rows = cut(rows.withColumn("is_first", is_first).drop("doc_1", "pos_1"))
     # rows of one id that repeat have one place; any of them will do
-    sources = cut(rows.where("is_first").groupBy("h").agg(F.min("left").alias("left_1"), F.min("right").alias("right_1")))
-    both = rows.where("not is_first").join(sources, "h")
+    sources = cut(rows.where("is_first and more = 0").groupBy("h").agg(F.min("left").alias("left_1"), F.min("right").alias("right_1")))
+    both = rows.where("not is_first and more = 0").join(sources, "h")
     first, last = F.col("pos") - _same(F.col("left"), F.col("left_1")), F.col("pos") + _same(F.col("right"), F.col("right_1"))
     runs = both.select("doc", (first.cast("long") * (1 << 32) + last).alias("run"))
+    whole = rows.where("not is_first and more > 0")
+    runs = runs.unionByName(whole.select("doc", (F.col("pos").cast("long") * (1 << 32) + F.col("pos") + F.col("more")).alias("run")))
     return runs.groupBy("doc").agg(F.collect_set("run").alias("runs"))  # of a document's own lines at most
 
 
@@ -173,10 +212,10 @@ def _rewrite(run: int):
 
 def _without(text: str, runs, run: int) -> tuple[str, int]:
     lines = split_lines(text)
-    known = np.zeros(len(lines) + 2, dtype=bool)
-    for r in runs:
-        known[max(0, int(r) >> 32) + 1 : min(len(lines), (int(r) & 0xFFFFFFFF) + 1) + 1] = True
-    words = np.r_[0, np.cumsum(line_hashes(text, lines)[1])]
+    runs = np.asarray(runs, dtype=np.int64)
+    opened, closed = (np.bincount(np.clip(x, 0, len(lines)), minlength=len(lines) + 1) for x in (runs >> 32, (runs & 0xFFFFFFFF) + 1))
+    known = np.r_[False, np.cumsum(opened - closed)[:-1] > 0, False]
+    words = np.r_[0, np.cumsum([b.count(" ") + 1 for b in line_bodies(text, lines)])]
     # matches that touch are one run
     change = np.flatnonzero(known[1:] != known[:-1])
     gone = np.zeros(len(lines), dtype=bool)

@@ -161,6 +161,48 @@ def test_line_dedup_query(spark):
     assert removed == sum(r.n_removed for r in got.values()) > 0
 
 
+def removed_truth(texts, run=12):
+    """Lines that lie in a run of that many words which stands before, in a lower text or earlier in the same one, by all pairs of places."""
+    lines = [lines_of(t) for t in texts]
+    gone = [set() for _ in texts]
+    for d, own in enumerate(lines):
+        for i in range(len(own)):
+            for e in range(d + 1):
+                for j in range(len(lines[e]) if e < d else i):
+                    n = 0
+                    while i + n < len(own) and j + n < len(lines[e]) and own[i + n] == lines[e][j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in own[i : i + n]) >= run:
+                        gone[d].update(range(i, i + n))
+    return gone
+
+
+def test_line_dedup_of_runs_around_frequent_lines(spark):
+    rng = random.Random(4)
+    pool = [" ".join(prose(i, rng.randint(1, 8))) for i in range(25)]
+    texts = ["\n".join(rng.choices(pool, k=rng.randint(1, 25))) for _ in range(40)]
+    texts += ["\n".join(texts[i].split("\n")[2:]) for i in range(20)]
+    # a frequent line stands first among others; two later texts share a run around it
+    run = ["\n".join([" ".join(prose(900 + i, 6)), line, " ".join(prose(950 + i, 6))]) for i, line in enumerate(pool)]
+    texts += [f"{a} {i} of its own\n{t}" for i, t in enumerate(run) for a in ("one", "two")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in dedup_lines(df).collect()}
+    truth = removed_truth(texts)
+    assert sum(map(len, truth)) > 100
+    for d, t in enumerate(texts):
+        at = 0
+        old = [t[a:b] for a, b in split_lines(t)]
+        # at least what brute force finds goes: the text that stays is within the other lines
+        rest = [x for i, x in enumerate(old) if i not in truth[d]]
+        for x in (got[d].text[a:b] for a, b in split_lines(got[d].text)):
+            while at < len(rest) and rest[at].strip() != x.strip():
+                at += 1
+            assert at < len(rest), (d, x)
+            at += 1
+    for i in range(len(pool)):
+        assert got[60 + 2 * i + 1].text.strip() == f"two {i} of its own"
+
+
 # --- n-grams
 
 
