@@ -32,7 +32,7 @@ def split_lines(text: str) -> list[tuple[int, int]]:
     start = 0
     for end in (*(m.end() for m in _END.finditer(text)), len(text)):
         if end > start:
-            if end - start > 2 * LONG_WORDS and text.count(" ", start, end) >= LONG_WORDS:
+            if end - start > 2 * LONG_WORDS and len(text[start:end].split()) > LONG_WORDS:
                 for m in _WORD.finditer(text, start, end):
                     if xxhash.xxh32_intdigest(m.group().rstrip()) % CUT_ONE_IN == 0 and m.end() < end:
                         out.append((start, m.end()))
@@ -43,14 +43,21 @@ def split_lines(text: str) -> list[tuple[int, int]]:
 
 
 def line_bodies(text: str, lines: list[tuple[int, int]]) -> list[str]:
-    return [text[a:b].strip() for a, b in lines]
+    """The lines' words, parted by single spaces."""
+    bodies = [text[a:b].strip() for a, b in lines]
+    # all white space but the space counts as not printable, so few lines are split
+    return [b if b.isprintable() and "  " not in b else " ".join(b.split()) for b in bodies]
+
+
+def _words(bodies: list[str]) -> np.ndarray:
+    return np.fromiter((b.count(" ") + 1 if b else 0 for b in bodies), np.int64, len(bodies))
 
 
 def line_hashes(text: str, lines: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and numbers of words (parted by single spaces) of the lines, without the white space around them."""
+    """Hashes and numbers of words of the lines, whatever white space parts the words."""
     bodies = line_bodies(text, lines)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, bodies), np.uint64, len(bodies)).view(np.int64)
-    return hashes, np.fromiter((b.count(" ") + 1 for b in bodies), np.int64, len(bodies))
+    return hashes, _words(bodies)
 
 
 def winnow(hashes: np.ndarray, words: np.ndarray, stop: np.ndarray, run: int) -> np.ndarray:
@@ -176,7 +183,8 @@ def dedup_lines(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text
     """docs with later copies of repeated runs deleted from the text, and n_removed lines (and n_chars, if there, of the new text).
 
     A run is deleted if its whole lines have at least `run` words and stand before, in the same text or in ones of a lower id; matches
-    that touch are one run. The first copy of each line always stays, as what is deleted equals something earlier. Lines are equal by case, white space around them aside.
+    that touch are one run. The first copy of each line always stays, as what is deleted equals something earlier. White space around and within lines
+    does not matter, case does.
     Null texts stay null, empty ones empty. Rows with a null id are left as they are. Rows that repeat an id and a text are one place:
     none is deleted for the other. No rows: no rows. A column n_removed is replaced.
     """
@@ -215,7 +223,7 @@ def _without(text: str, runs, run: int) -> tuple[str, int]:
     runs = np.asarray(runs, dtype=np.int64)
     opened, closed = (np.bincount(np.clip(x, 0, len(lines)), minlength=len(lines) + 1) for x in (runs >> 32, (runs & 0xFFFFFFFF) + 1))
     known = np.r_[False, np.cumsum(opened - closed)[:-1] > 0, False]
-    words = np.r_[0, np.cumsum([b.count(" ") + 1 for b in line_bodies(text, lines)])]
+    words = np.r_[0, np.cumsum(_words(line_bodies(text, lines)))]
     # matches that touch are one run
     change = np.flatnonzero(known[1:] != known[:-1])
     gone = np.zeros(len(lines), dtype=bool)

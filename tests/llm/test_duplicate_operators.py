@@ -203,6 +203,17 @@ def test_line_dedup_of_runs_around_frequent_lines(spark):
         assert got[60 + 2 * i + 1].text.strip() == f"two {i} of its own"
 
 
+@pytest.mark.parametrize("white", ["  ", "\t", "\u00a0", " \u3000"])
+def test_line_dedup_whatever_the_white_space(spark, white):
+    line, long_ = " ".join(prose(1, 13)) + ".", " ".join(prose(2, 60)) + "."
+    short = "\n".join(" ".join(prose(i, 5)) for i in range(10, 13))
+    texts = [x for t in (line, long_, short) for x in (t, t.replace(" ", white), t)]
+    texts += [white.join(prose(3, 13)), white.join(prose(3, 13)), white.join(prose(4, 6)), white.join(prose(4, 6))]
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    gone = {1, 2, 4, 5, 7, 8, 10}
+    assert all(got[i].text == ("" if i in gone else t) for i, t in enumerate(texts))
+
+
 # --- n-grams
 
 
