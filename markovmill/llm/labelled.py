@@ -9,14 +9,24 @@ from pyspark.sql import functions as F
 from .common import cut, held_out
 
 
+def _eligible(labels: DataFrame, label: str, parts: int, rest: int, key: str) -> DataFrame:
+    own = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key), parts, rest))
+    return own.groupBy(F.col(key).alias("key_")).agg(F.max(F.col(label).cast("int")).alias("y"))
+
+
+def class_weights(labels: DataFrame, label: str, parts: int, rest: int, most: int, key: str = "doc_id") -> tuple[float, float]:
+    """How many labels each label of class 0 and of class 1 in labelled_sample() stands for: 1, or more where the class is cut."""
+    n = {r.y: r["count"] for r in _eligible(labels, label, parts, rest, key).groupBy("y").count().collect()}
+    return tuple(max(1.0, n.get(y, 0) / (most // 2)) for y in (0, 1))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, rest: int, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key_, text, y, fold) of at most `most` labelled documents outside the held-out fold, those of least hash.
 
     Each class gets up to half of `most`, so that a rare one is not crowded out. Repeated labels: the greatest counts; null labels and
     ids: left out. A repeated doc_id in docs: each row. fold: 0 to 3, by hash.
     """
-    own = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key), parts, rest))
-    own = own.groupBy(F.col(key).alias("key_")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    own = _eligible(labels, label, parts, rest, key)
     picked = [own.where(F.col("y") == y).orderBy(F.xxhash64("key_", F.lit(5)), "key_").limit(most // 2) for y in (0, 1)]
     ids = picked[0].unionByName(picked[1])
     body = docs.select(F.col(key).alias("key_"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, map_rows, small_batches
-from .labelled import labelled_sample, logistic
+from .labelled import class_weights, labelled_sample, logistic
 
 WORD = re.compile(r"\w+")
 #: Prefix lengths to which a word without evidence of its own backs off, longest first.
@@ -98,10 +98,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, rest: int =
     """Learns from at most `most` labelled documents outside the held-out fold; up to `vocabulary` features come to the driver.
 
     Three folds of the sample give the log-odds of words and word prefixes, by the documents that hold them, with a Dirichlet prior of
-    weight `prior` after the pooled sample; features whose signed likelihood ratio is under `least_gain` say nothing. The fourth fold gives the calibration.
+    weight `prior` after the pooled sample; features whose signed likelihood ratio is under `least_gain` say nothing. The fourth fold gives the calibration,
+    with weights that restore the classes' shares of all labels where the sample cuts a class.
     No labels, or of one class: scores are the smoothed share of toxic ones.
     """
     sample = labelled_sample(docs, labels, "toxic", parts, rest, most, key, text)
+    clean, toxic = class_weights(labels, "toxic", parts, rest, most, key)
 
     def make():
         def count(part):
@@ -117,7 +119,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, rest: int =
     sums = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
     n_t, n_c = float(sums[0]), float(sums[1])
     if not n_t or not n_c:
-        return ToxicityModel({}, drift, 1.0, 0.1, *_share(sample))
+        return ToxicityModel({}, drift, 1.0, 0.1, *_share(sample, clean, toxic))
     alpha = prior * (F.col("t") + F.col("c")) / (n_t + n_c or 1)
     odds = F.log((F.col("t") + alpha) / (n_t + prior - F.col("t") - alpha)) - F.log((F.col("c") + alpha) / (n_c + prior - F.col("c") - alpha))
     expected = (F.col("t") + F.col("c")) * n_t / (n_t + n_c or 1)
@@ -141,13 +143,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, rest: int =
 
     rows = map_rows(sample.where("fold = 3"), make_scores, "x double, y int").collect()  # at most `most` pairs of numbers
     x, y = np.array([min(r.x, 60.0) for r in rows]), np.array([float(r.y) for r in rows])
-    a, b = logistic(x, y, np.ones(len(y)))
+    weight = np.where(y == 1, toxic, clean)
+    a, b = logistic(x, y, weight * len(y) / (weight.sum() or 1))  # a mean of one, as the ridge is for rows of weight one
     return ToxicityModel(scores, drift, decay, blank.scale, a, b)
 
 
-def _share(sample: DataFrame) -> tuple[float, float]:
-    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    return float(np.log((toxic + 0.5) / (n - toxic + 0.5))), 0.0
+def _share(sample: DataFrame, clean: float, toxic: float) -> tuple[float, float]:
+    n, t = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    return float(np.log((toxic * t + 0.5) / (clean * (n - t) + 0.5))), 0.0
 
 
 def _decay(scores: list[float], shares: list[float], drift: float) -> float:

@@ -191,6 +191,20 @@ def test_classifiers(spark, odd, fit, score, name, parts, rest):
     assert fit(docs.limit(0), labels).a is not None
 
 
+def test_toxicity_is_calibrated_alike_where_the_sample_cuts_a_class(spark):
+    rng = random.Random(8)
+    docs = []
+    for i in range(2000):
+        words = rng.choices(["ba", "co", "di", "fu", "ge", "ha", "ki"], k=20)
+        docs.append((i, " ".join(words + ["vile"] * (rng.random() < (0.15 if i % 10 else 0.7))), int(i % 10 == 0)))
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string, toxic int").repartition(3).cache()
+    means = [score_toxicity(docs, fit_toxicity(docs, docs.select("doc_id", "toxic"), most=most)).agg({"score": "avg"}).first()[0] for most in (300, 16_000)]
+    assert all(abs(m - 0.1) < 0.05 for m in means), means
+    # documents with some evidence are clean more often than not
+    model = fit_toxicity(docs, docs.select("doc_id", "toxic"), most=300)
+    assert score_toxicity(docs, model).where("predicted = 1").count() == 0
+
+
 def test_without_toxic(spark, odd):
     docs, labels = labelled(spark)
     model = fit_toxicity(docs, labels)
