@@ -17,8 +17,9 @@ SHARD_ROWS, BLOCK = 600, 1_000
 OVERLAP = (2, 4, 8)
 #: Neighbours within the range and beyond it that pruning keeps, its slack, and the width of the search's beam.
 NEAR, FAR, ALPHA, BEAM = 16, 16, 1.2, 24
-#: Vectors whose links are counted over all the table to audit recall, and the least recall that is accepted.
-AUDIT_ROWS, LEAST_RECALL = 200, 0.97
+#: Vectors whose links are counted over all the table to audit recall, at first and, while too few have few links, at most; vectors of up
+#: to FEW_LINKS links that are wanted among them; the least recall that is accepted.
+AUDIT_ROWS, AUDIT_MOST, FEW_LINKS, AUDIT_FEW, LEAST_RECALL = 200, 3_200, 16, 50, 0.97
 
 
 def robust_prune(sims: np.ndarray, allowed: np.ndarray, degree: int, alpha: float = ALPHA) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -201,25 +202,62 @@ def _graph(dealt: DataFrame, near: float) -> DataFrame:
     return lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("adjacent"))).alias("adjacent"))
 
 
-def _audit(vectors: DataFrame, counts: DataFrame, near: float) -> float:
-    """Recall of links over AUDIT_ROWS vectors that a hash picks, against all vectors."""
+def _true_links(vectors: DataFrame, near: float) -> dict[int, int]:
+    """Links over the whole table of vectors that a hash picks: AUDIT_ROWS, and more while few of them have few links, up to AUDIT_MOST."""
     import pandas as pd
 
-    picked = vectors.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(AUDIT_ROWS).collect()
-    if not picked:
-        return 1.0
-    ids, x = np.array([r.id for r in picked]), _unit([r.v for r in picked])
+    wanted, start, done = AUDIT_ROWS, 0, {}
+    while True:
+        picked = vectors.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(wanted).collect()[start:]
+        if not picked:
+            return done
+        ids, x = np.array([r.id for r in picked]), _unit([r.v for r in picked])
 
-    def run(frames):
-        for f in frames:
-            if len(f):
-                hit = (x @ _unit(f["v"].tolist()).T >= near) & (ids[:, None] != f["id"].to_numpy()[None, :])
-                yield pd.DataFrame({"id": ids, "links": hit @ f["mult"].to_numpy(dtype=np.int64)})
+        def run(frames, ids=ids, x=x):
+            links = np.zeros(len(ids), dtype=np.int64)
+            for f in frames:
+                if len(f):
+                    hit = (x @ _unit(f["v"].tolist()).T >= near) & (ids[:, None] != f["id"].to_numpy()[None, :])
+                    links += hit @ f["mult"].to_numpy(dtype=np.int64)
+            yield pd.DataFrame({"id": ids, "links": links})
+
+        true = vectors.mapInPandas(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("n")).collect()
+        done |= {r.id: done.get(r.id, 0) + r.n for r in true}
+        if wanted >= AUDIT_MOST or sum(0 < n <= FEW_LINKS for n in done.values()) >= AUDIT_FEW:
+            return done
+        start, wanted = wanted, min(4 * wanted, AUDIT_MOST)
+
+
+def _recall(true: dict[int, int], counts: DataFrame) -> float:
+    """Mean share of a vector's links that are found, of vectors with few links or of those with more, whichever is less, so that a large
+    group doesn't hide what small ones lose."""
+    rows = counts.sparkSession.createDataFrame([(i,) for i, n in true.items() if n] or [(-1,)], "id long")
+    found = {r.id: r.links for r in counts.join(F.broadcast(rows), "id").collect()}  # at most AUDIT_MOST rows
+    shares = [[min(found.get(i, 0), n) / n for i, n in true.items() if n and (n <= FEW_LINKS) == few] for few in (True, False)]
+    return min((float(np.mean(s)) for s in shares if s), default=1.0)
+
+
+def _all_pairs(dealt: DataFrame, near: float) -> DataFrame:
+    """(id, links, root) as of _search(), by comparing all vectors of each pair of blocks."""
+
+    def run(g: dict) -> dict | None:
+        ids, mult, block = np.asarray(g["id"]), np.asarray(g["mult"]), np.asarray(g["block"])
+        order = np.argsort(ids)
+        ids, mult, block = ids[order], mult[order], block[order]
+        x = _unit([g["v"][i] for i in order])
+        i, j = np.nonzero(np.triu(x @ x.T >= near - 1e-9, 1))
+        own = np.einsum("ij,ij->i", x[i], x[j]) >= near
+        if g["block_i"][0] != g["block_j"][0]:
+            own &= block[i] != block[j]
+        i, j = i[own], j[own]
+        if not len(i):
+            return None
+        links = np.bincount(i, weights=mult[j], minlength=len(ids)) + np.bincount(j, weights=mult[i], minlength=len(ids))
+        root = forest(len(ids), i, j)
+        has = np.flatnonzero(links)
+        return {"id": ids[has].tolist(), "links": links[has].astype(np.int64).tolist(), "root": ids[root[has]].tolist()}
 
-    true = vectors.mapInPandas(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("n")).collect()
-    found = {r.id: r.links for r in counts.where(F.col("id").isin(ids.tolist())).collect()}
-    total = sum(r.n for r in true)
-    return sum(min(found.get(r.id, 0), r.n) for r in true) / total if total else 1.0
+    return map_groups(dealt, ["block_i", "block_j"], run, "id long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, near: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -230,8 +268,8 @@ def near_duplicates(vectors: DataFrame, near: float = 0.9, key: str = "vec_id",
     an id with several vectors has the links of each. Null ids: no links. No rows: no rows. Other columns aren't read.
 
     Each shard's graph is built from its members alone; lists of one vector are joined over its shards, and the shard's members are
-    searched over the joined lists. An audit counts links of AUDIT_ROWS vectors over the whole table; under LEAST_RECALL the shards
-    overlap more. Large shards are dealt to pairs of blocks, so that a hot cluster is many tasks.
+    searched over the joined lists. An audit counts links of AUDIT_ROWS vectors or more over the whole table, by vector; under LEAST_RECALL
+    the shards overlap more, and after the last overlap all vectors are compared, in pairs of blocks. Large shards are dealt to pairs of blocks, so that a hot cluster is many tasks.
     """
     v = F.col(vector).cast(T.ArrayType(T.DoubleType()))
     rows = vectors.select(F.col(key).cast("long").alias("id_"), v.alias("v"))
@@ -249,6 +287,7 @@ def near_duplicates(vectors: DataFrame, near: float = 0.9, key: str = "vec_id",
     sample = once.select("v").orderBy(F.xxhash64("digest")).limit(FIT_ROWS).collect()
     x = _unit([r.v for r in sample])
     centroids = fit_centroids(x, max(1, min(MOST_CENTROIDS, len(x), -(-n // SHARD_ROWS))))
+    true = _true_links(once, near)
     for overlap in OVERLAP:
         sharded = cut(_shards(once.select("id", "mult", "v"), centroids, min(overlap, len(centroids))))
         sizes = cut(sharded.groupBy("shard").agg(F.count("*").alias("size")))
@@ -256,9 +295,14 @@ def near_duplicates(vectors: DataFrame, near: float = 0.9, key: str = "vec_id",
         graph = cut(_graph(dealt, near))
         linked = cut(_search(dealt, graph, near))
         counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
-        recall = _audit(once, counts, near)
+        recall = _recall(true, counts)
         if recall >= LEAST_RECALL:
             break
+    else:
+        dealt = blocks(once.select("id", "mult", "v").withColumn("size", F.lit(n)), "size", F.col("id"), BLOCK)
+        linked = cut(_all_pairs(dealt, near))
+        counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
+        recall = _recall(true, counts)
     classes = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))
     facts = once.select("digest", "id", "mult").join(counts, "id", "left").join(classes, "id", "left")
     facts = cut(facts.where("mult > 1 or links is not null").withColumnRenamed("id", "rep"))

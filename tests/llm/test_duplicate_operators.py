@@ -96,6 +96,25 @@ def test_vectors_of_a_hot_cluster(spark, monkeypatch):
     assert sum(r.n_links for r in got) >= 0.97 * sum(count) and [r.component_id for r in got] == own
 
 
+def test_vectors_of_small_groups_beside_a_hot_one(spark, monkeypatch):
+    import markovmill.llm.embedding_dedup as E
+
+    rng = np.random.default_rng(9)
+    hot = ([1.0] + [0.0] * 7 + rng.normal(size=(150, 8)) * 0.05).tolist()
+    pairs = [(c + rng.normal(size=8) * 0.02).tolist() for c in rng.normal(size=(60, 8)) for _ in (0, 1)]
+    vectors = hot + pairs
+    search = E._search
+
+    def lossy(dealt, graph, near):  # of the small groups nothing is found, whatever the overlap
+        return search(dealt, graph, near).where(f"id < {len(hot)}")
+
+    monkeypatch.setattr(E, "_search", lossy)
+    monkeypatch.setattr(E, "BLOCK", 100)
+    got = near_duplicates(spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<double>")).orderBy("vec_id").collect()
+    count, own = vector_truth(vectors)
+    assert [r.n_links for r in got] == count and [r.component_id for r in got] == own and got[0].audited_recall == 1.0
+
+
 def test_vector_query(spark):
     rows = spark.read.parquet(f"{DIR}/embeddings.parquet").orderBy("vec_id").collect()
     got = Q.op1_embedding_neardup(spark, DIR).orderBy("vec_id").collect()
