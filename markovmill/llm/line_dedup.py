@@ -15,8 +15,8 @@ from .common import cut, map_rows, sent_if_small
 
 #: Words that a repeated run must have; each such run of whole lines is found.
 RUN_WORDS = 12
-#: A sentence of more words without an end mark is cut after words that a hash picks, one in CUT_ONE_IN.
-LONG_WORDS, CUT_ONE_IN = 40, 12
+#: A sentence of more words without an end mark is cut after words of least hash, one at least in each stretch of CUT_WITHIN words.
+LONG_WORDS, CUT_WITHIN = 40, 12
 
 _END = re.compile(r"[.!?]\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
@@ -33,15 +33,31 @@ def split_lines(text: str) -> list[tuple[int, int]]:
     for end in (*(m.end() for m in _END.finditer(text)), len(text)):
         if end > start:
             if end - start > 2 * LONG_WORDS and len(text[start:end].split()) > LONG_WORDS:
-                for m in _WORD.finditer(text, start, end):
-                    if xxhash.xxh32_intdigest(m.group().rstrip()) % CUT_ONE_IN == 0 and m.end() < end:
-                        out.append((start, m.end()))
-                        start = m.end()
+                for stop in _cuts(text, start, end):
+                    if stop < end:
+                        out.append((start, stop))
+                        start = stop
             out.append((start, end))
         start = max(start, end)
     return out
 
 
+def _cuts(text: str, start: int, end: int) -> list[int]:
+    """Ends of the words that have the least hash, the last of equal ones, of any CUT_WITHIN words in a row.
+
+    Two sentences that share a passage of n words have the same cuts from its first CUT_WITHIN words to its last ones, and none there that
+    only one has: all but CUT_WITHIN words at most on each side are whole lines in both.
+    """
+    words = [(m.end(), xxhash.xxh32_intdigest(m.group().rstrip())) for m in _WORD.finditer(text, start, end)]
+    n = len(words)
+    key = np.fromiter((h for _, h in words), np.int64, n) << 31 | np.arange(n - 1, -1, -1)
+    least = key[: n - CUT_WITHIN + 1].copy()
+    for s in range(1, CUT_WITHIN):
+        np.minimum(least, key[s : n - CUT_WITHIN + 1 + s], out=least)
+    picked = np.unique(n - 1 - (least & 0x7FFFFFFF))
+    return [words[i][0] for i in picked.tolist()]
+
+
 def line_bodies(text: str, lines: list[tuple[int, int]]) -> list[str]:
     """The lines' words, parted by single spaces."""
     bodies = [text[a:b].strip() for a, b in lines]

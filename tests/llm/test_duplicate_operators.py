@@ -233,6 +233,19 @@ def test_line_dedup_whatever_the_white_space(spark, white):
     assert all(got[i].text == ("" if i in gone else t) for i, t in enumerate(texts))
 
 
+def test_line_dedup_of_passages_in_running_text(spark):
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(n)]
+    passages = [words(51) for _ in range(150)]
+    texts = [" ".join(words(60) + p + words(60)) for p in passages for _ in (0, 1)]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, p in enumerate(passages):
+        assert got[2 * i] == texts[2 * i]
+        left = set(got[2 * i + 1].split())
+        # all of it goes but up to 12 words at each end, and nothing else does
+        assert not left & set(p[12:-12]) and left >= set(texts[2 * i + 1].split()) - set(p)
+
+
 # --- n-grams
 
 
