@@ -32,10 +32,10 @@ class _Partition:
 
 def _index(sets: list[np.ndarray], hashes: int) -> list[_Partition]:
     sizes = np.array([len(s) for s in sets])
-    out, upper = [], 8
+    out, upper = [], 1
     done = 0
     while done < len(sets):
-        mine = np.flatnonzero((sizes <= upper) & (sizes > (upper / RATIO if out or upper > 8 else 0)))
+        mine = np.flatnonzero((sizes <= upper) & (sizes > upper / RATIO))
         if len(mine):
             least = np.array([hash_rows(sets[i], hashes).min(axis=1) for i in mine], dtype=np.uint64)
             keys = (np.arange(hashes, dtype=np.uint64)[None, :] << np.uint64(32) | least).ravel()

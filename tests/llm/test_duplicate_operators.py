@@ -338,6 +338,13 @@ def test_decontamination(spark):
         find_contamination(docs, tests, least=0)
 
 
+def test_decontamination_of_items_of_a_few_words(spark):
+    items = [" ".join(f"w{i}x{k}" for k in range(5 + i % 4)) for i in range(8)]
+    docs = [(i, " ".join(prose(i, 300)) + " " + items[i % 8] + " " + " ".join(prose(5000 + i, 300))) for i in range(800)]
+    found = find_contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i % 8) for i in range(800)}
+
+
 # --- revisits
 
 RECORD = "record_id bigint, url string, kind string, at bigint, etag string, last_modified string, digest string, headers map<string,string>, canonical_url string, stretch int"
