@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, release
 from .ngrams import count_transitions, weigh
 
 
@@ -45,37 +46,58 @@ def cluster_numbers(documents: int, experts: int, centroids: int) -> tuple[int,
 def pick_seeds(docs: DataFrame, experts: int, centroids: int, seed: int = 0, key: str = "doc_id", distinct: bool = False) -> DataFrame:
     """(expert, key): documents in the order of a seeded hash, `centroids` to each expert in turn; distinct: copies of a text count once.
 
-    The order is a top-k of two columns, not a sort of the corpus."""
+    The order is a top-k of two columns, not a sort of the corpus; places are counted by the hash's first digits, not in one task."""
     rows = docs.dropDuplicates(["tokens"]) if distinct else docs
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))
     top = rows.select(key, order.alias("o")).orderBy("o", key).limit(experts * centroids)
-    rn = F.row_number().over(Window.orderBy("o", key))  # of experts x centroids rows
-    return top.select(F.floor((rn - 1) / centroids).cast("int").alias("expert"), key)
+    place = numbered(top.withColumn("part", F.substring("o", 1, 3)), "part", "o", key)
+    return place.select(F.floor(F.col("place") / centroids).cast("int").alias("expert"), key)
+
+
+def numbered(rows: DataFrame, part: str, *order: str) -> DataFrame:
+    """rows with `place`, from 0 in the order of `part` and, within it, of `order`. Parts are counted; each is ranked by itself."""
+    counts = rows.groupBy(part).agg(F.count("*").alias("n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # of as many rows as there are parts
+    firsts = counts.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_"))
+    ranked = rows.withColumn("rank_", F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    return ranked.join(firsts, part).withColumn("place", F.col("first_") + F.col("rank_") - 1).drop("first_", "rank_")
 
 
 def seeds_by_similarity(docs: DataFrame, experts: int, centroids: int, seed: int = 0, key: str = "doc_id") -> DataFrame:
     """(expert, key): the first expert's seeds at random, each later one's drawn by weights of the inverse geometric mean of the
-    similarities to the experts before, without replacement (largest u^(1/w)). A loop over experts, each a pass over the documents."""
-    tf = term_frequency(docs, key)
-    found = pick_seeds(docs, 1, centroids, seed, key)
+    similarities to the experts before, without replacement (largest u^(1/w)).
+
+    A loop over experts: each is one pass over the documents, for their similarity to the expert drawn last, whose logarithm joins the
+    documents' running sums; these are cut at each step.
+    """
+    tf = cut(term_frequency(docs, key))
+    found = cut(pick_seeds(docs, 1, centroids, seed, key))
+    sums = docs.select(key, F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    before = None
     for e in range(1, experts):
-        sims = similarity(docs, cluster_ranks(docs, found, tf, key, centroids), key)
+        sims = similarity(docs, cluster_ranks(docs, found.where(F.col("expert") == e - 1), tf, key, centroids), key)
         # similarities may be negative; the note's weights are of positive ones
-        weight = F.exp(-F.avg(F.log(F.greatest(F.col("sim"), F.lit(1e-6)))))
-        weights = docs.select(key).join(sims, key, "left").fillna(1.0, ["sim"]).groupBy(key).agg(weight.alias("w"))
-        free = weights.join(F.broadcast(found.select(key)), key, "left_anti")
+        log = F.log(F.greatest(F.col("sim"), F.lit(1e-6)))
+        joined = sums.join(sims.select(key, log.alias("log")), key, "left")
+        sums = cut(joined.select(key, (F.col("s") + F.coalesce("log", F.lit(0.0))).alias("s"), (F.col("n") + F.col("log").isNotNull().cast("int")).alias("n")))
+        release(before)
+        before = sums
+        free = sums.join(found.select(key), key, "left_anti")
+        weight = F.when(F.col("n") > 0, F.exp(-F.col("s") / F.col("n"))).otherwise(1.0)
         u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|{e}|"), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") + 1) / (2**32 + 1)
-        drawn = free.select(key, (F.log(u) / F.col("w")).alias("o")).orderBy(F.desc("o"), key).limit(centroids)
-        found = found.unionByName(drawn.select(F.lit(e).alias("expert"), key))
+        drawn = free.select(key, (F.log(u) / weight).alias("o")).orderBy(F.desc("o"), key).limit(centroids)
+        held = found
+        found = cut(found.unionByName(drawn.select(F.lit(e).alias("expert"), key)))
+        release(held)
     return found
 
 
 def cluster_ranks(docs: DataFrame, seeds: DataFrame, tf: DataFrame, key: str = "doc_id", centroids: int | None = None) -> DataFrame:
     """(expert, word, rank): log2 of the seeds' mean frequency (each occurrence counts) less log2 of the corpus's tf."""
-    own = docs.join(F.broadcast(seeds), key)
+    own = docs.join(seeds, key)  # sent to the documents if small, by the session's own limit
     size = seeds.groupBy("expert").agg(F.count("*").alias("k"))
     counts = own.select("expert", key, F.size("tokens").alias("len"), F.explode_outer("tokens").alias("word")).where("word is not null").groupBy("expert", key, "word", "len").agg(F.count("*").alias("cnt"))
-    sums = counts.join(F.broadcast(size), "expert").groupBy("expert", "word").agg(F.sum(F.col("cnt") * F.col("cnt") / F.col("len") / F.col("k")).alias("sdf"))
+    sums = counts.join(size, "expert").groupBy("expert", "word").agg(F.sum(F.col("cnt") * F.col("cnt") / F.col("len") / F.col("k")).alias("sdf"))
     eps = 2.0**-23  # of single precision, for words that the corpus lacks
     return sums.join(tf.select("word", "tf"), "word", "left").select("expert", "word", (F.log2("sdf") - F.log2(F.coalesce("tf", F.lit(eps)))).alias("rank"))
 

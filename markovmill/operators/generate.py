@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import START, STOP, WordTokenizer, fill_template
-from ..plans.lineage import cut
-from .ngrams import to_columns
-from .predict import Chains, activate, predict, similarities
+from ..plans.lineage import cut, release
+from .ngrams import from_columns, to_columns
+from .predict import Chains, activated, predict, similarities, successors
 from .vocabulary import encode
 
+#: Similarities are kept as whole millionths.
+MILLION = 1e6
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -34,37 +37,84 @@ def generate(prompts: DataFrame, chains: Chains, limits: Limits, steps: int, see
 
     prompts: from prepare_prompts(). A step gives each live query its next token: from what the step before appended and has not given,
     else predicted, when all of the transition's tokens are appended. A query ends at a stop token, which is not given, without candidates,
-    at max_tokens of the sequence (prompt included, tokens not given yet lost) or with top_k 0. The plan is cut after each step, and the loop
-    ends early when all queries have.
+    at max_tokens of the sequence (prompt included, tokens not given yet lost) or with top_k 0.
+
+    The state, a row for each query, is cut at each step, the one before released, and the loop ends early when all queries have. A
+    sequence's similarities to the experts are sums over its words, so a step adds those of the appended words. Joins for short contexts
+    are planned only while there are some; greedy steps by the base chain alone look up a table of successors.
     """
-    tos = to_columns(chains.n_to)
-    state = prompts.select("query_id", "seq", F.size("seq").alias("ptr"), F.array().cast("array<string>").alias("words"), F.lit(limits.top_k == 0).alias("done"))
-    used = None
+    n_from, tos = chains.n_from, to_columns(chains.n_to)
+    active = min(limits.active, chains.total)
+    full = F.col("done") | (F.size("seq") >= limits.max_tokens)
+    state = prompts.select("query_id", "seq", F.size("seq").alias("ptr"), F.array().cast("array<string>").alias("words"), F.lit(limits.top_k == 0).alias("done"), F.array().cast("array<int>").alias("uses"))
+    ranks = None
+    if active:
+        ranks = cut(_word_ranks(chains.ranks, chains.total))
+        sims = F.transform(F.array_sort(F.collect_list(F.struct("expert", "sim"))), lambda x: F.round(x["sim"] * MILLION).cast("bigint"))
+        state = state.join(similarities(prompts, chains.ranks, chains.total).groupBy("query_id").agg(sims.alias("sims")), "query_id")
+    following = before = None
     for step in range(steps):
-        state = state.withColumn("done", F.col("done") | (F.size("seq") >= limits.max_tokens))
-        asking = state.where(~F.col("done") & (F.col("ptr") >= F.size("seq")))
-        if limits.active and chains.total:
-            uses = activate(similarities(asking, chains.ranks, chains.total), limits.active).select("query_id", "expert")
-            used = uses if used is None else used.unionByName(uses)
-        found = predict(asking.select("query_id", "seq"), chains, limits.active, max(1, limits.top_k), F.lit(step), seed)
-        state = state.join(found.select("query_id", F.array(*tos).alias("to")), "query_id", "left")
-        pending = F.col("ptr") < F.size("seq")
-        seq = F.when(F.col("done") | F.col("to").isNull(), F.col("seq")).otherwise(F.concat("seq", "to"))
+        state = cut(state.withColumn("done", full))
+        release(before)
+        before = state
+        live, shortest = state.where("not done").agg(F.count("*"), F.min(F.size("seq"))).first()
+        if not live:
+            break
+        asks = ~F.col("done") & (F.col("ptr") >= F.size("seq"))
+        if active:
+            state = state.withColumn("chosen", activated(F.transform("sims", lambda s: s / MILLION), active, chains.total))
+            state = state.withColumn("uses", F.when(asks, F.concat("uses", F.transform("chosen", lambda x: x["expert"].cast("int")))).otherwise(F.col("uses")))
+        asking = state.where(asks)
+        if seed is None and not active and shortest >= n_from:
+            following = cut(successors(chains.base, n_from, chains.n_to)) if following is None else following
+            last = [F.element_at("seq", i - n_from).alias(f) for i, f in enumerate(from_columns(n_from))]
+            found = asking.select("query_id", *last).join(following, from_columns(n_from))
+        else:
+            found = predict(asking, chains, active, max(1, limits.top_k), F.lit(step), seed, shortest)
+        found = found.select("query_id", F.array(*tos).alias("to"))
+        if active:
+            found = _with_ranks(found, ranks, chains.n_to)
+        state = state.join(found, "query_id", "left")
+        pending, none = F.col("ptr") < F.size("seq"), F.col("done") | F.col("to").isNull()
+        seq = F.when(none, F.col("seq")).otherwise(F.concat("seq", "to"))
         dead = F.col("done") | (~pending & F.col("to").isNull())
-        state = state.select("query_id", seq.alias("seq"), (F.col("ptr") + F.when(dead, 0).otherwise(1)).alias("ptr"), "words", dead.alias("done"), (~dead).alias("moved"))
+        more = [F.when(none | F.col("more").isNull(), F.col("sims")).otherwise(F.zip_with("sims", "more", lambda a, b: a + b)).alias("sims")] if active else []
+        state = state.select("query_id", seq.alias("seq"), (F.col("ptr") + F.when(dead, 0).otherwise(1)).alias("ptr"), "words", dead.alias("done"), "uses", *more, (~dead).alias("moved"))
         word = F.element_at("seq", F.col("ptr"))
         stopped = F.col("moved") & word.isin(list(limits.stops))
         words = F.when(F.col("moved") & ~stopped, F.concat("words", F.array(word))).otherwise(F.col("words"))
-        state = state.select("query_id", "seq", "ptr", words.alias("words"), (F.col("done") | stopped).alias("done"))
-        if step + 1 < steps:
-            state = cut(state)  # each step reads its state several times
-            if state.where("not done").limit(1).count() == 0:
-                break
-    return state.select("query_id", "words", "done"), _usage(prompts, used, chains.total)
+        state = state.withColumn("words", words).withColumn("done", F.col("done") | stopped).drop("moved")
+    else:
+        state = cut(state.withColumn("done", full))
+        release(before)
+    release(following, ranks)
+    return state.select("query_id", "words", "done"), _usage(state, chains.total)
+
+
+def _word_ranks(ranks: DataFrame, total: int) -> DataFrame:
+    """(word, ranks): each expert's rank of the word in millionths, 0 where it has none."""
+    own = F.map_from_entries(F.collect_list(F.struct("expert", F.round(F.col("rank") * MILLION).cast("bigint"))))
+    return ranks.groupBy("word").agg(own.alias("own")).select("word", F.transform(F.sequence(F.lit(0), F.lit(total - 1)), lambda e: F.coalesce(F.col("own")[e], F.lit(0))).alias("ranks"))
 
 
-def _usage(prompts: DataFrame, used: DataFrame | None, total: int) -> DataFrame:
-    every = prompts.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(max(total, 1) - 1))).alias("expert"))
-    counts = used.groupBy("query_id", "expert").agg(F.count("*").alias("uses")) if used is not None else every.select("query_id", "expert", F.lit(0).cast("bigint").alias("uses")).limit(0)
+def _with_ranks(found: DataFrame, ranks: DataFrame, n_to: int) -> DataFrame:
+    """found (query_id, to) with `more`, the sum of the words' ranks by expert."""
+    for i in range(n_to):
+        found = found.withColumn("word", F.get("to", F.lit(i))).join(ranks.withColumnRenamed("ranks", f"ranks{i}"), "word", "left").drop("word")
+    more = F.col("ranks0")
+    for i in range(1, n_to):
+        more = F.when(more.isNull(), F.col(f"ranks{i}")).when(F.col(f"ranks{i}").isNull(), more).otherwise(F.zip_with(more, f"ranks{i}", lambda a, b: a + b))
+    return found.select("query_id", "to", more.alias("more"))
+
+
+def _usage(state: DataFrame, total: int) -> DataFrame:
+    every = state.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(max(total, 1) - 1))).alias("expert"))
+    counts = state.select("query_id", F.explode("uses").alias("expert")).groupBy("query_id", "expert").agg(F.count("*").alias("uses"))
     rows = every.join(counts, ["query_id", "expert"], "left").select("query_id", "expert", F.coalesce("uses", F.lit(0)).cast("bigint").alias("uses"))
     return rows.withColumn("frequency", F.coalesce(F.try_divide("uses", F.sum("uses").over(Window.partitionBy("query_id"))), F.lit(0.0)))
+
+
+def report(used: DataFrame) -> DataFrame:
+    """used with `place`: each query's experts by how often they were activated, the most frequent first; null for those that never were."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("uses"), "expert"))
+    return used.withColumn("place", F.when(F.col("uses") > 0, place))

@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from .ngrams import from_columns
 
 
-def find_transitions(contexts: DataFrame, transitions: DataFrame, n_from: int, key: list[str], on: list[str] = (), sequence: str = "seq") -> DataFrame:
+def find_transitions(contexts: DataFrame, transitions: DataFrame, n_from: int, key: list[str], on: list[str] = (), sequence: str = "seq", shortest: int = 0) -> DataFrame:
     """key, and the transitions of each context (array of words): those whose f columns end with its last n_from words.
 
     A context of k < n_from words matches the last k columns; an empty one everything. on: further columns that must be equal, such as
-    expert. One equality join for each length, of which the shorter ones are planned only for contexts that can have them.
+    expert. One equality join for each length from `shortest` on, which no context may be under: a caller who knows that all contexts are
+    long has one join, and none with every transition.
     """
     names = from_columns(n_from)
     size = F.least(F.size(sequence), F.lit(n_from))
     last = F.slice(sequence, -1 * size, size)
     base = contexts.withColumn("k_", size).withColumn("ctx_", F.when(size > 0, last).otherwise(F.array().cast("array<string>"))).drop(sequence)
     out = None
-    for k in range(n_from, -1, -1):
+    for k in range(n_from, min(shortest, n_from) - 1, -1):
         own = base.where(F.col("k_") == k)
         tail = names[n_from - k :]
         own = own.select(*dict.fromkeys([*key, *on]), *[F.get("ctx_", F.lit(i)).alias(c) for i, c in enumerate(tail)])

@@ -12,7 +12,6 @@ from .lookup import find_transitions
 from .ngrams import from_columns, to_columns
 
 EPSILON = 2.0**-52
-DIGITS = 12
 
 
 @dataclass(frozen=True)
@@ -46,23 +45,49 @@ def multipliers(activated: DataFrame, active: int, total: int) -> DataFrame:
     return activated.withColumn("multiplier", share * F.sqrt(F.lit(total / active) if active else F.lit(0.0)))
 
 
-def candidates(state: DataFrame, chains: Chains, active: int) -> DataFrame:
+def activated(sims: Column, active: int, total: int) -> Column:
+    """activate() and multipliers() of one row: an array of (expert, multiplier) by an array of the experts' similarities, in place order."""
+    chosen = F.slice(F.array_sort(F.transform(sims, lambda s, e: F.struct((-s).alias("o"), e.alias("expert")))), 1, active)
+    whole = F.aggregate(chosen, F.lit(0.0), lambda a, x: a - x["o"])
+    return F.transform(chosen, lambda x: F.struct(x["expert"].alias("expert"), (F.try_divide(-x["o"], whole) * F.sqrt(F.lit(total / active))).alias("multiplier")))
+
+
+def choose(state: DataFrame, chains: Chains, active: int) -> DataFrame:
+    """state (query_id, seq) with `chosen`, the experts that the whole sequence activates and their multipliers."""
+    sims = F.transform(F.array_sort(F.collect_list(F.struct("expert", "sim"))), lambda x: x["sim"])
+    found = similarities(state, chains.ranks, chains.total).groupBy("query_id").agg(sims.alias("sims"))
+    return state.join(found, "query_id").withColumn("chosen", activated(F.col("sims"), active, chains.total)).drop("sims")
+
+
+def candidates(state: DataFrame, chains: Chains, active: int, shortest: int = 0) -> DataFrame:
     """query_id, f0.., t0.., p: base and expert transitions, smoothed, blended and summed up by (from, to).
 
     (w + 1) over the query's sum of w + 1, by the multiplier (1 for the base), at least epsilon; an undefined share counts as epsilon.
+    state: query_id, seq, and `chosen` as of choose() where the caller has it. Each of a query's chains has a slot of its own, so that sums
+    do not depend on the order of rows; a query's total is summed up from partial sums before it meets its candidates.
     """
     names = from_columns(chains.n_from) + to_columns(chains.n_to)
-    base = find_transitions(state.select("query_id", "seq"), chains.base.select(*names, "weight"), chains.n_from, ["query_id"]).withColumn("multiplier", F.lit(1.0))
-    found = base
-    if active and chains.total:
-        chosen = multipliers(activate(similarities(state, chains.ranks, chains.total), active), active, chains.total)
-        asked = state.select("query_id", "seq").join(chosen.select("query_id", "expert", "multiplier"), "query_id")
-        own = find_transitions(asked, chains.experts.select("expert", *names, "weight"), chains.n_from, ["query_id", "multiplier"], ["expert"])
-        found = base.unionByName(own.drop("expert"))
-    w = (F.col("weight") + 1).cast("double")
-    p = w / F.sum(w).over(Window.partitionBy("query_id")) * F.col("multiplier")
-    p = F.when(F.isnan(p) | p.isNull() | (p < EPSILON), EPSILON).otherwise(p)
-    return found.withColumn("p", p).groupBy("query_id", *names).agg(F.round(F.sum("p"), DIGITS).alias("p"))
+    active = min(active, chains.total)
+    base = find_transitions(state.select("query_id", "seq"), chains.base.select(*names, "weight"), chains.n_from, ["query_id"], shortest=shortest)
+    found = base.select("*", F.lit(0).alias("slot"), F.lit(1.0).alias("multiplier"))
+    if active:
+        state = state if "chosen" in state.columns else choose(state, chains, active)
+        asked = state.select("query_id", "seq", F.posexplode("chosen").alias("slot", "x")).select("query_id", "seq", (F.col("slot") + 1).alias("slot"), "x.expert", "x.multiplier")
+        own = find_transitions(asked, chains.experts.select("expert", *names, "weight"), chains.n_from, ["query_id", "slot", "multiplier"], ["expert"], shortest=shortest)
+        found = found.unionByName(own.drop("expert"))
+    w, slots = (F.col("weight") + 1).cast("double"), range(active + 1)
+    each = [F.max(F.when(F.col("slot") == i, x)).alias(f"{n}{i}_") for i in slots for n, x in (("w", w), ("m", F.col("multiplier")))]
+    found = found.groupBy("query_id", *names).agg(*each, F.sum(w).alias("w_"))
+    found = found.join(found.groupBy("query_id").agg(F.sum("w_").alias("total_")), "query_id")
+
+    def share(i: int) -> Column:
+        p = F.col(f"w{i}_") / F.col("total_") * F.col(f"m{i}_")
+        return F.when(F.col(f"w{i}_").isNull(), 0.0).when(F.isnan(p) | p.isNull() | (p < EPSILON), EPSILON).otherwise(p)
+
+    p = share(0)
+    for i in slots[1:]:
+        p = p + share(i)
+    return found.select("query_id", *names, p.alias("p"))
 
 
 def top_candidates(found: DataFrame, n_from: int, n_to: int, k: int) -> DataFrame:
@@ -81,13 +106,19 @@ def draw(top: DataFrame, u: Column) -> DataFrame:
     """The first candidate whose cumulative weight reaches u times the sum; the first of all if rounding leaves none."""
     w = Window.partitionBy("query_id")
     cum = F.sum("p").over(w.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    marked = top.withColumn("cum", F.round(cum, DIGITS)).withColumn("target", F.round(u * F.sum("p").over(w), DIGITS))
+    marked = top.withColumn("cum", cum).withColumn("target", u * F.max("cum").over(w))
     chosen = F.coalesce(F.min(F.when(F.col("cum") >= F.col("target"), F.col("place"))).over(w), F.lit(1))
     return marked.withColumn("chosen", chosen).where(F.col("place") == F.col("chosen"))
 
 
-def predict(state: DataFrame, chains: Chains, active: int, top_k: int, step: Column, seed: int | None = None) -> DataFrame:
-    """query_id, t0..: the next tokens of each query that has candidates; the likeliest if seed is None, else drawn."""
-    top = top_candidates(candidates(state, chains, active), chains.n_from, chains.n_to, top_k if seed is not None else 1)
+def predict(state: DataFrame, chains: Chains, active: int, top_k: int, step: Column, seed: int | None = None, shortest: int = 0) -> DataFrame:
+    """query_id, t0..: the next tokens of each query that has candidates; the likeliest if seed is None, else drawn. state: as for candidates()."""
+    top = top_candidates(candidates(state, chains, active, shortest), chains.n_from, chains.n_to, top_k if seed is not None else 1)
     chosen = top if seed is None else draw(top, uniform(seed, step))
     return chosen.select("query_id", *to_columns(chains.n_to))
+
+
+def successors(base: DataFrame, n_from: int, n_to: int) -> DataFrame:
+    """f0.., t0..: what greedy prediction by the base chain alone gives after each full context; of equal ones the first by words."""
+    best = F.min(F.struct((-F.col("weight")).alias("o"), *to_columns(n_to))).alias("best")
+    return base.groupBy(*from_columns(n_from)).agg(best).select(*from_columns(n_from), *[f"best.{c}" for c in to_columns(n_to)])

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+from .experts import numbered
+
 TOKEN_BYTES = 3
 MOST_WORDS = 1 << (8 * TOKEN_BYTES)
 MOST_WORD_BYTES = 65_535
@@ -13,17 +16,14 @@ MOST_WORD_BYTES = 65_535
 def build_vocabulary(docs: DataFrame, strict: bool = True) -> DataFrame:
     """(token int, word) of docs (tokens array). Words over 65,535 bytes and more than 2^24 words raise when rows are made, if strict.
 
-    Ids are ranks by the words' bytes: a prefix's count gives its offset, so that the ranking runs by prefix rather than in one task.
+    Ids are ranks by the words' bytes. Words are dealt out by ranges of about equal size, whatever their first letters; the ranges' counts
+    give each its offset, so that no task ranks more than a range.
     """
     words = docs.select(F.explode_outer("tokens").alias("word")).where("word is not null").distinct()
     if strict:
         words = words.where(F.when(F.octet_length("word") > MOST_WORD_BYTES, F.raise_error(F.lit("word of over 65535 bytes")).cast("boolean")).otherwise(True))
-    words = words.withColumn("prefix", F.substring("word", 1, 2))
-    counts = words.groupBy("prefix").agg(F.count("*").alias("n"))
-    before = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)  # a row for each two characters
-    offsets = counts.select("prefix", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    rank = F.row_number().over(Window.partitionBy("prefix").orderBy("word"))
-    out = words.withColumn("rank", rank).join(offsets, "prefix").select((F.col("first") + F.col("rank") - 1).alias("token"), "word")
+    ranges = cut(words.repartitionByRange("word").withColumn("part", F.spark_partition_id()))
+    out = numbered(ranges, "part", "word").select(F.col("place").alias("token"), "word")
     if strict:
         out = out.withColumn("token", F.when(F.col("token") >= MOST_WORDS, F.raise_error(F.lit("over 2^24 words")).cast("bigint")).otherwise(F.col("token")))
     return out.select(F.col("token").cast("int").alias("token"), "word")
@@ -49,6 +49,11 @@ def decode_ids(rows: DataFrame, vocab: DataFrame, key: str, ids: str = "ids") ->
     return rows.select(key).join(known, key, "left").select(key, F.coalesce(F.col("x.word"), F.array().cast("array<string>")).alias("words"))
 
 
-def word_ids(vocab: DataFrame) -> Column:
+def word_ids() -> Column:
     """An aggregate: the whole vocabulary as a map from words to ids (small vocabularies)."""
     return F.map_from_entries(F.collect_list(F.struct("word", "token")))
+
+
+def id_words() -> Column:
+    """An aggregate: the whole vocabulary as a map from ids to words (small vocabularies)."""
+    return F.map_from_entries(F.collect_list(F.struct("token", "word")))

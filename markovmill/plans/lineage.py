@@ -21,12 +21,27 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: later stages start there, whatever executors are lost.
 
-    The files go when the driver ends.
+    The files go when the driver ends, or with release().
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/markovmill/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _files(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Deletes the files of frames that cut() has returned, once nothing reads them any more."""
+    for df in frames:
+        if df is not None:
+            files, at = _files(df.sparkSession, df.cut_path)
+            files.delete(at, True)
+            files.cancelDeleteOnExit(at)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at

@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ids import from_bytes, successor, to_bytes
 from ..functions.text import START, STOP, WordTokenizer, decode, fill_template
 from ..operators import experts as X
-from ..operators.generate import Limits, generate, prepare_prompts
+from ..operators.generate import Limits, generate, prepare_prompts, report
 from ..operators.lookup import find_transitions
 from ..operators.ngrams import base_transitions, count_transitions, windows
 from ..operators.predict import Chains, activate, candidates, draw, multipliers, similarities, top_candidates, uniform
-from ..operators.vocabulary import build_vocabulary, encode, vocabulary_size
+from ..operators.vocabulary import build_vocabulary, decode_ids, encode, vocabulary_size
 from ..sources import corpora, exports
-from ..sources.recipe import Recipe
+from ..sources.recipe import Recipe, SourceFile, parse_recipe
 from . import sql as S
-from .lineage import cut
-from .model import metadata, model_summary
+from .lineage import cut, shared_folder
+from .model import Model, model_summary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = WordTokenizer(lowercase=True, punctuation=False)
 EXPERTS, CENTROIDS, ACTIVE, TOP_K, SEED = 4, 2, 2, 10, 0
-STEPS = 4
+MAX_TOKENS = 200
 STOPS = (START, STOP, "<|document|>", "<|answer|>")
 
 REGISTRY: dict[str, Query] = {}
@@ -98,14 +101,23 @@ def tok_special_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH files AS (SELECT source AS "group", string_agg(text, '<|document|>' ORDER BY doc_id) AS text FROM documents GROUP BY 1),
+@query(f"""WITH files AS (SELECT doc_id // 50 AS "group", string_agg(text, '<|document|>' ORDER BY doc_id) AS text FROM documents GROUP BY 1),
 parts AS (SELECT "group", string_split(text, '<|document|>') AS p FROM files)
 SELECT "group", generate_subscripts(p, 1) - 1 AS place, unnest(list_transform(p, lambda t: trim(t, {S.WHITE}))) AS text FROM parts""")
 def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = corpora.joined_corpus(table(spark, sf_dir, "documents"), "<|document|>", "source")
+    files = corpora.joined_corpus(table(spark, sf_dir, "documents"), "<|document|>", F.floor(F.col("doc_id") / 50))
     return corpora.split_corpus(files, "<|document|>").withColumn("place", F.col("place").cast("bigint"))
 
 
+@query(f"SELECT text, count(*) AS n FROM (SELECT trim(text, {S.WHITE}) AS text FROM documents) WHERE text <> '' GROUP BY text")
+def read_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written to text files, each ended by the delimiter, and read back as a recipe's files."""
+    path = f"{shared_folder(spark)}/markovmill/{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit(""))).write.option("lineSep", START).text(path)
+    found = corpora.read_files(spark, Recipe(files=(SourceFile(path, START),)))
+    return found.where("text <> ''").groupBy("text").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {S.tokens()} SELECT doc_id, array_to_string(tokens[2:-2], ' ') AS text FROM toks")
 def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.slice("tokens", F.lit(2), F.size("tokens") - 2)
@@ -152,6 +164,25 @@ def template_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark(spark, sf_dir).select("query_id", fill_template("{{start_token}} {{content}} {{stop_token}} {{content}}", F.col("text")).alias("text"))
 
 
+@query(f"""WITH {S.tokens()}, {_VOCAB} SELECT token, ((token + 1) % 16777216)::BIGINT AS successor,
+printf('%02X%02X%02X', token & 255, (token >> 8) & 255, (token >> 16) & 255) AS stored, word FROM vocab""")
+def vocab_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids with their successors and bytes; the word is that of the id that the bytes give again."""
+    found = cut(build_vocabulary(prose(spark, sf_dir)))
+    stored = found.select("token", successor(F.col("token")).alias("successor"), to_bytes(F.col("token")).alias("stored"))
+    words = found.select(F.col("token").cast("bigint").alias("again"), "word")
+    return stored.join(words, from_bytes(F.col("stored")) == F.col("again")).select("token", "successor", F.hex("stored").alias("stored"), "word")
+
+
+@query(f"WITH {S.tokens()}, {S.prompts(S.BENCHMARK)} SELECT query_id, len(known) AS n, array_to_string(known, ' ') AS text FROM (SELECT query_id, CASE WHEN seq = ['<|start|>'] THEN [] ELSE seq END AS known FROM prompts)")
+def decode_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts to ids, and these back to words."""
+    words = cut(build_vocabulary(prose(spark, sf_dir)))
+    asked = benchmark(spark, sf_dir).select("query_id", TOKENIZER.encode(F.coalesce("text", F.lit(""))).alias("words"))
+    again = decode_ids(encode(asked, words, "query_id").select("query_id", "ids"), words, "query_id")
+    return again.select("query_id", F.size("words").cast("bigint").alias("n"), decode(F.col("words")).alias("text"))
+
+
 # --- term statistics ----------------------------------------------------------------------------------------------------------------
 
 
@@ -226,6 +257,19 @@ def export_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.transitions_rows(base_transitions(docs, 2, 1), cut(build_vocabulary(docs)), 2, 1)
 
 
+def _bytes_sql(c: str) -> str:
+    return f"printf('%02X%02X%02X', {c}.token & 255, ({c}.token >> 8) & 255, ({c}.token >> 16) & 255)"
+
+
+@query(f"""WITH {S.tokens(S.EVENTS)}, {_VOCAB}, {S.base()}
+SELECT a.token AS f0, b.token AS f1, c.token AS t0, weight, row_number() OVER (ORDER BY {_bytes_sql("a")}, {_bytes_sql("b")}, {_bytes_sql("c")}) - 1 AS place
+FROM base JOIN vocab a ON f0 = a.word JOIN vocab b ON f1 = b.word JOIN vocab c ON t0 = c.word""")
+def transitions_in_byte_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = cut(events(spark, sf_dir))
+    found = exports.in_byte_order(exports.transition_ids(base_transitions(docs, 2, 1).drop("count"), cut(build_vocabulary(docs)), 2, 1), 2, 1)
+    return found.select("f0", "f1", "t0", "weight", F.col("place").cast("bigint").alias("place"))
+
+
 # --- experts ------------------------------------------------------------------------------------------------------------------------
 
 _SEEDS = S.seeds(EXPERTS, CENTROIDS, SEED)
@@ -363,7 +407,7 @@ def predict_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(top_candidates(candidates(cut(contexts(spark, sf_dir, docs)), chains, ACTIVE), 2, 1, TOP_K))
 
 
-@query(f"WITH {_BLENDED}, {S.top('', TOP_K)}, {S.drawn('', 0, SEED)} SELECT query_id, t0 FROM pick")
+@query(f"WITH {_BLENDED}, {S.top('', TOP_K)}, {S.drawn('', '0', SEED)} SELECT query_id, t0 FROM pick")
 def predict_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, chains = mixture(spark, sf_dir)
     top = top_candidates(candidates(cut(contexts(spark, sf_dir, docs)), chains, ACTIVE), 2, 1, TOP_K)
@@ -377,36 +421,46 @@ def _texts(found: DataFrame) -> DataFrame:
     return found.select("query_id", decode(F.col("words")).alias("text"), "done")
 
 
-_TEXTS = f"SELECT query_id, array_to_string(words, ' ') AS text, done FROM state{STEPS}"
+_TEXTS = "SELECT query_id, array_to_string(words, ' ') AS text, true AS done FROM ends"
 
 
-@query(f"WITH {S.tokens()}, {S.base()}, {_PROMPTS}, {S.generation(STEPS, EXPERTS, 0, 1, None, list(STOPS))} {_TEXTS}")
+@query(f"WITH RECURSIVE {S.tokens()}, {S.base()}, {_PROMPTS}, {S.generation(EXPERTS, 0, 1, None, list(STOPS), MAX_TOKENS)} {_TEXTS}")
 def generate_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = cut(prose(spark, sf_dir))
     chains = Chains(cut(base_transitions(docs)), None, None, 2, 1, 0)
-    return _texts(generate(cut(contexts(spark, sf_dir, docs)), chains, Limits(0, 1, 200, STOPS), STEPS)[0])
+    return _texts(generate(cut(contexts(spark, sf_dir, docs)), chains, Limits(0, 1, MAX_TOKENS, STOPS), MAX_TOKENS)[0])
 
 
-@query(f"WITH {_MIXTURE}, {S.generation(STEPS, EXPERTS, ACTIVE, TOP_K, SEED, list(STOPS))} {_TEXTS}")
-def generate_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+_SAMPLED = f"{_MIXTURE}, {S.generation(EXPERTS, ACTIVE, TOP_K, SEED, list(STOPS), MAX_TOKENS)}"
+
+
+def sampled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs, chains = mixture(spark, sf_dir)
     chains = replace(chains, base=cut(chains.base), experts=cut(chains.experts))  # read in each step
-    return _texts(generate(cut(contexts(spark, sf_dir, docs)), chains, Limits(ACTIVE, TOP_K, 200, STOPS), STEPS, SEED)[0])
+    return generate(cut(contexts(spark, sf_dir, docs)), chains, Limits(ACTIVE, TOP_K, MAX_TOKENS, STOPS), MAX_TOKENS, SEED)
 
 
-_USES = " UNION ALL ".join(f"SELECT query_id, expert FROM act{i}" for i in range(STEPS))
+@query(f"WITH RECURSIVE {_SAMPLED} {_TEXTS}")
+def generate_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(sampled(spark, sf_dir)[0])
 
 
-@query(f"""WITH {_MIXTURE}, {S.generation(STEPS, EXPERTS, ACTIVE, TOP_K, SEED, list(STOPS))},
-uses AS (SELECT query_id, expert, count(*) AS uses FROM ({_USES}) GROUP BY ALL),
+@query(f"""WITH RECURSIVE {_SAMPLED},
+counted AS (SELECT query_id, expert, count(*) AS uses FROM (SELECT query_id, unnest(uses) AS expert FROM ends) GROUP BY ALL),
 every AS (SELECT query_id, unnest(range({EXPERTS}))::INT AS expert FROM prompts)
-SELECT query_id, expert, coalesce(uses, 0) AS uses, round(coalesce(uses, 0) / sum(coalesce(uses, 0)) OVER (PARTITION BY query_id), 9) AS frequency
-FROM every LEFT JOIN uses USING (query_id, expert)""")
+SELECT query_id, expert, coalesce(uses, 0) AS uses, round(coalesce(uses, 0) / sum(coalesce(uses, 0)) OVER (PARTITION BY query_id), 9) AS frequency,
+  CASE WHEN uses > 0 THEN row_number() OVER (PARTITION BY query_id ORDER BY coalesce(uses, 0) DESC, expert) END AS place
+FROM every LEFT JOIN counted USING (query_id, expert)""")
 def expert_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, chains = mixture(spark, sf_dir)
-    chains = replace(chains, base=cut(chains.base), experts=cut(chains.experts))
-    used = generate(cut(contexts(spark, sf_dir, docs)), chains, Limits(ACTIVE, TOP_K, 200, STOPS), STEPS, SEED)[1]
-    return used.withColumn("frequency", F.round("frequency", 9))
+    return report(sampled(spark, sf_dir)[1]).withColumn("frequency", F.round("frequency", 9)).withColumn("place", F.col("place").cast("bigint"))
+
+
+@query(f"WITH RECURSIVE {S.tokens(S.DIALOGUES)}, {S.base(2, 2)}, {_PROMPTS}, {S.pairs(list(STOPS), MAX_TOKENS)} {_TEXTS}")
+def generate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transitions to two tokens: both are appended, and given one by one."""
+    docs = cut(dialogue(spark, sf_dir))
+    chains = Chains(cut(base_transitions(docs, 2, 2)), None, None, 2, 2, 0)
+    return _texts(generate(cut(contexts(spark, sf_dir, docs)), chains, Limits(0, 1, MAX_TOKENS, STOPS), MAX_TOKENS)[0])
 
 
 @query(f"WITH {S.tokens(S.EVENTS)}, {S.base()} SELECT * FROM base")
@@ -417,13 +471,13 @@ def events_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 _USERS = f"SELECT doc_id AS query_id, text FROM ({S.EVENTS})"
 
 
-@query(f"WITH {S.tokens(S.EVENTS)}, {S.base()}, {S.prompts(_USERS)}, {S.generation(8, EXPERTS, 0, 1, None, list(STOPS))} SELECT query_id, array_to_string(words, ' ') AS text, done FROM state8")
+@query(f"WITH RECURSIVE {S.tokens(S.EVENTS)}, {S.base()}, {S.prompts(_USERS)}, {S.generation(EXPERTS, 0, 1, None, list(STOPS), MAX_TOKENS)} {_TEXTS}")
 def events_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = cut(events(spark, sf_dir))
     users = corpora.event_sequences(table(spark, sf_dir, "events")).select(F.col("doc_id").alias("query_id"), "text")
     chains = Chains(cut(base_transitions(docs)), None, None, 2, 1, 0)
     ready = cut(prepare_prompts(users, build_vocabulary(docs), TOKENIZER))
-    return _texts(generate(ready, chains, Limits(0, 1, 1_000_000, STOPS), 8)[0])
+    return _texts(generate(ready, chains, Limits(0, 1, MAX_TOKENS, STOPS), MAX_TOKENS)[0])
 
 
 # --- model and metadata -------------------------------------------------------------------------------------------------------------
@@ -449,12 +503,49 @@ _DEFAULTS = """(VALUES ('model.name', 'new-model'), ('model.tokens.tokenizer', '
   ('model.inference.stop_tokens[3]', '<|answer|>'), ('model.inference.top_k', '10'), ('model.inference.max_tokens', '200')) AS d(key, value)"""
 
 
-@query(f"SELECT * FROM {_DEFAULTS}")
-def metadata_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(sorted(metadata(Recipe(), 4).items()), "key string, value string")
+def saved(spark: SparkSession, sf_dir: str) -> str:
+    """The path of a model of event sequences by an example recipe, with two keys set after it was saved."""
+    path = f"{shared_folder(spark)}/markovmill/{uuid.uuid4().hex}"
+    users = corpora.event_sequences(table(spark, sf_dir, "events"))
+    Model.build(spark, Recipe(), users, SEED).save(path)
+    Model.set_key(spark, path, "model.inference.top_k", "3")
+    Model.set_key(spark, path, "author", "someone")
+    return path
 
 
 @query(f"SELECT key, CASE WHEN key = 'model.inference.top_k' THEN '3' ELSE value END AS value FROM {_DEFAULTS} UNION ALL SELECT 'author', 'someone'")
 def metadata_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = metadata(Recipe(keys={"model.inference.top_k": "3"}), 4) | {"author": "someone"}
-    return spark.createDataFrame(sorted(keys.items()), "key string, value string")
+    return Model.load(spark, saved(spark, sf_dir)).metadata()
+
+
+@query(f"SELECT * FROM {_DEFAULTS}")
+def metadata_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = corpora.event_sequences(table(spark, sf_dir, "events"))
+    return Model.build(spark, Recipe(), users, SEED).metadata()
+
+
+_LOADED = S.mixture(EXPERTS, CENTROIDS, SEED, S.tokens(S.EVENTS))
+
+
+@query(f"WITH {_LOADED} SELECT -1 AS expert, f0, f1, t0, count, weight FROM base UNION ALL SELECT expert, f0, f1, t0, count, weight FROM own")
+def model_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All transitions of a model that was saved and loaded."""
+    model = Model.load(spark, saved(spark, sf_dir))
+    names = ["expert", "f0", "f1", "t0", "count", "weight"]
+    return model.transitions.withColumn("expert", F.lit(-1)).select(names).unionByName(model.expert_transitions.select(names))
+
+
+@query("""SELECT n_nationkey, 'Name ' || n_name || chr(10) || 'Tokenizer word-tokenizer[lowercase,punctuation]' || chr(10) || 'Template {{content}}' || chr(10)
+  || 'Depth ' || (n_nationkey + 1) || '/2' || chr(10) || 'Experts 1/' || (n_regionkey + 1) || chr(10) || 'Centroids 0' || chr(10) || chr(10) || 'Stop <|stop|>' || chr(10) || chr(10)
+  || 'Set region = ' || n_regionkey || chr(10) || chr(10) || 'Split <|end|> File ' || n_name || '.txt' || chr(10) || 'Split <|document|> File more.txt' AS recipe FROM nation""")
+def recipe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recipe for each nation, parsed and printed again."""
+    lines = ["Set region = ", "Stop  <|stop|> ", "Split <|end|> File ", "File more.txt", "Name ", "Tokenizer word-tokenizer[ lowercase , punctuation ]", "Depth ", "Experts 1/"]
+    after = [F.col("n_regionkey"), F.lit(""), F.concat("n_name", F.lit(".txt")), F.lit(""), F.col("n_name"), F.lit(""), F.concat((F.col("n_nationkey") + 1).cast("string"), F.lit("/2")), F.col("n_regionkey") + 1]
+    text = F.concat_ws("\n", *[F.concat(F.lit(a), b.cast("string")) for a, b in zip(lines, after)])
+
+    @F.pandas_udf("string")
+    def again(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: str(parse_recipe(t)))
+
+    return table(spark, sf_dir, "nation").select("n_nationkey", again(text).alias("recipe"))

@@ -113,9 +113,9 @@ def own(nf: int = 2, nt: int = 1) -> str:
 )"""
 
 
-def mixture(experts: int, centroids: int, seed: int = 0) -> str:
-    """All tables of a model over prose: toks, base, terms, tf, seeds, ranks, sims, assigned, own."""
-    return ",\n".join([tokens(), base(), TERMS, seeds(experts, centroids, seed), RANKS, assignment(experts), own()])
+def mixture(experts: int, centroids: int, seed: int = 0, toks: str = "") -> str:
+    """All tables of a model, over prose unless toks says otherwise: toks, base, terms, tf, seeds, ranks, sims, assigned, own."""
+    return ",\n".join([toks or tokens(), base(), TERMS, seeds(experts, centroids, seed), RANKS, assignment(experts), own()])
 
 
 def prompts(source: str, lower: bool = True, punct: bool = False) -> str:
@@ -153,16 +153,19 @@ def activation(state: str, n: str, experts: int, active: int) -> str:
 
 def blended(state: str, n: str, experts: int, active: int) -> str:
     """cand{n}(query_id, f0, f1, t0, p)"""
-    found = f"SELECT *, 1.0::DOUBLE AS multiplier FROM ({follow(state, 'base')})"
+    found = f"SELECT *, 0 AS slot, 1.0::DOUBLE AS multiplier FROM ({follow(state, 'base')})"
     head = ""
     if active:
         head = activation(state, n, experts, active) + f""", ask{n} AS MATERIALIZED (
-  SELECT query_id, seq, expert, multiplier FROM {state} JOIN act{n} USING (query_id)
+  SELECT query_id, seq, expert, place AS slot, multiplier FROM {state} JOIN act{n} USING (query_id)
 ), """
-        found += f" UNION ALL SELECT query_id, f0, f1, t0, weight, multiplier FROM ({follow(f'ask{n}', 'own', 'multiplier', 'expert')})"
+        found += f" UNION ALL SELECT query_id, f0, f1, t0, weight, slot, multiplier FROM ({follow(f'ask{n}', 'own', 'slot,multiplier', 'expert')})"
+    floor = "2.220446049250313e-16"
+    slots = " + ".join(f"coalesce(max(p) FILTER (slot = {i}), 0)" for i in range(active + 1))
     return f"""{head}raw{n} AS MATERIALIZED ({found}), cand{n} AS MATERIALIZED (
-  SELECT query_id, f0, f1, t0, round(sum(CASE WHEN p IS NULL OR isnan(p) OR p < 2.220446049250313e-16 THEN 2.220446049250313e-16 ELSE p END), 12) AS p
-  FROM (SELECT *, (weight + 1)::DOUBLE / (sum(weight + 1) OVER (PARTITION BY query_id))::DOUBLE * multiplier AS p FROM raw{n}) GROUP BY ALL
+  SELECT query_id, f0, f1, t0, {slots} AS p
+  FROM (SELECT query_id, f0, f1, t0, slot, CASE WHEN p IS NULL OR isnan(p) OR p < {floor} THEN {floor} ELSE p END AS p
+        FROM (SELECT *, (weight + 1)::DOUBLE / (sum(weight + 1) OVER (PARTITION BY query_id))::DOUBLE * multiplier AS p FROM raw{n})) GROUP BY ALL
 )"""
 
 
@@ -172,28 +175,49 @@ def top(n: str, k: int) -> str:
 )"""
 
 
-def drawn(n: str, step: int, seed: int) -> str:
-    u = f"(('0x' || substr(md5('{seed}|' || query_id || '|{step}'), 1, 8))::BIGINT::DOUBLE / 4294967295.0)"
+def drawn(n: str, step: str, seed: int) -> str:
+    u = f"(('0x' || substr(md5('{seed}|' || query_id || '|' || {step}), 1, 8))::BIGINT::DOUBLE / 4294967295.0)"
     return f"""cum{n} AS MATERIALIZED (
-  SELECT *, round(sum(p) OVER (PARTITION BY query_id ORDER BY place), 12) AS cum, round({u} * sum(p) OVER (PARTITION BY query_id), 12) AS target FROM top{n}
+  SELECT query_id, place, t0, list_reduce(ps[1:place], lambda a, b: a + b) AS cum, {u} * list_reduce(ps, lambda a, b: a + b) AS target
+  FROM top{n} JOIN (SELECT query_id, list(p ORDER BY place) AS ps FROM top{n} GROUP BY query_id) USING (query_id)
 ), pick{n} AS MATERIALIZED (
   SELECT query_id, t0 FROM (SELECT *, coalesce(min(CASE WHEN cum >= target THEN place END) OVER (PARTITION BY query_id), 1) AS chosen FROM cum{n}) WHERE place = chosen
 )"""
 
 
-def generation(steps: int, experts: int, active: int, k: int, seed: int | None, stops: list[str]) -> str:
-    """state{steps}(query_id, seq, words, done), and act0.. of each step, from prompts"""
+def generation(experts: int, active: int, k: int, seed: int | None, stops: list[str], most: int) -> str:
+    """ends(query_id, words, uses), when a sequence has `most` words, a stop word or no successor, from prompts; for WITH RECURSIVE"""
     listed = ", ".join(f"'{s}'" for s in stops)
-    out = ["state0 AS MATERIALIZED (SELECT query_id, seq, []::VARCHAR[] AS words, false AS done FROM prompts)"]
-    for i in range(steps):
-        out.append(f"live{i} AS MATERIALIZED (SELECT query_id, seq FROM state{i} WHERE NOT done)")
-        out.append(blended(f"live{i}", str(i), experts, active))
-        out.append(top(str(i), k if seed is not None else 1))
-        out.append(drawn(str(i), i, seed) if seed is not None else f"pick{i} AS MATERIALIZED (SELECT query_id, t0 FROM top{i})")
-        out.append(f"""state{i + 1} AS MATERIALIZED (
-  SELECT s.query_id, CASE WHEN s.done OR t0 IS NULL THEN s.seq ELSE list_append(s.seq, t0) END AS seq,
-    CASE WHEN s.done OR t0 IS NULL OR t0 IN ({listed}) THEN words ELSE list_append(words, t0) END AS words,
-    s.done OR t0 IS NULL OR t0 IN ({listed}) AS done
-  FROM state{i} s LEFT JOIN pick{i} p ON s.query_id = p.query_id
-)""")
-    return ",\n".join(out)
+    # all live queries are at the same step
+    drawing = drawn("", "(SELECT any_value(step) FROM live)", seed) if seed is not None else "pick AS MATERIALIZED (SELECT query_id, t0 FROM top)"
+    used = "list_concat(uses, experts)" if active else "uses"
+    chosen = "JOIN (SELECT query_id, list(expert) AS experts FROM act GROUP BY query_id) a ON a.query_id = l.query_id" if active else ""
+    return f"""state AS (
+  SELECT query_id, seq, []::VARCHAR[] AS words, []::INT[] AS uses, false AS done, 0 AS step FROM prompts
+  UNION ALL SELECT * FROM (
+    WITH live AS MATERIALIZED (SELECT * FROM state WHERE NOT done AND len(seq) < {most}),
+    {blended("live", "", experts, active)}, {top("", k if seed is not None else 1)}, {drawing}
+    SELECT l.query_id, CASE WHEN t0 IS NULL THEN seq ELSE list_append(seq, t0) END, CASE WHEN t0 IS NULL OR t0 IN ({listed}) THEN words ELSE list_append(words, t0) END,
+      {used}, t0 IS NULL OR t0 IN ({listed}), step + 1
+    FROM live l {chosen} LEFT JOIN pick p ON l.query_id = p.query_id
+  )
+), ends AS MATERIALIZED (SELECT query_id, arg_max(words, step) AS words, arg_max(uses, step) AS uses FROM state GROUP BY query_id)"""
+
+
+def pairs(stops: list[str], most: int) -> str:
+    """ends(query_id, words): greedy generation by two tokens at a time, of which the second is given if the sequence is not full by then"""
+    listed = ", ".join(f"'{s}'" for s in stops)
+    return f"""state AS (
+  SELECT query_id, seq, []::VARCHAR[] AS words, false AS done, 0 AS step FROM prompts
+  UNION ALL SELECT * FROM (
+    WITH live AS MATERIALIZED (SELECT * FROM state WHERE NOT done AND len(seq) < {most}),
+    pick AS MATERIALIZED (
+      SELECT query_id, arg_min(t0, {{'o': -weight, 'a': f0, 'b': f1, 'c': t0, 'd': t1}}) AS t0, arg_min(t1, {{'o': -weight, 'a': f0, 'b': f1, 'c': t0, 'd': t1}}) AS t1
+      FROM live JOIN base ON (len(seq) >= 2 AND seq[-2] = f0 AND seq[-1] = f1) OR (len(seq) = 1 AND seq[-1] = f1) GROUP BY query_id
+    )
+    SELECT l.query_id, CASE WHEN t0 IS NULL THEN seq ELSE list_concat(seq, [t0, t1]) END,
+      CASE WHEN t0 IS NULL OR t0 IN ({listed}) THEN words WHEN len(seq) + 2 >= {most} OR t1 IN ({listed}) THEN list_append(words, t0) ELSE list_concat(words, [t0, t1]) END,
+      t0 IS NULL OR t0 IN ({listed}) OR t1 IN ({listed}), step + 1
+    FROM live l LEFT JOIN pick p ON l.query_id = p.query_id
+  )
+), ends AS MATERIALIZED (SELECT query_id, arg_max(words, step) AS words FROM state GROUP BY query_id)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WordTokenizer, split_documents, trim_unicode
@@ -14,17 +14,47 @@ from .recipe import Recipe
 def read_files(spark: SparkSession, recipe: Recipe) -> DataFrame:
     """(doc_id, text) of the recipe's files, split at their delimiters, in the order of files and places; empty documents are kept.
 
-    A file is one row while it is read, as its delimiter may stand anywhere. Bytes that are not UTF-8 raise."""
-    parts = []
-    for i, f in enumerate(recipe.files):
-        raw = spark.read.format("binaryFile").load(f.path).select(F.validate_utf8(F.col("content").cast("string")).alias("text"))
-        docs = raw.select(F.posexplode(split_documents(F.col("text"), f.delimiter)).alias("place", "text"))
-        parts.append(docs.select((F.lit(i).cast("bigint") * (1 << 40) + F.col("place")).alias("doc_id"), "text"))
+    A file is read by records that its delimiter ends, so that a large one is many tasks and no task holds more than a document. Bytes that
+    are not UTF-8 raise. doc_id: the file's number by 2^40, and the document's place."""
+    parts, n = [], 0
+    for f in recipe.files:
+        for path, size in _files(spark, f.path):
+            parts.append(_records(spark, path, size, f.delimiter).select((F.lit(n).cast("bigint") * (1 << 40) + F.col("place")).alias("doc_id"), "text"))
+            n += 1
     if not parts:
         return spark.createDataFrame([], "doc_id bigint, text string")
     return reduce(DataFrame.unionByName, parts)
 
 
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Files of a path, pattern or folder, by name, with their sizes. One that isn't there raises."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(at)
+    if not found:
+        raise FileNotFoundError(path)
+    found = [x for s in found for x in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    files = [(s.getPath().toString(), s.getLen()) for s in found if s.isFile() and s.getPath().getName()[0] not in "._"]
+    return sorted(files)
+
+
+def _records(spark: SparkSession, path: str, size: int, delimiter: str) -> DataFrame:
+    """(place, text) of a file. Each block's records stand together in one task, so a record's place is its block's first and its own there."""
+    if not delimiter:
+        raise ValueError("empty delimiter")
+    own = F.validate_utf8(F.col("value"))
+    raw = spark.read.option("lineSep", delimiter).text(path).select(own.alias("text"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("o"))
+    blocks = raw.groupBy("block").agg(F.count("*").alias("n"), F.min("o").alias("o_1"), F.sum(F.octet_length("text")).alias("bytes"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    firsts = blocks.select("block", "o_1", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    docs = raw.join(F.broadcast(firsts), "block").select((F.col("first") + F.col("o") - F.col("o_1")).alias("place"), trim_unicode(F.col("text")).alias("text"))
+    # a delimiter at the end, or nothing at all, leaves one more document, an empty one
+    whole = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("place"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    last = whole.where(F.col("bytes") + F.col("place") * len(delimiter.encode()) == size).select("place", F.lit("").alias("text"))
+    return docs.unionByName(last)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan's rows dealt over all cores, if it has fewer tasks than two for each: small tables come in few files and row groups.
 
@@ -52,9 +82,9 @@ def event_sequences(events: DataFrame) -> DataFrame:
     return events.groupBy(F.col("user_id").alias("doc_id")).agg(F.array_join(kinds, " ").alias("text"))
 
 
-def joined_corpus(docs: DataFrame, delimiter: str, groups: str, key: str = "doc_id") -> DataFrame:
-    """(group, text): texts of a group joined by a delimiter, the inverse of splitting."""
-    return docs.groupBy(F.col(groups).alias("group")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "text"))), lambda x: x["text"]), delimiter).alias("text"))
+def joined_corpus(docs: DataFrame, delimiter: str, group: Column, key: str = "doc_id") -> DataFrame:
+    """(group, text): texts of a group joined by a delimiter, the inverse of splitting. A group is one row, so groups have to be small."""
+    return docs.groupBy(group.alias("group")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "text"))), lambda x: x["text"]), delimiter).alias("text"))
 
 
 def split_corpus(files: DataFrame, delimiter: str) -> DataFrame:
@@ -63,6 +93,9 @@ def split_corpus(files: DataFrame, delimiter: str) -> DataFrame:
 
 
 def prompt_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, text): the trimmed lines of a text file, numbered in order within a bounded prompt file."""
+    """(query_id, text): the trimmed lines of a text file, numbered in order: a part's first number, and the place in the part."""
     lines = spark.read.text(path).select(trim_unicode(F.col("value")).alias("text"), F.monotonically_increasing_id().alias("o"))
-    return lines.select((F.row_number().over(Window.orderBy("o")) - 1).cast("bigint").alias("query_id"), "text")
+    lines = lines.select("text", F.shiftright("o", 33).alias("part"), F.col("o").bitwiseAND((1 << 33) - 1).alias("at"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task of the scan
+    firsts = lines.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return lines.join(F.broadcast(firsts), "part").select((F.col("first") + F.col("at")).cast("bigint").alias("query_id"), "text")

@@ -8,10 +8,11 @@ from markovmill.operators import experts as X
 from markovmill.operators.generate import Limits, generate
 from markovmill.operators.lookup import find_transitions
 from markovmill.operators.ngrams import base_transitions, count_transitions, windows
-from markovmill.operators.predict import Chains, activate, candidates, top_candidates
-from markovmill.operators.vocabulary import build_vocabulary, decode_ids, encode, vocabulary_size, word_ids
+from markovmill.operators.predict import Chains, activate, candidates, draw, predict, similarities, top_candidates
+from markovmill.operators.vocabulary import build_vocabulary, decode_ids, encode, id_words, vocabulary_size, word_ids
+from markovmill.plans.lineage import cut, release
 from markovmill.plans.model import Model
-from markovmill.sources.corpora import read_files, tokenised
+from markovmill.sources.corpora import prompt_lines, read_files, tokenised
 from markovmill.sources.recipe import Recipe, SourceFile
 from markovmill.streaming.transitions import TransitionStream, answer_stream
 
@@ -34,7 +35,7 @@ def test_vocabulary(spark):
     # 3-byte ids: a byte more for each word than ids of 2
     assert tuple(vocabulary_size(v).first()) == (2, 20)
     assert v.where("word = 'amogus'").count() == 0 and v.where("token = 42").count() == 0
-    assert v.agg(word_ids(v).alias("m")).first().m == {"hello": 0, "world": 1}
+    assert v.agg(word_ids().alias("m")).first().m == {"hello": 0, "world": 1} and v.agg(id_words().alias("m")).first().m == {0: "hello", 1: "world"}
     asked = spark.createDataFrame([(1, ["world", "x", "hello"]), (2, ["y"])], "q int, words array<string>")
     e = {r.q: (r.ids, r.words) for r in encode(asked, v, "q").collect()}
     assert e == {1: ([1, 0], ["world", "hello"]), 2: ([], [])}
@@ -202,6 +203,91 @@ def test_files(spark, tmp_path):
     assert [x.text for x in read_files(spark, r).orderBy("doc_id").collect()] == ["one two", "three", "", "four", "five"]
 
 
+@pytest.mark.parametrize("end", ["", "--", "--x--", "----"])
+def test_files_of_many_blocks(spark, tmp_path, end):
+    texts = [f"text {i} " + "é" * (i % 50) + "\nmore" * (i % 3) for i in range(3000)]
+    whole = "--".join(texts) + end
+    (tmp_path / "a.txt").write_text(whole, encoding="utf-8")
+    (tmp_path / "b.txt").write_text("")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "10000")
+        found = read_files(spark, Recipe(files=(SourceFile("a.txt", "--"), SourceFile("b.txt", "--"))).relative_to(str(tmp_path)))
+        got = [(r.doc_id, r.text) for r in found.orderBy("doc_id").collect()]
+        assert found.rdd.getNumPartitions() > 10
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = [t.strip() for t in whole.split("--")]
+    assert got == [*enumerate(want), (1 << 40, "")]
+    with pytest.raises(FileNotFoundError):
+        read_files(spark, Recipe(files=(SourceFile("no.txt"),)).relative_to(str(tmp_path)))
+
+
+def test_bytes_that_are_not_text_raise(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"fine--\xff\xfe")
+    with pytest.raises(Exception, match="UTF|utf"):
+        read_files(spark, Recipe(files=(SourceFile("a.txt", "--"),)).relative_to(str(tmp_path))).collect()
+
+
+def test_prompt_lines_are_numbered_in_order(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("\n".join(f" prompt {i} " for i in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        got = [(r.query_id, r.text) for r in prompt_lines(spark, str(tmp_path / "p.txt")).orderBy("query_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(i, f"prompt {i}") for i in range(2000)]
+
+
+def test_words_of_one_prefix_are_ranked(spark):
+    words = spark.createDataFrame([([f"pre{i}" for i in range(5000)],), (["pre7", "é", "z"],)], "tokens array<string>")
+    got = [r.word for r in build_vocabulary(words).orderBy("token").collect()]
+    assert got == sorted({"é", "z", *(f"pre{i}" for i in range(5000))}, key=str.encode)
+
+
+def test_draws_among_candidates_at_the_floor(spark):
+    top = spark.createDataFrame([(0, "a", 1, 2.0**-52), (0, "b", 2, 2.0**-52), (0, "c", 3, 2.0**-52)], "query_id int, t0 string, place int, p double")
+    assert [draw(top, F.lit(u)).first().t0 for u in (0.0, 0.5, 0.9, 1.0)] == ["a", "b", "c", "c"]
+
+
+def test_sums_over_a_sequence_are_those_of_its_steps(spark):
+    """The experts that a step activates are those of the whole sequence, computed anew."""
+    texts = ["a b c d e f g", "c d e b a", "f g a b c c", "e e f a d"]
+    d = docs(spark, *texts).cache()
+    ranks = X.cluster_ranks(d, X.pick_seeds(d, 2, 2), X.term_frequency(d))
+    own = X.expert_transitions(d, X.assign_documents(d, X.similarity(d, ranks), 2), 1, 1)
+    chains = Chains(base_transitions(d, 1, 1), own, ranks, 1, 1, 2)
+    asked = spark.createDataFrame([(0, ["a"]), (1, ["c", "d"]), (2, ["none"])], "query_id int, seq array<string>")
+    found, used = generate(asked, chains, Limits(1, 3, 12), 12, seed=3)
+    words, uses = {r.query_id: r.words for r in found.collect()}, {(r.query_id, r.expert): r.uses for r in used.collect()}
+    state, count = {0: ["a"], 1: ["c", "d"], 2: ["none"]}, {}
+    for step in range(12):
+        live = {k: s for k, s in state.items() if len(s) < 12}
+        rows_ = spark.createDataFrame(list(live.items()), "query_id int, seq array<string>") if live else None
+        if rows_ is None:
+            break
+        for r in activate(similarities(rows_, ranks, 2), 1).collect():
+            count[r.query_id, r.expert] = count.get((r.query_id, r.expert), 0) + 1
+        picked = {r.query_id: r.t0 for r in predict(rows_, chains, 1, 3, F.lit(step), 3).collect()}
+        state = {k: [*s, picked[k]] if k in picked and picked[k] not in Limits().stops else [*s, *["end"] * 12] for k, s in live.items()} | {k: s for k, s in state.items() if k not in live}
+    want = {k: [w for w in s if w != "end"] for k, s in state.items()}
+    assert {k: w for k, w in words.items()} == {0: want[0][1:], 1: want[1][2:], 2: []}
+    assert {k: n for k, n in uses.items() if n} == count
+
+
+def test_cut_tables_are_released(spark):
+    import os
+
+    one = cut(spark.range(3))
+    at = one.cut_path.removeprefix("file://")
+    assert os.path.isdir(at)
+    release(one, None)
+    assert not os.path.exists(at)
+
+
 def test_streams(spark, tmp_path):
     schema = "doc_id bigint, text string"
     for i, t in enumerate((["a b c", "a b c", "b c d e"], ["a b c", "c d e f"])):
