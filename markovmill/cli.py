@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from itertools import batched
 from typing import IO
 
 from pyspark.sql import SparkSession
@@ -14,11 +15,13 @@ from .operators.lookup import find_transitions
 from .operators.ngrams import to_columns
 from .operators.vocabulary import encode
 from .plans.model import Model
-from .service import Service, generate_one
+from .service import Service, generate_all
 from .sources import exports
 from .sources.recipe import Recipe, parse_recipe
 
 RECIPE_FILE = "recipe.txt"
+#: Prompts of a file or pipe that are answered in one run.
+PROMPTS_AT_ONCE = 1_000
 
 
 def parser() -> argparse.ArgumentParser:
@@ -58,7 +61,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, inp:
     if a.command == "new":
         with open(_recipe_path(a.recipe), "w", encoding="utf-8") as f:
             f.write(str(Recipe()))
-        print("Saved example recipe", file=out)
+        print("An example recipe is written", file=out)
         return 0
     spark = spark or SparkSession.builder.appName("markovmill").getOrCreate()
     if a.command == "build":
@@ -67,10 +70,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, inp:
             recipe = parse_recipe(f.read()).relative_to(os.path.dirname(os.path.abspath(path)))
         target = os.path.join(os.path.dirname(os.path.abspath(path)), recipe.name)
         Model.build(spark, recipe).save(target)
-        print(f"Model saved as {target}", file=out)
+        print(f"Built {target}", file=out)
     elif a.command == "set":
         Model.set_key(spark, a.model, a.key, a.value)
-        print(f"Updated model in {a.model}", file=out)
+        print(f"Changed {a.model}", file=out)
     elif a.command == "serve":
         Service(spark).serve(a.address).serve_forever()
     else:
@@ -79,18 +82,19 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, inp:
 
 
 def _run(spark: SparkSession, model: Model, a: argparse.Namespace, inp: IO[str], out: IO[str]) -> None:
-    for line in inp:
-        words, shares = generate_one(spark, model, line, a.seed, a.steps)
-        print(" ".join(words), file=out)
-        if a.verbose and shares:
-            print("\nExperts use:", file=out)
-            for expert, share in sorted(shares, key=lambda x: (-x[1], x[0])):
-                print(f"  [Expert {expert:3}] {share * 100:.2f} %", file=out)
+    # a terminal is answered line by line, anything else in batches
+    for lines in batched(inp, 1 if inp.isatty() else PROMPTS_AT_ONCE):
+        for words, shares in generate_all(spark, model, list(lines), a.seed, a.steps):
+            print(" ".join(words), file=out)
+            if a.verbose and shares:
+                print("\nActive experts:", file=out)
+                for expert, share in shares:
+                    print(f"  {expert}: {share:.2%}", file=out)
 
 
 def _show(spark: SparkSession, model: Model, a: argparse.Namespace, inp: IO[str], out: IO[str]) -> None:
     for r in model.summary().where("part <> 'total'").orderBy(F.col("expert").asc_nulls_first(), F.desc("part")).collect():
-        name = {"vocabulary": "Unique tokens", "base": "Base model transitions"}.get(r.part, f"Expert {r.expert} transitions")
+        name = {"vocabulary": "Words", "base": "Transitions of the base"}.get(r.part, f"Transitions of expert {r.expert}")
         print(f"{name}: {r['items']}", file=out)
     print("\nKeys:", file=out)
     for k, v in sorted(model.keys.items()):
@@ -99,11 +103,11 @@ def _show(spark: SparkSession, model: Model, a: argparse.Namespace, inp: IO[str]
     for line in inp:
         asked = spark.createDataFrame([(0, line.strip())], "query_id int, text string").select("query_id", model.tokenizer.encode(F.col("text")).alias("words"))
         known = encode(asked, model.vocabulary, "query_id").first()
-        print("Query tokens:\n" + "".join(f" {i}" for i in known.ids), file=out)
+        print("Ids: " + " ".join(map(str, known.ids)), file=out)
         context = spark.createDataFrame([(0, known.words)], "query_id int, seq array<string>")
         found = find_transitions(context, model.transitions, n_from, ["query_id"]).orderBy(F.desc("weight"), *to_columns(n_to))
         for i, r in enumerate(found.toLocalIterator()):
-            print(("\nBase model:\n" if i == 0 else "") + f"  [{r.weight:8}] " + " ".join(r[c] for c in to_columns(n_to)), file=out)
+            print(("\nWhat follows:\n" if i == 0 else "") + f"  [{r.weight:8}] " + " ".join(r[c] for c in to_columns(n_to)), file=out)
 
 
 def _export(spark: SparkSession, model: Model, a: argparse.Namespace, inp: IO[str], out: IO[str]) -> None:

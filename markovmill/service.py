@@ -10,9 +10,11 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qsl, urlsplit
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .plans.model import Model
 
+# Paths, parameters and fields of the interface
 PREFIX = "/api/v1/"
 
 
@@ -43,9 +45,9 @@ class Service:
         for k, v in parse_qsl(parts.query, keep_blank_values=True):
             asked.setdefault(k, v)
         if call != self._stats and "model" not in asked:
-            return _error("model path is missing")
+            return _error("no model given")
         if call == self._generate and "query" not in asked:
-            return _error("query is missing")
+            return _error("no query given")
         with self.lock:
             return call(**{k: asked[k] for k in ("model", "query") if k in asked and (k == "model" or call == self._generate)} if call != self._stats else {})
 
@@ -53,7 +55,7 @@ class Service:
         try:
             self.models[model] = _Loaded(Model.load(self.spark, model))
         except Exception as e:  # whatever is wrong with the files is the caller's to know
-            return _error("failed to load model", context=str(e).splitlines()[0], path=model)
+            return _error("the model can't be read", context=str(e).splitlines()[0], path=model)
         return {"status": "success"}
 
     def _unload(self, model: str) -> dict:
@@ -73,13 +75,13 @@ class Service:
 
     def _generate(self, model: str, query: str) -> dict:
         if model not in self.models:
-            return _error("model is not loaded", path=model)
+            return _error("load the model first", path=model)
         x = self.models[model]
         x.requests += 1
         try:
-            words = generate_one(self.spark, x.model, query, self.seed)[0]
+            words = generate_all(self.spark, x.model, [query], self.seed)[0][0]
         except Exception as e:
-            return _error("failed to generate response", context=str(e).splitlines()[0], path=model, query=query)
+            return _error("generation failed", context=str(e).splitlines()[0], path=model, query=query)
         return {"status": "success", "response": " ".join(words)}
 
     def serve(self, address: str = "0.0.0.0:8080") -> ThreadingHTTPServer:
@@ -106,9 +108,12 @@ def _error(what: str, **more: str) -> dict:
     return {"type": "error", "error": what, **more}
 
 
-def generate_one(spark: SparkSession, model: Model, text: str, seed: int | None = None, steps: int | None = None) -> tuple[list[str], list[tuple[int, float]]]:
-    """The words for one prompt, and the experts' shares. No seed: one from the clock."""
+def generate_all(spark: SparkSession, model: Model, texts: list[str], seed: int | None = None, steps: int | None = None) -> list[tuple[list[str], list[tuple[int, float]]]]:
+    """The words for each prompt and the experts' shares, all prompts in one run. No seed: one from the clock."""
     seed = time.time_ns() % (1 << 31) if seed is None else seed
-    prompt = spark.createDataFrame([(0, text.strip())], "query_id int, text string")
-    found, used = model.generate(prompt, steps, seed)
-    return found.first().words, [(r.expert, r.frequency) for r in used.where("frequency > 0").orderBy("expert").collect()]
+    prompts = spark.createDataFrame([(i, t.strip()) for i, t in enumerate(texts)], "query_id int, text string")
+    found, used = model.generate(prompts, steps, seed)
+    shares: dict[int, list[tuple[int, float]]] = {}
+    for r in used.where("frequency > 0").orderBy("query_id", F.desc("frequency"), "expert").collect():
+        shares.setdefault(r.query_id, []).append((r.expert, r.frequency))
+    return [(r.words, shares.get(r.query_id, [])) for r in found.orderBy("query_id").collect()]
