@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..plans.lineage import cut, shared_folder
 
@@ -17,12 +19,13 @@ __all__ = ["cut", "shared_folder"]
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
 
-#: Rows and bytes of the batches that go to Python workers, unless the session says otherwise: texts may be long, and both sides hold a few.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
+#: What the session uses unless it has a setting of its own. Rows and bytes of the batches that go to Python workers, as texts may be long
+#: and both sides hold a few.
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 
 
-def small_batches(spark: SparkSession) -> None:
-    for k, v in BATCHES.items():
+def settle(spark: SparkSession) -> None:
+    for k, v in SETTINGS.items():
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
 
@@ -45,43 +48,40 @@ def _offsets(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], dtype=kind)[column.offset : column.offset + len(column) + 1]
 
 
+def _arrow(schema: str) -> pa.Schema:
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def _batch(out: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list] | None]], schema: str) -> DataFrame:
     """Runs a function of row slices over each partition. make() is called once in each task and may load models."""
-    small_batches(df.sparkSession)
-    names = [x.split()[0] for x in schema.split(", ")]
+    settle(df.sparkSession)
+    types = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, types = None, None
+        f = None
         for part in slices(batches):
             f = f or make()
             out = f(part)
-            if out and len(out[names[0]]):
-                types = types or _arrow(schema)
-                yield pa.RecordBatch.from_arrays([out[n] if isinstance(out[n], pa.Array) else pa.array(out[n], type=t) for n, t in zip(names, types)], names=names)
+            if out and len(out[types.names[0]]):
+                yield _batch(out, types)
 
     return df.mapInArrow(run, schema)
 
 
-def _arrow(schema: str) -> list[pa.DataType]:
-    one = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
-
-    def kind(x: str) -> pa.DataType:
-        return pa.list_(kind(x[6:-1])) if x.startswith("array<") else one[x]
-
-    return [kind(x.split(" ", 1)[1]) for x in schema.split(", ")]
-
-
 def map_groups(df: DataFrame, keys: list[str], f: Callable[[dict[str, object]], dict[str, list] | None], schema: str) -> DataFrame:
     """Runs f over the rows of each key, as columns. Groups must be small enough for a worker (see blocks()).
 
     Rows come sorted, so that thousands of small groups share one Arrow batch rather than a frame each.
     """
-    small_batches(df.sparkSession)
-    names = [x.split()[0] for x in schema.split(", ")]
-    columns = df.columns
+    settle(df.sparkSession)
+    types = _arrow(schema)
+    names, columns = types.names, df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = _arrow(schema)
         held: list[pa.RecordBatch] = []
         last = None
 
@@ -90,7 +90,7 @@ def map_groups(df: DataFrame, keys: list[str], f: Callable[[dict[str, object]],
             return f({c: table.column(c).to_pylist() if not pa.types.is_primitive(table.schema.field(c).type) or table.column(c).null_count else table.column(c).to_numpy() for c in columns})
 
         def batch(outs: list[dict[str, list]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([v for o in outs for v in o[n]], type=t) for n, t in zip(names, types)], names=names)
+            return _batch({n: [v for o in outs for v in o[n]] for n in names}, types)
 
         ready: list[dict[str, list]] = []
         rows = 0
@@ -120,15 +120,15 @@ def map_groups(df: DataFrame, keys: list[str], f: Callable[[dict[str, object]],
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def blocks(df: DataFrame, count: str, ident: Column, most: int) -> DataFrame:
-    """Deals groups of over `most` rows to pairs of blocks: each two rows of a group meet in one pair (block_i, block_j).
+def blocks(df: DataFrame, parts: Column, *ident: str) -> DataFrame:
+    """Deals groups to `parts` blocks and these to pairs: each two rows of a group meet in one pair (block_i, block_j).
 
     Adds block_i, block_j and block (the row's own); pairs of different blocks meet where block_i < block_j, a block's own pairs
-    where they are equal. A group of up to `most` rows has the pair (0, 0) alone, so copying starts with groups over that size and no
-    task holds more than about two blocks.
+    where they are equal. A group of one part has the pair (0, 0) alone, so copying starts with groups over what a task may hold, and no
+    task holds more than about two blocks. ident: columns that tell a group's rows apart.
     """
-    g = F.ceil(F.col(count) / F.lit(most)).cast("int")
-    own = F.pmod(F.xxhash64(ident, F.lit(77)), g).cast("int")
+    g = F.greatest(F.ceil(parts), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64(*ident, F.lit(77)), g).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), g - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("block_i"), F.greatest(o, F.col("block")).alias("block_j")))
     return df.withColumn("block", own).withColumn("pair_", F.explode(pairs)).select("*", "pair_.block_i", "pair_.block_j").drop("pair_")
 

@@ -108,9 +108,16 @@ def range_search(x: np.ndarray, a: np.ndarray, b: np.ndarray, queries: np.ndarra
 
 def _unit(column: list) -> np.ndarray:
     x = np.asarray(column, dtype=np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square is too large or too small
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _by_length(column) -> list[tuple[int, np.ndarray]]:
+    """Lengths, and the places of the vectors that have them."""
+    lengths = np.fromiter(map(len, column), np.int64, len(column))
+    return [(int(d), np.flatnonzero(lengths == d)) for d in np.unique(lengths)]
+
+
 def fit_centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means of a bounded sample, on the driver."""
     rng = np.random.default_rng(7)
@@ -124,82 +131,105 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def _shards(vectors: DataFrame, centroids: np.ndarray, overlap: int) -> DataFrame:
-    """(id, mult, v, shards, shard): a row for each of the `overlap` nearest centroids."""
+def _shards(vectors: DataFrame, centroids: dict[int, np.ndarray], overlap: int) -> DataFrame:
+    """(id, mult, v, shard, home): a row for each of the `overlap` nearest centroids of the vector's length; home: the nearest."""
     import pandas as pd
 
     def run(frames):
         for f in frames:
-            if len(f):
-                s = _unit(f["v"].tolist()) @ centroids.T
-                top = np.sort(np.argpartition(-s, min(overlap, s.shape[1]) - 1, axis=1)[:, :overlap], axis=1)
-                yield pd.DataFrame({"id": f["id"], "mult": f["mult"], "v": f["v"], "shards": top.astype(np.int64).tolist()})
+            for d, at in _by_length(f["v"]):
+                part = f.iloc[at]
+                if d in centroids:
+                    s = _unit(part["v"].tolist()) @ centroids[d].T
+                    top = np.argsort(-s, axis=1, kind="stable")[:, :overlap]
+                else:  # none of that length is in the sample: they are one shard
+                    top = np.zeros((len(part), 1), dtype=np.int64)
+                for k in range(top.shape[1]):
+                    yield pd.DataFrame({"id": part["id"], "mult": part["mult"], "v": part["v"], "shard": d * MOST_CENTROIDS + top[:, k], "home": k == 0})
 
-    found = vectors.mapInPandas(run, "id long, mult long, v array<double>, shards array<long>")
-    return found.withColumn("shard", F.explode("shards"))
+    return vectors.mapInPandas(run, "id long, mult long, v array<double>, shard long, home boolean")
 
 
-def _search(dealt: DataFrame, graph: DataFrame, near: float) -> DataFrame:
-    """(id, links, root): each shard's vectors searched over the joined adjacency lists that lie within the shard."""
+def _graph(dealt: DataFrame, near: float) -> DataFrame:
+    """(id, within, beyond): each shard's (or pair of blocks') graph, lists of one vector joined over all; within: neighbours in range."""
 
     def run(g: dict) -> dict | None:
-        ids, mult, block = np.asarray(g["id"]), np.asarray(g["mult"]), np.asarray(g["block"])
+        ids = np.asarray(g["id"])
+        if len(ids) < 2:
+            return None
+        x = _unit(g["v"]).astype(np.float32)
+        a, b = build_graph(x, near)
+        close = np.einsum("ij,ij->i", x[a], x[b]) >= near - 1e-5
+        out: dict[str, list] = {"id": ids.tolist()}
+        for name, some in (("within", close), ("beyond", ~close)):
+            cuts = np.searchsorted(a[some], np.arange(len(ids) + 1))
+            out[name] = [ids[b[some][cuts[i] : cuts[i + 1]]].tolist() for i in range(len(ids))]
+        return out
+
+    lists = map_groups(dealt.select("id", "v", "shard", "block_i", "block_j"), ["shard", "block_i", "block_j"], run, "id long, within array<long>, beyond array<long>")
+    return lists.groupBy("id").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("within", "beyond")])
+
+
+def _reached(dealt: DataFrame, graph: DataFrame, once: DataFrame) -> DataFrame:
+    """Rows as of dealt, of block -1, for vectors outside a shard to which its members' joined lists lead within the range.
+
+    A list has at most NEAR own edges in each shard, and others' back to it, so these are few to a member.
+    """
+    own = dealt.where("block_i = block_j").select("id", "shard", "block")
+    out = own.join(graph.where(F.size("within") > 0).select("id", "within"), "id").select("shard", "block", F.explode("within").alias("id")).distinct()
+    out = out.join(own.select("id", "shard"), ["id", "shard"], "left_anti")
+    out = out.select("id", "shard", F.col("block").alias("block_i"), F.col("block").alias("block_j"), F.lit(-1).alias("block"), F.lit(False).alias("home"))
+    return out.join(once.select("id", "mult", "v"), "id")
+
+
+def _search(dealt: DataFrame, graph: DataFrame, once: DataFrame, near: float) -> DataFrame:
+    """(id, links, root): each vector searched once, from the medoid of the shard it is at home in, over the joined adjacency lists of the
+    shard's members and of the vectors beyond it to which they lead within the range."""
+
+    def run(g: dict) -> dict | None:
+        ids = np.asarray(g["id"])
         if len(ids) < 2:
             return None
         order = np.argsort(ids)
-        ids, mult, block = ids[order], mult[order], block[order]
+        ids, mult, block, home = (np.asarray(g[c])[order] for c in ("id", "mult", "block", "home"))
         x = _unit([g["v"][i] for i in order])
-        shards = np.array([g["shards"][i] for i in order])
-        lists = [g["adjacent"][i] or [] for i in order]
+        lists = [[*(g["within"][i] or []), *(g["beyond"][i] or [])] for i in order]
         a = np.repeat(np.arange(len(ids)), [len(v) for v in lists])
         flat = np.fromiter((v for l in lists for v in l), np.int64, len(a))
         at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
         ok = ids[at] == flat
-        a, b = a[ok], at[ok]
-        found_i, found_j = [], []
-        for s in range(0, len(ids), 256):
-            rows, nodes = range_search(x, a, b, np.arange(s, min(s + 256, len(ids))), near)
-            found_i.append(rows + s)
+        # each edge both ways, also those to vectors beyond the shard
+        code = np.unique(np.r_[a[ok] * len(ids) + at[ok], at[ok] * len(ids) + a[ok]])
+        a, b = code // len(ids), code % len(ids)
+        queries = np.flatnonzero(home.astype(bool))
+        found_i, found_j = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for s in range(0, len(queries), 256):
+            part = queries[s : s + 256]
+            rows, nodes = range_search(x, a, b, part, near)
+            found_i.append(part[rows])
             found_j.append(nodes)
         i, j = np.concatenate(found_i), np.concatenate(found_j)
-        # found from either side counts; each pair belongs to the first shard that both share, and to one pair of blocks
-        code = np.unique(np.minimum(i, j) * len(ids) + np.maximum(i, j))
+        # of two that are both at home here a find from either side counts
+        asked = np.zeros(len(ids), dtype=bool)
+        asked[queries] = True
+        back = asked[j]
+        code = np.unique(np.r_[i * len(ids) + j, j[back] * len(ids) + i[back]])
         i, j = code // len(ids), code % len(ids)
         keep = i != j
-        i, j = i[keep], j[keep]
-        shard = g["shard"][0]
-        common = (shards[i][:, :, None] == shards[j][:, None, :]).any(axis=2)
-        lowest = np.where(common, shards[i], np.iinfo(np.int64).max).min(axis=1) if len(i) else i
-        own = lowest == shard
         if g["block_i"][0] != g["block_j"][0]:
-            own &= block[i] != block[j]
-        i, j = i[own], j[own]
+            keep &= block[i] != block[j]
+        i, j = i[keep], j[keep]
         exact = np.einsum("ij,ij->i", x[i], x[j]) >= near
         i, j = i[exact], j[exact]
         if not len(i):
             return None
-        links = np.bincount(i, weights=mult[j], minlength=len(ids)) + np.bincount(j, weights=mult[i], minlength=len(ids))
+        links = np.bincount(i, weights=mult[j], minlength=len(ids))
         root = forest(len(ids), i, j)
-        has = np.flatnonzero(links)
+        has = np.unique(np.r_[i, j])
         return {"id": ids[has].tolist(), "links": links[has].astype(np.int64).tolist(), "root": ids[root[has]].tolist()}
 
-    joined = dealt.join(graph, "id", "left")
-    return map_groups(joined, ["shard", "block_i", "block_j"], run, "id long, links long, root long")
-
-
-def _graph(dealt: DataFrame, near: float) -> DataFrame:
-    """(id, adjacent): each shard's (or pair of blocks') graph, lists of one vector joined over all."""
-
-    def run(g: dict) -> dict | None:
-        ids = np.asarray(g["id"])
-        if len(ids) < 2:
-            return None
-        a, b = build_graph(_unit(g["v"]).astype(np.float32), near)
-        cuts = np.searchsorted(a, np.arange(len(ids) + 1))
-        return {"id": ids.tolist(), "adjacent": [ids[b[cuts[i] : cuts[i + 1]]].tolist() for i in range(len(ids))]}
-
-    lists = map_groups(dealt.select("id", "v", "shard", "block_i", "block_j"), ["shard", "block_i", "block_j"], run, "id long, adjacent array<long>")
-    return lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("adjacent"))).alias("adjacent"))
+    nodes = dealt.unionByName(_reached(dealt, graph, once))
+    return map_groups(nodes.join(graph, "id", "left"), ["shard", "block_i", "block_j"], run, "id long, links long, root long")
 
 
 def _true_links(vectors: DataFrame, near: float) -> dict[int, int]:
@@ -211,14 +241,18 @@ def _true_links(vectors: DataFrame, near: float) -> dict[int, int]:
         picked = vectors.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(wanted).collect()[start:]
         if not picked:
             return done
-        ids, x = np.array([r.id for r in picked]), _unit([r.v for r in picked])
+        ids = np.array([r.id for r in picked])
+        own = {d: (at, _unit([picked[i].v for i in at])) for d, at in _by_length([r.v for r in picked])}
 
-        def run(frames, ids=ids, x=x):
+        def run(frames, ids=ids, own=own):
             links = np.zeros(len(ids), dtype=np.int64)
             for f in frames:
-                if len(f):
-                    hit = (x @ _unit(f["v"].tolist()).T >= near) & (ids[:, None] != f["id"].to_numpy()[None, :])
-                    links += hit @ f["mult"].to_numpy(dtype=np.int64)
+                for d, there in _by_length(f["v"]):
+                    if d in own:
+                        at, x = own[d]
+                        part = f.iloc[there]
+                        hit = (x @ _unit(part["v"].tolist()).T >= near) & (ids[at][:, None] != part["id"].to_numpy()[None, :])
+                        links[at] += hit @ part["mult"].to_numpy(dtype=np.int64)
             yield pd.DataFrame({"id": ids, "links": links})
 
         true = vectors.mapInPandas(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("n")).collect()
@@ -257,50 +291,49 @@ def _all_pairs(dealt: DataFrame, near: float) -> DataFrame:
         has = np.flatnonzero(links)
         return {"id": ids[has].tolist(), "links": links[has].astype(np.int64).tolist(), "root": ids[root[has]].tolist()}
 
-    return map_groups(dealt, ["block_i", "block_j"], run, "id long, links long, root long")
+    return map_groups(dealt, ["d", "block_i", "block_j"], run, "id long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, near: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_links, component_id, kept, audited_recall) for each row: links are pairs of rows with a cosine >= near, in doubles.
 
-    Null, zero and empty vectors, and such with null or non-finite components, link with nothing; so do vectors of another length than
-    the most common one. Equal vectors are one from the start and count by their number. Repeated ids: rows of one id and vector are one;
+    Null, zero and empty vectors, and such with null or non-finite components, link with nothing; vectors of different lengths do not link
+    with each other. Equal vectors are one from the start and count by their number. Repeated ids: rows of one id and vector are one;
     an id with several vectors has the links of each. Null ids: no links. No rows: no rows. Other columns aren't read.
 
-    Each shard's graph is built from its members alone; lists of one vector are joined over its shards, and the shard's members are
-    searched over the joined lists. An audit counts links of AUDIT_ROWS vectors or more over the whole table, by vector; under LEAST_RECALL
-    the shards overlap more, and after the last overlap all vectors are compared, in pairs of blocks. Large shards are dealt to pairs of blocks, so that a hot cluster is many tasks.
+    Each shard's graph is built from its members alone; lists of one vector are joined over its shards, and each vector is searched once,
+    over its shard and what the joined lists reach beyond it. An audit counts links of AUDIT_ROWS vectors or more over the whole table, by vector; under LEAST_RECALL
+    the shards overlap more, and after the last overlap all vectors of a length are compared, in pairs of blocks. Large shards are dealt to pairs of blocks, so that a hot cluster is many tasks.
     """
     v = F.col(vector).cast(T.ArrayType(T.DoubleType()))
     rows = vectors.select(F.col(key).cast("long").alias("id_"), v.alias("v"))
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     good = F.coalesce(F.col("id_").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda e: e != 0), F.lit(False))
     rows = rows.withColumn("digest", F.when(good, F.sha2(F.array_join(F.transform("v", lambda e: e.cast("string")), ",").cast("binary"), 256)))
-    length = rows.where("digest is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if length is None:
-        return vectors.select(F.col(key), F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("audited_recall"))
-    fits = F.col("digest").isNotNull() & (F.size("v") == length.d)
-    rows = rows.withColumn("digest", F.when(fits, F.col("digest")))
     once = rows.where("digest is not null").groupBy("digest").agg(F.min("id_").alias("id"), F.countDistinct("id_").alias("mult"), F.first("v").alias("v"))
     once = cut(once)
-    n = once.count()
     sample = once.select("v").orderBy(F.xxhash64("digest")).limit(FIT_ROWS).collect()
-    x = _unit([r.v for r in sample])
-    centroids = fit_centroids(x, max(1, min(MOST_CENTROIDS, len(x), -(-n // SHARD_ROWS))))
+    if not sample:
+        return vectors.select(F.col(key), F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("audited_recall"))
+    sampled = _by_length([r.v for r in sample])
+    wanted = F.size("v").isin([d for d, _ in sampled])  # at most FIT_ROWS lengths
+    n = {r.d: r["count"] for r in once.where(wanted).groupBy(F.size("v").alias("d")).count().collect()}
+    centroids = {d: fit_centroids(_unit([sample[i].v for i in at]), max(1, min(MOST_CENTROIDS, len(at), -(-n[d] // SHARD_ROWS)))) for d, at in sampled}
     true = _true_links(once, near)
     for overlap in OVERLAP:
-        sharded = cut(_shards(once.select("id", "mult", "v"), centroids, min(overlap, len(centroids))))
+        sharded = cut(_shards(once.select("id", "mult", "v"), centroids, overlap))
         sizes = cut(sharded.groupBy("shard").agg(F.count("*").alias("size")))
-        dealt = blocks(sharded.join(F.broadcast(sizes), "shard"), "size", F.col("id"), BLOCK)  # at most MOST_CENTROIDS rows
+        dealt = blocks(sharded.join(sent_if_small(sizes), "shard"), F.col("size") / BLOCK, "id").drop("size")
         graph = cut(_graph(dealt, near))
-        linked = cut(_search(dealt, graph, near))
+        linked = cut(_search(dealt, graph, once, near))
         counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
         recall = _recall(true, counts)
         if recall >= LEAST_RECALL:
             break
     else:
-        dealt = blocks(once.select("id", "mult", "v").withColumn("size", F.lit(n)), "size", F.col("id"), BLOCK)
-        linked = cut(_all_pairs(dealt, near))
+        lengths = cut(once.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("size")))
+        dealt = once.select("id", "mult", "v", F.size("v").alias("d")).join(sent_if_small(lengths), "d")
+        linked = cut(_all_pairs(blocks(dealt, F.col("size") / BLOCK, "id"), near))
         counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
         recall = _recall(true, counts)
     classes = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -17,8 +17,8 @@ from .shingles import WordHashes, shingles, signature, word_hashes
 HASHES, ROWS = 100, 5
 #: Values that are compared between two looks at the posterior, and the probability under which a pair is dropped.
 STEP, TOLERANCE = 20, 1e-6
-#: Rows of a group that one task compares; larger groups are dealt to pairs of blocks.
-BLOCK = 512
+#: Rows of a group, and shingles of their texts, that make a block; larger groups are dealt to pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 512, 4 << 20
 #: Bytes of a task's incidence matrix.
 MATRIX_BYTES = 64 << 20
 
@@ -53,14 +53,14 @@ def surviving_pairs(left: np.ndarray, right: np.ndarray, threshold: float, own:
 
 
 def documents_signed(docs: DataFrame, key: str = "doc_id", text: str = "text", hashes: int = HASHES) -> DataFrame:
-    """(doc, set_key, n, sig): a digest of the set of shingles (null for none), its size and MinHash values."""
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """(doc, body, set_key, n, sig): a hash of the text, a digest of its set of shingles (null for none), the set's size and MinHash values."""
+    rows = _bodies(docs, key, text)
 
     def make():
         known = WordHashes()
 
         def run(part):
-            out: dict[str, list] = {"doc": part.column("doc").to_pylist(), "set_key": [], "n": [], "sig": []}
+            out: dict[str, list] = {"doc": part.column("doc").to_pylist(), "body": part.column("body").to_pylist(), "set_key": [], "n": [], "sig": []}
             for t in part.column("text").to_pylist():
                 x = np.unique(shingles(word_hashes(t, known)))
                 out["set_key"].append(xxhash.xxh128_digest(x) if len(x) else None)
@@ -70,7 +70,13 @@ def documents_signed(docs: DataFrame, key: str = "doc_id", text: str = "text", h
 
         return run
 
-    return map_rows(rows, make, "doc long, set_key binary, n long, sig binary")
+    return map_rows(rows, make, "doc long, body long, set_key binary, n long, sig binary")
+
+
+def _bodies(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, body, text): body tells texts of one id apart."""
+    own = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(own).alias("body"), own.alias("text"))
 
 
 def _signatures(column: list) -> np.ndarray:
@@ -78,14 +84,14 @@ def _signatures(column: list) -> np.ndarray:
 
 
 def candidate_components(reps: DataFrame, threshold: float, hashes: int = HASHES, rows: int = ROWS, most: int = BLOCK) -> DataFrame:
-    """(id, component): documents joined by pairs that share a band and that the posterior keeps. reps: (rep, sig)."""
+    """(id, component): documents joined by pairs that share a band and that the posterior keeps. reps: (set_key, rep, sig)."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(hashes // rows - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * (4 * rows) + 1, F.lit(4 * rows))))
-    banded = reps.select("rep", F.explode(bands).alias("h"))
-    buckets = banded.groupBy("h").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("low")).where("size > 1")
+    banded = reps.select("set_key", "rep", F.explode(bands).alias("h"))
+    buckets = banded.groupBy("h").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("set_key")).alias("x"), F.min("rep").alias("low")).where("size > 1")
     # bands that hold the same documents say the same: one of them is enough
     buckets = cut(buckets.groupBy("size", "x", "low").agg(F.min("h").alias("h")).select("h", "size"))
     members = banded.join(sent_if_small(buckets), "h")
-    members = blocks(members, "size", F.col("rep"), most).join(reps.select("rep", "sig"), "rep")
+    members = blocks(members, F.col("size") / most, "set_key").join(reps.select("set_key", "sig"), "set_key").drop("set_key")
 
     def edges(g: dict) -> dict | None:
         rep, block, sig = np.asarray(g["rep"]), np.asarray(g["block"]), _signatures(g["sig"])
@@ -141,16 +147,6 @@ def shared_shingles(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     return out
 
 
-def _own_texts(g: dict) -> dict:
-    """Where rows repeat an id: one row for each text that the signature is of."""
-    known, seen, keep = WordHashes(), set(), []
-    for i, (rep, key, text) in enumerate(zip(g["rep"], g["set_key"], g["text"])):
-        if (rep, key) not in seen and xxhash.xxh128_digest(np.unique(shingles(word_hashes(text, known)))) == key:
-            seen.add((rep, key))
-            keep.append(i)
-    return {c: [v[i] for i in keep] for c, v in g.items()}
-
-
 def ngram_join(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", hashes: int = HASHES, rows: int = ROWS, most: int = BLOCK) -> DataFrame:
     """(key, class_id, n_links, kept) for each row: links are pairs of rows whose shingle sets have a Jaccard similarity >= threshold.
 
@@ -167,23 +163,25 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", tex
     """
     signed = cut(documents_signed(docs, key, text, hashes))
     once = signed.where("set_key is not null and doc is not null")
-    reps = once.groupBy("set_key").agg(F.min("doc").alias("rep"), F.countDistinct("doc").alias("mult"), F.first("sig").alias("sig"), F.first("n").alias("n"))
-    reps = cut(reps)
+    first = F.min(F.struct("doc", "body"))
+    reps = once.groupBy("set_key").agg(first.alias("first"), F.countDistinct("doc").alias("mult"), F.first("sig").alias("sig"), F.first("n").alias("n"))
+    reps = cut(reps.select("set_key", F.col("first.doc").alias("rep"), F.col("first.body").alias("body"), "mult", "sig", "n"))
     parts = cut(candidate_components(reps, threshold, hashes, rows, most))
-    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    members = parts.join(sizes, "component").select(F.col("id").alias("rep"), "component", "size")
-    members = cut(members.join(reps.select("rep", "mult", "sig", "set_key"), "rep"))
-    body = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    held = body.join(sent_if_small(members, 100_000), "rep")
-    dealt = blocks(held, "size", F.col("rep"), most)
+    members = cut(parts.withColumnRenamed("id", "rep").join(reps, "rep"))
+    sizes = members.groupBy("component").agg(F.greatest(F.count("*") / most, F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+    members = cut(members.join(sizes, "component"))
+    # of rows that repeat an id and a text one text is fetched
+    body = _bodies(docs, key, text).withColumnRenamed("doc", "rep")
+    body = body.join(sent_if_small(members.select("rep", "body"), 100_000), ["rep", "body"], "left_semi").groupBy("rep", "body").agg(F.first("text").alias("text"))
+    held = body.join(members.select("rep", "body", "component", "parts", "mult", "sig"), ["rep", "body"])
+    dealt = blocks(held, F.col("parts"), "rep", "body").drop("body", "parts")
 
     def verify(g: dict) -> dict | None:
-        if len(set(g["rep"])) < len(g["rep"]):
-            g = _own_texts(g)
         rep, block, mult = np.asarray(g["rep"]), np.asarray(g["block"]), np.asarray(g["mult"])
         if len(rep) < 2:
             return None
         i, j = _pairs(rep, block, g["block_i"][0], g["block_j"][0], _signatures(g["sig"]), threshold)
+        i, j = i[rep[i] != rep[j]], j[rep[i] != rep[j]]
         if not len(i):
             return None
         known = WordHashes()

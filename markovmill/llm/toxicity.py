@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows, small_batches
+from .common import held_out, map_rows, settle
 from .labelled import class_weights, labelled_sample, logistic
 
 WORD = re.compile(r"\w+")
@@ -77,28 +77,41 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, r - l) for (s, e), l, r in zip(spans, left, right)]
 
 
-def evidence(segments: list[tuple[int, int, float]], n: int, model: ToxicityModel) -> tuple[float, int]:
+def evidence(scores: list[float], n: int, decay: float, scale: float) -> tuple[float, int]:
     """Nats against chance, and the number of segments that chance gives to fewer than one document in a hundred.
 
     A segment's normalised score is lambda S - ln(K n); the best sum over the r greatest, less ln r!, counts (Karlin and Altschul, 1993).
     """
-    if not segments:
+    if not len(scores):
         return 0.0, 0
-    each = np.sort([model.decay * s - math.log(max(model.scale * n, 1e-9)) for _, _, s in segments])[::-1]
+    each = np.sort(decay * np.asarray(scores) - math.log(scale * n))[::-1]
     sums = np.cumsum(each) - np.cumsum(np.log(np.arange(1, len(each) + 1)))
     return max(0.0, float(sums.max())), int((each > -math.log(0.01)).sum())
 
 
+def probability(nats: np.ndarray, a: float, b: float) -> np.ndarray:
+    """The calibrated score of evidence, whose logarithm the calibration is over, as one passage more says less than the first."""
+    return 1 / (1 + np.exp(-np.clip(a + b * np.log1p(nats), -500, 500)))
+
+
+def tail_scale(counts: list[int], lengths: list[int], decay: float, least: float) -> float:
+    """K of the extreme-value distribution, by clean texts: in one of n tokens chance gives K n exp(-lambda s) segments of a score of s or
+    more on average. counts: segments of each text, all of which have at least the score `least`."""
+    return (sum(counts) + 0.5) / (math.exp(-decay * least) * max(sum(lengths), 1))
+
+
 def _features(text: str) -> set[str]:
     words = set(WORD.findall(text.lower()))
     return words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) >= k}
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, rest: int = 0, most: int = 16_000, vocabulary: int = 20_000, least_gain: float = 14.0, prior: float = 500.0, drift: float = 0.5, key: str = "doc_id", text: str = "text") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, rest: int = 0, most: int = 16_000, vocabulary: int = 20_000, least_gain: float = 14.0, least_texts: int = 3, prior: float = 500.0, drift: float = 0.5, key: str = "doc_id", text: str = "text") -> ToxicityModel:
     """Learns from at most `most` labelled documents outside the held-out fold; up to `vocabulary` features come to the driver.
 
     Three folds of the sample give the log-odds of words and word prefixes, by the documents that hold them, with a Dirichlet prior of
-    weight `prior` after the pooled sample; features whose signed likelihood ratio is under `least_gain` say nothing. The fourth fold gives the calibration,
+    weight `prior` after the pooled sample. Features that fewer than `least_texts` toxic documents hold, whose signed likelihood ratio is under
+    `least_gain` or whose log-odds don't exceed `drift` say nothing; of the others the `vocabulary` of greatest ratio count. lambda
+    follows from the scores' distribution over clean documents. The fourth fold gives K, from its clean documents, and the calibration,
     with weights that restore the classes' shares of all labels where the sample cuts a class.
     No labels, or of one class: scores are the smoothed share of toxic ones.
     """
@@ -124,28 +137,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, rest: int =
     odds = F.log((F.col("t") + alpha) / (n_t + prior - F.col("t") - alpha)) - F.log((F.col("c") + alpha) / (n_c + prior - F.col("c") - alpha))
     expected = (F.col("t") + F.col("c")) * n_t / (n_t + n_c or 1)
     others = F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (F.col("t") + F.col("c") - expected))).otherwise(0.0)
-    scored = counts.where("t >= 3").withColumn("odds", odds).withColumn("gain", 2 * (F.col("t") * F.log(F.col("t") / expected) + others))
+    scored = counts.where(F.col("t") >= least_texts).withColumn("odds", odds).withColumn("gain", 2 * (F.col("t") * F.log(F.col("t") / expected) + others))
     scored = scored.where((F.col("gain") >= least_gain) & (F.col("odds") > drift)).orderBy(F.desc("gain"), "feature").limit(vocabulary)
     top = [(r.feature, r.odds - drift, (r.c + prior * (r.t + r.c) / (n_t + n_c)) / (n_c + prior)) for r in scored.select("feature", "odds", "t", "c").collect()]
     scores = {f: s for f, s, _ in top}
     words = [(s, p) for f, s, p in top if not f.endswith("*")]
     decay = _decay([s for s, _ in words], [p for _, p in words], drift)
-    blank = ToxicityModel(scores, drift, decay, 0.1, 0.0, 0.0)
+    blank = ToxicityModel(scores, drift, decay, 1.0, 0.0, 0.0)
 
     def make_scores():
-        one = scorer(blank)
+        find = segment_finder(blank)
 
         def run(part):
-            texts = part.column("text").to_pylist()
-            return {"x": [one(t)[0] for t in texts], "y": part.column("y").to_pylist()}
+            found = [find(t) for t in part.column("text").to_pylist()]
+            return {"s": [[x[2] for x in f] for f, _ in found], "n": [n for _, n in found], "y": part.column("y").to_pylist()}
 
         return run
 
-    rows = map_rows(sample.where("fold = 3"), make_scores, "x double, y int").collect()  # at most `most` pairs of numbers
-    x, y = np.array([min(r.x, 60.0) for r in rows]), np.array([float(r.y) for r in rows])
+    rows = map_rows(sample.where("fold = 3"), make_scores, "s array<double>, n long, y int").collect()  # of at most `most` labelled texts
+    clean_rows = [r for r in rows if not r.y]
+    scale = tail_scale([len(r.s) for r in clean_rows], [r.n for r in clean_rows], decay, min(scores.values(), default=0.0))
+    x, y = np.array([evidence(r.s, r.n, decay, scale)[0] for r in rows]), np.array([float(r.y) for r in rows])
     weight = np.where(y == 1, toxic, clean)
-    a, b = logistic(x, y, weight * len(y) / (weight.sum() or 1))  # a mean of one, as the ridge is for rows of weight one
-    return ToxicityModel(scores, drift, decay, blank.scale, a, b)
+    a, b = logistic(np.log1p(x), y, weight * len(y) / (weight.sum() or 1))  # a mean of one, as the ridge is for rows of weight one
+    return ToxicityModel(scores, drift, decay, scale, a, b)
 
 
 def _share(sample: DataFrame, clean: float, toxic: float) -> tuple[float, float]:
@@ -165,18 +180,28 @@ def _decay(scores: list[float], shares: list[float], drift: float) -> float:
     return low
 
 
-def scorer(model: ToxicityModel):
-    """A function of a text: evidence, number of significant segments, the best segment's first and last token."""
+def segment_finder(model: ToxicityModel):
+    """A function of a text: its maximal segments, and its number of tokens."""
     known = _TokenScores(model=model)
 
-    def one(text: str) -> tuple[float, int, int, int]:
+    def find(text: str) -> tuple[list[tuple[int, int, float]], int]:
         tokens = text.split()
         s = np.fromiter(map(known.__getitem__, tokens), float, len(tokens))
-        if not len(s) or s.max() <= 0:
+        return (maximal_segments(s) if len(s) and s.max() > 0 else []), len(s)
+
+    return find
+
+
+def scorer(model: ToxicityModel):
+    """A function of a text: evidence, number of significant segments, the best segment's first and last token."""
+    find = segment_finder(model)
+
+    def one(text: str) -> tuple[float, int, int, int]:
+        found, n = find(text)
+        if not found:
             return 0.0, 0, -1, -1
-        found = maximal_segments(s)
         start, end, _ = max(found, key=lambda x: (x[2], -x[0]))
-        return *evidence(found, len(s), model), start, end
+        return *evidence([x[2] for x in found], n, model.decay, model.scale), start, end
 
     return one
 
@@ -195,8 +220,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, parts: int = 5, rest:
 
         def run(part):
             found = [one(t) for t in part.column("text").to_pylist()]
-            z = np.clip([model.a + model.b * min(x[0], 60.0) for x in found], -500, 500)
-            score = (1 / (1 + np.exp(-z))).tolist()
+            score = probability(np.array([x[0] for x in found]), model.a, model.b).tolist()
             return {"key_": part.column("key_").to_pylist(), "score": score, "predicted": [int(s >= 0.5) for s in score], "n_segments": [x[1] for x in found], "segment_start": [x[2] for x in found], "segment_end": [x[3] for x in found]}
 
         return run
@@ -213,8 +237,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5,
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = scorer(model)
         for texts in parts:
-            z = np.array([model.a + model.b * min(one(t or "")[0], 60.0) for t in texts], dtype=float)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+            yield pd.Series(probability(np.array([one(t or "")[0] for t in texts], dtype=float), model.a, model.b))
 
-    small_batches(docs.sparkSession)
+    settle(docs.sparkSession)
     return docs.where(score(F.col(text)) < threshold)
