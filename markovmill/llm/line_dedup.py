@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, sent_if_small
+from .common import cut, map_rows
 
 #: Words that a repeated run must have; each such run of whole lines is found.
 RUN_WORDS = 12
@@ -20,25 +20,28 @@ LONG_WORDS, CUT_WITHIN = 40, 12
 
 _END = re.compile(r"[.!?]\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
+_ODD_SPACE = re.compile(r"[^\S \n]")
 
 
 def split_lines(text: str) -> list[tuple[int, int]]:
     """(start, end) of the lines of a text, which join to the whole of it.
 
-    Lines end with a line break and, so that a passage within a line meets its copies elsewhere, with a sentence. Boundaries depend on
-    nearby text alone.
+    Lines end with a line break and, so that a passage within a line meets its copies elsewhere, with a sentence; long sentences are cut by
+    _cuts(). Boundaries depend on nearby text alone.
     """
     out = []
     start = 0
-    for end in (*(m.end() for m in _END.finditer(text)), len(text)):
+    plain = _ODD_SPACE.search(text) is None
+    for end in (*[m.end() for m in _END.finditer(text)], len(text)):
         if end > start:
-            if end - start > 2 * LONG_WORDS and len(text[start:end].split()) > LONG_WORDS:
+            # without other white space a line has at most one word more than spaces
+            if end - start > 2 * LONG_WORDS and not (plain and text.count(" ", start, end) < LONG_WORDS) and len(text[start:end].split()) > LONG_WORDS:
                 for stop in _cuts(text, start, end):
                     if stop < end:
                         out.append((start, stop))
                         start = stop
             out.append((start, end))
-        start = max(start, end)
+            start = end
     return out
 
 
@@ -46,16 +49,19 @@ def _cuts(text: str, start: int, end: int) -> list[int]:
     """Ends of the words that have the least hash, the last of equal ones, of any CUT_WITHIN words in a row.
 
     Two sentences that share a passage of n words have the same cuts from its first CUT_WITHIN words to its last ones, and none there that
-    only one has: all but CUT_WITHIN words at most on each side are whole lines in both.
+    only one has: all but CUT_WITHIN words at most on each side are whole lines in both. A word that stands before its like is no cut, so
+    that a word repeated for pages is one line.
     """
     words = [(m.end(), xxhash.xxh32_intdigest(m.group().rstrip())) for m in _WORD.finditer(text, start, end)]
     n = len(words)
-    key = np.fromiter((h for _, h in words), np.int64, n) << 31 | np.arange(n - 1, -1, -1)
+    h = np.fromiter((h for _, h in words), np.int64, n)
+    h[:-1][h[:-1] == h[1:]] = 1 << 32
+    key = h << 30 | np.arange(n - 1, -1, -1)
     least = key[: n - CUT_WITHIN + 1].copy()
     for s in range(1, CUT_WITHIN):
         np.minimum(least, key[s : n - CUT_WITHIN + 1 + s], out=least)
-    picked = np.unique(n - 1 - (least & 0x7FFFFFFF))
-    return [words[i][0] for i in picked.tolist()]
+    least = least[least >> 30 < 1 << 32]
+    return [words[i][0] for i in np.unique(n - 1 - (least & 0x3FFFFFFF)).tolist()]
 
 
 def line_bodies(text: str, lines: list[tuple[int, int]]) -> list[str]:
@@ -65,43 +71,16 @@ def line_bodies(text: str, lines: list[tuple[int, int]]) -> list[str]:
     return [b if b.isprintable() and "  " not in b else " ".join(b.split()) for b in bodies]
 
 
-def _words(bodies: list[str]) -> np.ndarray:
-    return np.fromiter((b.count(" ") + 1 if b else 0 for b in bodies), np.int64, len(bodies))
-
-
 def line_hashes(text: str, lines: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and numbers of words of the lines, whatever white space parts the words."""
     bodies = line_bodies(text, lines)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, bodies), np.uint64, len(bodies)).view(np.int64)
-    return hashes, _words(bodies)
-
-
-def winnow(hashes: np.ndarray, words: np.ndarray, stop: np.ndarray, run: int) -> np.ndarray:
-    """Indexes of selected lines of some texts, one after the other; stop: for each line the index at which its text ends.
-
-    Of each shortest stretch of at least `run` words within a text it is the line of least hash, if possible of 5 words or more. What a
-    stretch selects depends on its lines alone, so two texts that share one select the same line there.
-    """
-    if not len(words):
-        return np.zeros(0, dtype=np.int64)
-    total = np.cumsum(words)
-    last = np.searchsorted(total, total - words + run)
-    starts = np.flatnonzero(last < stop)
-    last = last[starts]
-    key = (hashes.view(np.uint64) >> np.uint64(1)) | np.where(words < 5, np.uint64(1 << 63), np.uint64(0))
-    best, step = starts.copy(), 1
-    while True:
-        at = starts + step
-        live = at <= last
-        if not live.any():
-            return np.unique(best)
-        at = np.where(live, at, starts)
-        best = np.where(live & (key[at] <= key[best]), at, best)
-        step += 1
+    return hashes, np.fromiter((b.count(" ") + 1 if b else 0 for b in bodies), np.int64, len(bodies))
 
 
-def stretches(hashes: np.ndarray, words: np.ndarray, start: np.ndarray, stop: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, hash) of the shortest stretches of at least `run` words and several lines that begin or end with each line of a text.
+def windows(words: np.ndarray, start: np.ndarray, stop: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) lines of the shortest stretches of at least `run` words that begin or end with each line of some texts, one after the
+    other; start, stop: for each line the bounds of its text.
 
     Each line of a run of that many words lies in one of them that lies in the run: where the words up to the line are fewer, in the
     one from the run's first line on, else in the one that ends with the line.
@@ -110,112 +89,136 @@ def stretches(hashes: np.ndarray, words: np.ndarray, start: np.ndarray, stop: np
     at = np.arange(len(words))
     to = np.searchsorted(total, total - words + run)
     since = np.searchsorted(total - words, total - run, "right") - 1
-    begin, end = (to < stop) & (to > at), (since >= start) & (since < at)
+    begin, end = to < stop, since >= start
     spans = np.unique(np.r_[at[begin] << 32 | to[begin], since[end] << 32 | at[end]])
-    first, last = spans >> 32, spans & 0xFFFFFFFF
-    # a polynomial of the lines' hashes modulo 2^64, from sums over all lines, moved to its first line by the base's inverse
+    return spans >> 32, spans & 0xFFFFFFFF
+
+
+def winnow(hashes: np.ndarray, words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The line that each window selects as its fingerprint: of least hash, if possible of 5 words or more, the last of equal ones.
+
+    It depends on the window's lines alone, so two texts that share a window select the same line there.
+    """
+    key = (hashes.view(np.uint64) >> np.uint64(1)) | np.where(words < 5, np.uint64(1 << 63), np.uint64(0))
+    best, live, at = first.copy(), np.arange(len(first)), first
+    while True:
+        at = at + 1
+        go = at <= last[live]
+        live, at = live[go], at[go]
+        if not len(live):
+            return best
+        better = key[at] <= key[best[live]]
+        best[live[better]] = at[better]
+
+
+def window_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of windows of lines: a polynomial of the lines' hashes modulo 2^64, from sums over all lines, moved to its first line by the
+    base's inverse."""
     base = 0x9E3779B97F4A7C15
-    power, inverse = (np.cumprod(np.r_[np.uint64(1), np.full(len(words), b, np.uint64)]) for b in (base, pow(base, -1, 1 << 64)))
+    power, inverse = (np.cumprod(np.r_[np.uint64(1), np.full(len(hashes), b, np.uint64)]) for b in (base, pow(base, -1, 1 << 64)))
     sums = np.r_[np.uint64(0), np.cumsum(hashes.view(np.uint64) * power[:-1])]
     h = (sums[last + 1] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)
     for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
         h = (h ^ (h >> np.uint64(33))) * np.uint64(c)
-    return first, last, (h ^ (h >> np.uint64(33))).view(np.int64)
-
-
-def _lists(hashes: np.ndarray, first: np.ndarray, size: np.ndarray, way: int) -> pa.Array:
-    """Lists of hashes from `first` on, `size` of them, forwards (1) or backwards (-1)."""
-    offsets = np.r_[0, np.cumsum(size)]
-    at = np.repeat(first, size) + way * (np.arange(offsets[-1]) - np.repeat(offsets[:-1], size))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[at], pa.int64()))
+    return (h ^ (h >> np.uint64(33))).view(np.int64)
 
 
 def fingerprints(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(h, doc, pos, more, left, right) of each selected line and each of stretches(), which has `more` lines after its first.
+    """(f, doc, body, windows): a row for each fingerprint of a text, with the windows that select it.
 
-    left and right: of a selected line the hashes of the lines up to the next selected ones, nearest first; of a stretch nothing.
+    body: a hash of the text, which tells texts of one id apart; windows: (h, a, b), a hash of the window's lines, its first character and
+    the one after its last. Of equal windows of one text the first alone is there; the lines of the others, which are repeats whatever
+    other texts hold, are in a row without f as stretches without h.
     """
 
     def make():
         def work(part):
             texts = part.column("text").to_pylist()
-            spans = [split_lines(t) for t in texts]
-            sizes = np.fromiter(map(len, spans), np.int64, len(spans))
-            found = [line_hashes(t, s) for t, s in zip(texts, spans) if s]
+            lines = [split_lines(t) for t in texts]
+            found = [line_hashes(t, s) for t, s in zip(texts, lines) if s]
             if not found:
                 return None
-            h, w = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+            hashes, words = (np.concatenate([f[i] for f in found]) for i in (0, 1))
             end = np.cumsum(sizes)
             start, stop = np.repeat(end - sizes, sizes), np.repeat(end, sizes)
-            chosen = winnow(h, w, stop, run)
-            # the neighbours that are selected too, within the text
-            before = np.maximum(np.r_[-1, chosen[:-1]], start[chosen] - 1) if len(chosen) else chosen
-            after = np.minimum(np.r_[chosen[1:], len(h)], stop[chosen]) if len(chosen) else chosen
-            doc = np.repeat(part.column("doc").to_numpy(zero_copy_only=False), sizes)
-            first, last, own = stretches(h, w, start, stop, run)
-            none = np.zeros(len(first), dtype=np.int64)
-            at = np.r_[chosen, first]
-            left = _lists(h, np.r_[chosen - 1, none], np.r_[chosen - before - 1, none], -1)
-            right = _lists(h, np.r_[chosen + 1, none], np.r_[after - chosen - 1, none], 1)
-            more = np.r_[np.zeros(len(chosen), dtype=np.int64), last - first]
-            return {"h": np.r_[h[chosen], own], "doc": doc[at], "pos": (at - start[at]).astype(np.int32), "more": more.astype(np.int32), "left": left, "right": right}
+            spans = np.array([x for s in lines for x in s], dtype=np.int32)
+            row = np.repeat(np.arange(len(texts)), sizes)
+            first, last = windows(words, start, stop, run)
+            h = window_hashes(hashes, first, last)
+            # windows come by place, so of equal ones of a text the first is the first
+            order = np.lexsort((first, h, row[first]))
+            again = np.zeros(len(first), dtype=bool)
+            same = (h[order][1:] == h[order][:-1]) & (row[first[order]][1:] == row[first[order]][:-1])
+            again[order[1:][same]] = True
+            # a text's first line is in none of them, so none of the stretches reaches over two texts
+            known = np.r_[0, np.cumsum(np.bincount(first[again], minlength=len(words) + 1) - np.bincount(last[again] + 1, minlength=len(words) + 1))] > 0
+            change = np.flatnonzero(known[1:] != known[:-1])
+            own_first, own_last = change[::2], change[1::2] - 1
+            first, last, h = first[~again], last[~again], h[~again]
+            f = hashes[winnow(hashes, words, first, last)]
+            order = np.lexsort((f, row[first]))
+            first, last, h, f = first[order], last[order], h[order], f[order]
+            at, to = np.r_[first, own_first], np.r_[last, own_last]
+            own = np.arange(len(at)) >= len(first)
+            f, h = (np.r_[x, np.zeros(len(own_first), dtype=np.int64)] for x in (f, h))
+            new = np.r_[True, (f[1:] != f[:-1]) | (row[at[1:]] != row[at[:-1]]) | (own[1:] != own[:-1])][: len(at)]
+            offsets, head = np.r_[np.flatnonzero(new), len(at)].astype(np.int32), at[new]
+            each = pa.StructArray.from_arrays([pa.array(h, pa.int64(), mask=own), pa.array(spans[at, 0]), pa.array(spans[to, 1])], ["h", "a", "b"])
+            doc, body = (part.column(c).to_numpy(zero_copy_only=False)[row[head]] for c in ("doc", "body"))
+            return {"f": pa.array(f[new], pa.int64(), mask=own[new]), "doc": doc, "body": body, "windows": pa.ListArray.from_arrays(offsets, each)}
 
         return work
 
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return map_rows(rows, make, "h long, doc long, pos int, more int, left array<long>, right array<long>")
-
-
-def _same(a: Column, b: Column) -> Column:
-    """How many leading elements are equal."""
-    n = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
-    return F.when(n == 0, F.size(a)).otherwise(n - 1).cast("int")
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.hash(body).alias("body"), body.alias("text"))
+    return map_rows(rows, make, "f long, doc long, body int, windows array<struct<h: long, a: int, b: int>>")
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, runs): stretches (first << 32 | last) of lines that equal earlier ones, by document. Earlier: of a lower id, or before in the text.
+    """(doc, body, runs): stretches (first character << 32 | end) of text that equal earlier ones, by document. Earlier: of a lower id, or
+    before in the text.
 
-    Fingerprints are summed up by hash to the first place and a count; those that repeat meet their first place, and the match is extended
-    to both sides as far as lines agree, up to the next fingerprint, which has a match of its own if the run goes on. A line's first place
-    may have other neighbours than a later one, so each stretch of `run` words has a hash and a first place of its own.
+    Fingerprints are summed up by hash first, without their windows: a window can be repeated only where its fingerprint is, so most go no
+    further. The places of those that repeat are extended to both sides as far as the window reaches: all that agree there meet under the
+    window's own hash, the least id stays and the others are repeats. So each earlier place with equal lines counts, not just the first one
+    of a common line. Longer runs are unions of windows.
     """
     found = cut(fingerprints(docs, run, key, text))
-    firsts = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = cut(firsts.select("h", F.col("first.doc").alias("doc_1"), F.col("first.pos").alias("pos_1")))
-    rows = found.join(firsts, "h")
-    is_first = (F.col("doc") == F.col("doc_1")) & (F.col("pos") == F.col("pos_1"))
-    rows = cut(rows.withColumn("is_first", is_first).drop("doc_1", "pos_1"))
-    # rows of one id that repeat have one place; any of them will do
-    sources = cut(rows.where("is_first and more = 0").groupBy("h").agg(F.min("left").alias("left_1"), F.min("right").alias("right_1")))
-    both = rows.where("not is_first and more = 0").join(sources, "h")
-    first, last = F.col("pos") - _same(F.col("left"), F.col("left_1")), F.col("pos") + _same(F.col("right"), F.col("right_1"))
-    runs = both.select("doc", (first.cast("long") * (1 << 32) + last).alias("run"))
-    whole = rows.where("not is_first and more > 0")
-    runs = runs.unionByName(whole.select("doc", (F.col("pos").cast("long") * (1 << 32) + F.col("pos") + F.col("more")).alias("run")))
-    return runs.groupBy("doc").agg(F.collect_set("run").alias("runs"))  # of a document's own lines at most
+    shared = found.where("f is not null").groupBy("f").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("f")
+    held = cut(found.join(shared, "f").select("doc", "body", F.inline("windows")))
+    least = held.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "low")
+    later = held.join(least, "h").where("doc > low").select("doc", "body", "a", "b")
+    spans = later.unionByName(found.where("f is null").select("doc", "body", F.inline("windows")).drop("h"))
+    packed = F.col("a").cast("long") * (1 << 32) + F.col("b")
+    return spans.groupBy("doc", "body").agg(F.collect_list(packed).alias("runs"))  # of a document's own lines at most
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with later copies of repeated runs deleted from the text, and n_removed lines (and n_chars, if there, of the new text).
+    """docs with later copies of repeated runs deleted from the text, n_removed: how many runs, n_words_removed: their words (and n_chars,
+    if there, of the new text).
 
-    A run is deleted if its whole lines have at least `run` words and stand before, in the same text or in ones of a lower id; matches
+    Lines are those of split_lines(): they end with line breaks, sentences, and within long sentences at words that their hashes pick. A run
+    is deleted if its whole lines have at least `run` words and stand before, in the same text or in ones of a lower id; matches
     that touch are one run. The first copy of each line always stays, as what is deleted equals something earlier. White space around and within lines
     does not matter, case does.
-    Null texts stay null, empty ones empty. Rows with a null id are left as they are. Rows that repeat an id and a text are one place:
-    none is deleted for the other. No rows: no rows. A column n_removed is replaced.
+    Null texts stay null, empty ones empty. Rows with a null id are left as they are. Rows of one id are one place: none is deleted for
+    another of them. No rows: no rows. Columns n_removed and n_words_removed are replaced.
     """
-    old = docs.drop("n_removed")
-    runs = cut(repeated_runs(old, run, key, text))
-    # the row in a struct, so that no name clashes; runs are few numbers to a row, and beyond the bound both sides are dealt out by id
+    old = docs.drop("n_removed", "n_words_removed")
+    runs = repeated_runs(old, run, key, text)
+    # the row in a struct, so that no name clashes; both sides are dealt out by id, at every size
     rows = old.select(F.struct(*old.columns).alias("row"))
-    marked = rows.join(sent_if_small(runs, 200_000), F.col(f"row.{key}") == F.col("doc"), "left")
+    mine = (F.col(f"row.{key}") == F.col("doc")) & (F.hash(F.coalesce(F.col(f"row.{text}"), F.lit(""))) == F.col("body"))
+    marked = rows.join(runs, mine, "left")
     # texts without a run aren't sent to Python
-    marked = marked.withColumn("new", _rewrite(run)(F.when(F.col("runs").isNotNull(), F.col(f"row.{text}")), F.col("runs")))
+    marked = marked.withColumn("new", _rewrite()(F.when(F.col("runs").isNotNull(), F.col(f"row.{text}")), F.col("runs")))
     out = {c: F.col(f"row.{c}") for c in old.columns}
     out[text] = F.when(F.col("runs").isNull(), out[text]).otherwise(F.col("new.text"))
     if "n_chars" in out and text != "n_chars":
         out["n_chars"] = F.when(F.col("new.n_removed") > 0, F.length("new.text")).otherwise(out["n_chars"]).cast(old.schema["n_chars"].dataType)
-    return marked.select(*[c.alias(n) for n, c in out.items()], F.coalesce("new.n_removed", F.lit(0)).cast("long").alias("n_removed"))
+    counts = [F.coalesce(f"new.{c}", F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_words_removed")]
+    return marked.select(*[c.alias(n) for n, c in out.items()], *counts)
 
 
 def without_repeats(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -224,25 +227,27 @@ def without_repeats(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id",
     return out.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace(text, r"\s+", " ")) != "")).select(docs.columns)
 
 
-def _rewrite(run: int):
-    @F.pandas_udf("text string, n_removed long")
+def _rewrite():
+    @F.pandas_udf("text string, n_removed long, n_words_removed long")
     def rewrite(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        out = [(t, 0) if t is None or r is None else _without(t, r, run) for t, r in zip(texts, runs)]
-        return pd.DataFrame(out, columns=["text", "n_removed"])
+        out = [(t, 0, 0) if t is None or r is None else _without(t, r) for t, r in zip(texts, runs)]
+        return pd.DataFrame(out, columns=["text", "n_removed", "n_words_removed"])
 
     # evaluated once, wherever the optimizer moves what reads it
     return rewrite.asNondeterministic()
 
 
-def _without(text: str, runs, run: int) -> tuple[str, int]:
-    lines = split_lines(text)
-    runs = np.asarray(runs, dtype=np.int64)
-    opened, closed = (np.bincount(np.clip(x, 0, len(lines)), minlength=len(lines) + 1) for x in (runs >> 32, (runs & 0xFFFFFFFF) + 1))
-    known = np.r_[False, np.cumsum(opened - closed)[:-1] > 0, False]
-    words = np.r_[0, np.cumsum(_words(line_bodies(text, lines)))]
-    # matches that touch are one run
-    change = np.flatnonzero(known[1:] != known[:-1])
-    gone = np.zeros(len(lines), dtype=bool)
-    for a, b in zip(change[::2], change[1::2]):
-        gone[a:b] = words[b] - words[a] >= run
-    return "".join(text[a:b] for (a, b), g in zip(lines, gone) if not g), int(gone.sum())
+def _without(text: str, runs) -> tuple[str, int, int]:
+    kept, at, n, words = [], 0, 0, 0
+    stop = -1
+    for run in np.unique(np.asarray(runs, dtype=np.int64)).tolist():
+        a, b = run >> 32, run & 0xFFFFFFFF
+        if a > stop:  # runs that touch or overlap are one
+            kept.append(text[at:a])
+            n += 1
+        if b > at:
+            words += len(text[max(a, at) : b].split())
+            at = b
+        stop = max(stop, b)
+    kept.append(text[at:])
+    return "".join(kept), n, words
