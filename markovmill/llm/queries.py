@@ -67,8 +67,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resolve_revisits(page_records(_table(spark, sf_dir, "pages")))
     h = F.col("headers")
-    columns = [(-1 - F.col("record_id")).alias("page_id"), "canonical_url", "outcome", F.col("resolved_id").alias("resolved_page_id")]
-    fields = [F.coalesce(h[name], h[title]).alias(name.replace("-", "_")) for name, title in (("etag", "ETag"), ("date", "Date"), ("content-length", "Content-Length"), ("content-type", "Content-Type"), ("cache-control", "Cache-Control"))]
+    columns = [F.col("record_id.page").alias("page_id"), F.col("record_id.visit").alias("visit"), "canonical_url", "outcome", F.col("resolved_id.page").alias("resolved_page_id")]
+    fields = [F.coalesce(h[title.lower()], h[title]).alias(title.lower().replace("-", "_")) for title in ("ETag", "Last-Modified", "Date", "Content-Length", "Content-Type", "Cache-Control")]
     return found.select(*columns, *fields)
 
 
@@ -111,9 +111,9 @@ FROM parted
 
 CONTAMINATION_SQL = """
 WITH texts AS (
-  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}\\p{M}_]+') AS w FROM documents
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w FROM documents
   UNION ALL
-  SELECT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}\\p{M}_]+') FROM benchmark
+  SELECT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') FROM benchmark
 ), cut AS (
   SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
@@ -142,15 +142,30 @@ WITH bare AS (
   SELECT page_id, tag, size, CASE WHEN host <> '' THEN host || CASE WHEN port IN (':80', ':443') THEN '' ELSE port END || path
     || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical_url
   FROM parts
-), latest AS (
-  SELECT canonical_url, max(page_id) AS last_id, arg_max(tag, page_id) AS last_tag, arg_max(size, page_id) AS last_size
-  FROM named WHERE canonical_url IS NOT NULL GROUP BY 1
+), facts AS (
+  SELECT *, '"' || tag || '"' AS quoted, ('0x' || substr(tag, 1, 1))::INT AS digit FROM named
+), marked AS (
+  SELECT page_id, canonical_url, size, tag, CASE WHEN digit < 8 THEN quoted END AS etag,
+    CASE WHEN digit BETWEEN 4 AND 11 THEN 'version ' || substr(tag, 1, 8) END AS modified, CASE WHEN digit BETWEEN 8 AND 13 THEN tag END AS digest
+  FROM facts
+), visits AS (
+  SELECT *, 1 AS visit, page_id AS at FROM marked
+  UNION ALL SELECT *, 2, page_id + 1 + ('0x' || substr(tag, 1, 2))::INT FROM marked
+), met AS (
+  SELECT v.*, r.page_id AS old_id, r.size AS old_size, r.etag AS old_etag, r.modified AS old_modified,
+    CASE WHEN v.canonical_url IS NULL THEN 'no_url' WHEN r.page_id IS NULL THEN 'no_response' ELSE
+      CASE CASE WHEN v.etag IS NOT NULL AND r.etag IS NOT NULL THEN v.etag = r.etag
+                WHEN v.modified IS NOT NULL AND r.modified IS NOT NULL THEN v.modified = r.modified
+                WHEN v.digest IS NOT NULL AND r.digest IS NOT NULL THEN v.digest = r.digest END
+      WHEN true THEN 'resolved' WHEN false THEN 'changed' ELSE 'no_validator' END END AS outcome
+  FROM visits v ASOF LEFT JOIN marked r ON v.canonical_url = r.canonical_url AND v.at > r.page_id
 )
-SELECT page_id, canonical_url,
-  CASE WHEN canonical_url IS NULL THEN 'no_url' WHEN last_tag = tag THEN 'resolved' ELSE 'changed' END AS outcome, last_id AS resolved_page_id,
-  '"' || tag || '"' AS etag, 'visit ' || page_id AS date, CASE WHEN last_tag = tag THEN last_size::VARCHAR ELSE '0' END AS content_length,
-  CASE WHEN last_tag = tag THEN 'text/html' END AS content_type, 'max-age=60' AS cache_control
-FROM named LEFT JOIN latest USING (canonical_url)
+SELECT page_id, visit::INT AS visit, canonical_url, outcome, CASE WHEN outcome IN ('resolved', 'changed') THEN old_id END AS resolved_page_id,
+  CASE WHEN outcome = 'resolved' THEN coalesce(etag, old_etag) ELSE etag END AS etag,
+  CASE WHEN outcome = 'resolved' THEN coalesce(modified, old_modified) ELSE modified END AS last_modified,
+  'visit ' || page_id AS date, CASE WHEN outcome = 'resolved' THEN old_size::VARCHAR ELSE '0' END AS content_length,
+  CASE WHEN outcome = 'resolved' THEN 'text/html' END AS content_type, 'max-age=60' AS cache_control
+FROM met
 """
 
 #: Links to and from; ids and what each reaches; the least of it.

@@ -46,7 +46,7 @@ def _opaque(tag: Column) -> Column:
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """(record_id, canonical_url, outcome, resolved_id, headers) for each record of kind "revisit".
 
-    records: record_id long, url string, kind string ("response" or "revisit"), at long, etag string, last_modified string, digest string
+    records: record_id of any type that has an order, url string, kind string ("response" or "revisit"), at long, etag string, last_modified string, digest string
     (of the payload), headers map<string,string>. Full responses are those of kind "response"; other kinds are neither.
 
     outcome: "resolved"; "no_url" (null or not to be read); "no_response" (none is earlier); "no_validator" (the two share none);
@@ -88,25 +88,29 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def page_records(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Records of a crawl that fetched each page in the order of its id, then asked for each again, in the same order, with the validator
-    it got, and was told that nothing changed. A page's etag is its payload's digest; revisits have negative ids (-1 - id) and no payload."""
+    """Records of a crawl over pages: a full response at the time of its id, and two revisits between the others' responses.
+
+    record_id is a struct of the page's id and the visit: 0 the response, which comes at the time `id`; 1 a revisit right before it, which
+    meets what stood at its URL earlier; 2 a revisit 1 to 256 steps later, which meets the response itself or one that has come since. The
+    first digits of the payload's md5 say how much later that is, and which validators a page's records carry: an etag, a last-modified
+    date, a digest, several of them or none. A page without an id has no time, which comes before all; neither has one so great that it
+    has no later time. Repeated rows: records each.
+    """
     body = F.coalesce(F.col(html), F.lit(""))
-    tag = F.md5(body.cast("binary"))
-    base = pages.select(F.col(page).cast("long").alias("page"), F.col(url).alias("url"), tag.alias("tag"), F.octet_length(body).alias("size"))
-    quoted = F.concat(F.lit('"'), F.col("tag"), F.lit('"'))
-
-    def record(revisit: bool) -> Column:
-        day = F.concat(F.lit("visit " if revisit else "fetch "), F.col("page").cast("string"))
-        fields = [("ETag", quoted), ("Date", day), ("Content-Length", F.lit("0") if revisit else F.col("size").cast("string"))]
-        fields.append(("Cache-Control", F.lit("max-age=60")) if revisit else ("Content-Type", F.lit("text/html")))
-        return F.struct(
-            (-1 - F.col("page") if revisit else F.col("page")).alias("record_id"),
-            F.lit("revisit" if revisit else "response").alias("kind"),
-            # each page is asked for again after the last one was fetched
-            (F.col("page") + (1 << 62 if revisit else 0)).alias("at"),
-            quoted.alias("etag"),
-            F.create_map(*[x for k, v in fields for x in (F.lit(k), v)]).alias("headers"),
-        )
-
-    both = base.select("url", F.explode(F.array(record(False), record(True))).alias("r"))
-    return both.select("r.record_id", "url", "r.kind", "r.at", "r.etag", F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("digest"), "r.headers")
+    base = pages.select(F.col(page).cast("long").alias("page"), F.col(url).alias("url"), F.md5(body.cast("binary")).alias("tag"), F.octet_length(body).alias("size"))
+    digit = F.instr(F.lit("0123456789abcdef"), F.substring("tag", 1, 1)) - 1
+    later = F.instr(F.lit("0123456789abcdef"), F.substring("tag", 2, 1)) + digit * 16
+    etag = F.when(digit < 8, F.concat(F.lit('"'), F.col("tag"), F.lit('"')))
+    modified = F.when(digit.between(4, 11), F.concat(F.lit("version "), F.substring("tag", 1, 8)))
+    digest = F.when(digit.between(8, 13), F.col("tag"))
+
+    def record(visit: int) -> Column:
+        day = F.concat(F.lit("visit " if visit else "fetch "), F.col("page").cast("string"))
+        fields = [("ETag", etag), ("Last-Modified", modified), ("Date", day), ("Content-Length", F.lit("0") if visit else F.col("size").cast("string"))]
+        fields.append(("Cache-Control", F.lit("max-age=60")) if visit else ("Content-Type", F.lit("text/html")))
+        headers = F.map_filter(F.create_map(*[x for k, v in fields for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+        kind = F.lit("revisit" if visit else "response").alias("kind")
+        at = F.try_add(F.col("page"), later.cast("long")) if visit == 2 else F.col("page")
+        return F.struct(F.struct(F.col("page"), F.lit(visit).alias("visit")).alias("record_id"), kind, at.alias("at"), etag.alias("etag"), modified.alias("last_modified"), digest.alias("digest"), headers.alias("headers"))
+
+    return base.select("url", F.explode(F.array(*map(record, range(3)))).alias("r")).select("r.record_id", "url", *[f"r.{c}" for c in ("kind", "at", "etag", "last_modified", "digest", "headers")])
