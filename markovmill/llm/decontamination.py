@@ -15,8 +15,8 @@ from .shingles import WordHashes, hash_rows, shingles, word_hashes
 HASHES = 56
 #: Items are dealt by size to partitions whose upper bounds stand in this ratio.
 RATIO = 2.0
-#: A worker's table of items; more are searched in rounds of this many, each a scan.
-ITEMS_AT_ONCE = 50_000
+#: Different items, and characters of their texts, that a worker's table holds; more are searched in rounds of about so many, each a scan.
+ITEMS_AT_ONCE, CHARACTERS_AT_ONCE = 50_000, 32 << 20
 #: The filter in front of the table of least values, in bits.
 FILTER_BITS = 22
 
@@ -88,36 +88,37 @@ def find_contamination(docs: DataFrame, items: DataFrame, least: float = 0.8, ha
     anywhere. Items without words are never found; items and documents of fewer than five words have one shingle of them all. Null texts
     are empty. Repeated items and documents: each pair of rows. Other columns aren't read. No rows on either side: no rows.
 
-    Items go to the workers ITEMS_AT_ONCE to a scan, which bounds what is sent however many there are; documents aren't shuffled.
+    Items go to the workers by bounded rounds, each a scan, whatever their number and sizes (a single item may be longer); documents aren't
+    shuffled.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be over 0, at most 1")
     tests = items.select(F.col(item).cast("long").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    total = tests.count()
-    if total > ITEMS_AT_ONCE:
-        rounds = -(-total // ITEMS_AT_ONCE)
-        groups = [tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(rounds)) == r) for r in range(rounds)]
-    else:
-        groups = [tests]
+    tests = cut(tests.groupBy("item", "text").agg(F.count("*").alias("mult")))
+    total, size = tests.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    rounds = max(-(-total // ITEMS_AT_ONCE), -(-size // CHARACTERS_AT_ONCE), 1)
+    groups = [tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(rounds)) == r) for r in range(rounds)]
     rows = docs.select(F.col(key).alias("key_"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["key_"].dataType.simpleString().replace("bigint", "long")
     out = None
     for group in groups:
         known = WordHashes()
-        held = [(r.item, np.unique(shingles(word_hashes(r.text, known)))) for r in group.collect()]  # at most about ITEMS_AT_ONCE items
-        held = [(i, s) for i, s in held if len(s)]
-        found = map_rows(rows, _searcher(held, least, hashes), f"key_ {kind}, item long, n_item_shingles long, n_shared long, containment double")
+        held = [(r.item, np.unique(shingles(word_hashes(r.text, known))), r.mult) for r in group.collect()]  # about as many as the bounds say
+        held = [x for x in held if len(x[1])]
+        found = map_rows(rows, _searcher(held, least, hashes), f"key_ {kind}, item long, n_item_shingles long, n_shared long, containment double, mult long")
         out = found if out is None else out.unionByName(found)
+    # a row for each of the item's rows
+    out = out.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mult"))))
     return out.select(F.col("key_").alias(key), F.col("item").alias(item), "n_item_shingles", "n_shared", "containment")
 
 
-def _searcher(held: list[tuple[int, np.ndarray]], least: float, hashes: int):
+def _searcher(held: list[tuple[int, np.ndarray, int]], least: float, hashes: int):
     def make():
         known = WordHashes()
-        index = _index([s for _, s in held], hashes)
+        index = _index([s for _, s, _ in held], hashes)
 
         def run(part):
-            out: dict[str, list] = {n: [] for n in ("key_", "item", "n_item_shingles", "n_shared", "containment")}
+            out: dict[str, list] = {n: [] for n in ("key_", "item", "n_item_shingles", "n_shared", "containment", "mult")}
             for k, t in zip(part.column("key_").to_pylist(), part.column("text").to_pylist()):
                 x = shingles(word_hashes(t, known))
                 if not len(x) or not index:
@@ -125,11 +126,11 @@ def _searcher(held: list[tuple[int, np.ndarray]], least: float, hashes: int):
                 own = None
                 for i in sorted(_candidates(x, index, hashes)):
                     own = np.unique(x) if own is None else own
-                    ident, s = held[i]
+                    ident, s, mult = held[i]
                     at = np.searchsorted(own, s)
                     shared = int((own[np.minimum(at, len(own) - 1)] == s).sum())
                     if shared >= least * len(s):
-                        for n, v in zip(out, (k, ident, len(s), shared, shared / len(s))):
+                        for n, v in zip(out, (k, ident, len(s), shared, shared / len(s), mult)):
                             out[n].append(v)
             return out
 
