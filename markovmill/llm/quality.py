@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows
+from .common import cut, held_out, map_rows, sent_if_small
 from .labelled import labelled_sample, logistic
 
 LEVEL = 3
@@ -32,7 +32,7 @@ def _differences(good: bytes, bad: bytes):
 
     def one(text: str) -> float:
         raw = text.encode()
-        return float(np.clip((len(by[1].compress(raw)) - len(by[0].compress(raw))) / (len(raw) + EVEN), -0.3, 0.3))
+        return (len(by[1].compress(raw)) - len(by[0].compress(raw))) / (len(raw) + EVEN)
 
     return one
 
@@ -50,23 +50,26 @@ def _dictionary(segments: list[bytes], size: int) -> bytes:
         return b"".join(segments)[:size]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, parts: int = 4, rest: int = 2, most: int = 12_000, segments: int = 4_000, segment_bytes: int = 2_048, dictionary_bytes: int = 112_640, key: str = "doc_id", text: str = "text") -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, parts: int = 4, rest: int = 2, most: int = 12_000, segments: int = 4_000, segment_size: int = 2_048, dictionary_bytes: int = 112_640, key: str = "doc_id", text: str = "text") -> QualityModel:
     """Learns from at most `most` labelled documents outside the held-out fold.
 
     Three folds of the sample give the dictionaries: lines that several sampled documents hold are left out, as both classes have them,
-    the rest is cut to segments, and up to `segments` of each class, those of least hash, come to the driver. The fourth fold gives the
+    longer ones than segment_size characters are cut, and what stands together up to about that size is a segment. Up to `segments` of each
+    class, those of least hash from all over the texts, come to the driver, which is a bounded sample too. The fourth fold gives the
     calibration. No labels, or of one class: the smoothed share of good ones.
     """
     sample = labelled_sample(docs, labels, "quality", parts, rest, most, key, text)
     dictionary_part = sample.where("fold <> 3")
-    lines = dictionary_part.select("y", "key_", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    common = lines.select("key_", F.xxhash64("line").alias("h")).distinct().groupBy("h").count().where("count > 1").select("h")
-    own = lines.withColumn("h", F.xxhash64("line")).join(common, "h", "left_anti")
-    # a segment is a run of lines' bytes, by document
-    size = F.sum(F.octet_length("line") + 1).over(_by_line())
-    cut_up = own.withColumn("segment", F.floor((size - 1) / segment_bytes)).groupBy("y", "key_", "segment")
-    texts = cut_up.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    texts = texts.select("y", F.xxhash64("key_", "segment").alias("o"), F.substring(F.encode("body", "UTF-8"), 1, 4 * segment_bytes).alias("body"))
+    lines = dictionary_part.select("y", "key_", F.posexplode(F.split("text", "\n")).alias("at", "line")).where("line <> ''").withColumn("h", F.xxhash64("line"))
+    common = cut(lines.groupBy("h").agg(F.min("key_").alias("a"), F.max("key_").alias("b")).where("a <> b").select("h"))
+    own = lines.join(sent_if_small(common), "h", "left_anti")
+    parts_of = F.transform(F.sequence(F.lit(0), F.floor((F.length("line") - 1) / segment_size).cast("int")), lambda i: F.substring("line", i * segment_size + 1, F.lit(segment_size)))
+    own = own.select("y", "key_", "at", F.posexplode(parts_of).alias("part", "line"))
+    # a segment is a run of lines or parts of one, by document
+    size = F.sum(F.length("line") + 1).over(_by_line())
+    cut_up = own.withColumn("segment", F.floor((size - 1) / segment_size)).groupBy("y", "key_", "segment")
+    texts = cut_up.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    texts = texts.select("y", F.xxhash64("key_", "segment").alias("o"), F.encode("body", "UTF-8").alias("body"))
     picked = [[bytes(r.body) for r in texts.where(F.col("y") == y).orderBy("o", "body").limit(segments).collect()] for y in (0, 1)]
     bad, good = (_dictionary([x for x in p if x], dictionary_bytes) for p in picked)
 
@@ -91,7 +94,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, parts: int = 4, rest: int =
 def _by_line():
     from pyspark.sql import Window
 
-    return Window.partitionBy("y", "key_").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return Window.partitionBy("y", "key_").orderBy("at", "part").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, parts: int = 4, rest: int = 2, threshold: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
