@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_rows
-from .encoding import COMMON, chunked_ids, encode_all, load_fast, load_tokenizer, tokenizer_path
+from .encoding import encode_all, shared_encoder, tokenizer_path
+from .tokens import CHUNK, OVERLAP
 
 CAPACITY = 1024
 #: Remainders are cut to these reciprocals of the capacity; what is left is shorter than the last.
@@ -18,6 +19,8 @@ EXACT = (512, 256, 128, 64)
 MOST = 64
 #: Parts by which ranks within a class are counted.
 PARTS = 1024
+#: Parts over which equal rows are dealt.
+SPREAD = 64
 
 
 def pieces(n: int, capacity: int = CAPACITY, exact: tuple[int, ...] = EXACT) -> list[tuple[int, int]]:
@@ -34,26 +37,17 @@ def pieces(n: int, capacity: int = CAPACITY, exact: tuple[int, ...] = EXACT) ->
     return out
 
 
-def document_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", end_id: int = 0, chunk: int = 1 << 20, overlap: int = 1024) -> DataFrame:
-    """(key, start, length, ids_crc32, doc_tokens): each document's ids and an end id, cut into pieces.
-
-    Texts of common characters are encoded by the ranks file, others by the tokenizer's own library; ids are equal (see encoding).
-    """
-    path, fast = tokenizer_path(tokenizer), tokenizer_path(ranks)
+def document_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken", end_id: int = 0, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(key, start, length, ids_crc32, doc_tokens): each document's ids and an end id, cut into pieces. Huge texts are encoded as in token_counts()."""
+    path, fast = tokenizer_path(tokenizer), tokenizer_path(ranks) if ranks else None
     rows = docs.select(F.col(key).alias("key_"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def make():
-        own, quick = load_tokenizer(path), load_fast(path, fast)
+        encoder = shared_encoder(path, fast)
 
         def run(part):
             out: dict[str, list] = {"key_": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": []}
-            for k, t in zip(part.column("key_").to_pylist(), part.column("text").to_pylist()):
-                if COMMON.fullmatch(t):
-                    ids = quick.encode(t, allowed_special="all", disallowed_special=())
-                elif len(t) > chunk + overlap:
-                    ids = chunked_ids(own, t, chunk, overlap)
-                else:
-                    ids = encode_all(own, [t], chunk, overlap)[0]
+            for k, ids in zip(part.column("key_").to_pylist(), encode_all(encoder, part.column("text").to_pylist(), chunk, overlap)):
                 a = np.array([*ids, end_id], dtype="<u4")
                 for start, length in pieces(len(a)):
                     out["key_"].append(k)
@@ -76,9 +70,11 @@ def pack(found: DataFrame) -> DataFrame:
     that no task sees a class), and rank r goes to the class's sequence r // k; a worker so fills sequences without knowing of others.
     The fewer than k pieces over in each class, a number bounded by MOST alone, are packed first-fit by falling length in one task.
     """
-    found = cut(found)
     k = F.least(F.floor(F.lit(CAPACITY) / F.col("length")), F.lit(MOST)).cast("long")
-    rows = found.withColumn("k", k).withColumn("part", F.pmod(F.xxhash64("key_", "start"), F.lit(PARTS)).cast("int"))
+    # rows that repeat an id and a text are spread too
+    part = F.pmod(F.xxhash64("key_", "start", "ids_crc32"), F.lit(PARTS)) + F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
+    part = F.pmod(part, F.lit(PARTS)).cast("int")
+    rows = cut(found.withColumn("k", k).withColumn("part", part))
     counts = rows.groupBy("k", "part").agg(F.count("*").alias("n"))
     # bounded: classes x PARTS rows
     before = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
