@@ -18,6 +18,9 @@ RUN_WORDS = 12
 #: A sentence of more words without an end mark is cut after words of least hash, one at least in each stretch of CUT_WITHIN words.
 LONG_WORDS, CUT_WITHIN = 40, 12
 
+#: Columns that dedup_lines() adds.
+COUNTS = ["n_removed", "n_words_removed", "n_words_left", "n_words_once"]
+
 _END = re.compile(r"[.!?]\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
 _ODD_SPACE = re.compile(r"[^\S \n]")
@@ -177,7 +180,7 @@ def fingerprints(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", tex
 
 def repeated_runs(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, body, runs): stretches (first character << 32 | end) of text that equal earlier ones, by document. Earlier: of a lower id, or
-    before in the text.
+    before in the text; the latter are bitwise inverted, so negative.
 
     Fingerprints are summed up by hash first, without their windows: a window can be repeated only where its fingerprint is, so most go no
     further. The places of those that repeat are extended to both sides as far as the window reaches: all that agree there meet under the
@@ -188,24 +191,25 @@ def repeated_runs(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", te
     shared = found.where("f is not null").groupBy("f").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("f")
     held = cut(found.join(shared, "f").select("doc", "body", F.inline("windows")))
     least = held.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "low")
-    later = held.join(least, "h").where("doc > low").select("doc", "body", "a", "b")
-    spans = later.unionByName(found.where("f is null").select("doc", "body", F.inline("windows")).drop("h"))
     packed = F.col("a").cast("long") * (1 << 32) + F.col("b")
-    return spans.groupBy("doc", "body").agg(F.collect_list(packed).alias("runs"))  # of a document's own lines at most
+    later = held.join(least, "h").where("doc > low").select("doc", "body", packed.alias("run"))
+    own = found.where("f is null").select("doc", "body", F.inline("windows")).select("doc", "body", F.bitwise_not(packed).alias("run"))
+    return later.unionByName(own).groupBy("doc", "body").agg(F.collect_list("run").alias("runs"))  # of a document's own lines at most
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with later copies of repeated runs deleted from the text, n_removed: how many runs, n_words_removed: their words (and n_chars,
-    if there, of the new text).
+    """docs with later copies of repeated runs deleted from the text, n_removed: how many runs, n_words_removed: their words, and where runs
+    went n_words_left: words of the new text, n_words_once: words without the runs that stand before in the same text, else null (and
+    n_chars, if there, of the new text).
 
     Lines are those of split_lines(): they end with line breaks, sentences, and within long sentences at words that their hashes pick. A run
     is deleted if its whole lines have at least `run` words and stand before, in the same text or in ones of a lower id; matches
     that touch are one run. The first copy of each line always stays, as what is deleted equals something earlier. White space around and within lines
     does not matter, case does.
     Null texts stay null, empty ones empty. Rows with a null id are left as they are. Rows of one id are one place: none is deleted for
-    another of them. No rows: no rows. Columns n_removed and n_words_removed are replaced.
+    another of them. No rows: no rows. Columns of these four names are replaced.
     """
-    old = docs.drop("n_removed", "n_words_removed")
+    old = docs.drop(*COUNTS)
     runs = repeated_runs(old, run, key, text)
     # the row in a struct, so that no name clashes; both sides are dealt out by id, at every size
     rows = old.select(F.struct(*old.columns).alias("row"))
@@ -217,37 +221,48 @@ def dedup_lines(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text
     out[text] = F.when(F.col("runs").isNull(), out[text]).otherwise(F.col("new.text"))
     if "n_chars" in out and text != "n_chars":
         out["n_chars"] = F.when(F.col("new.n_removed") > 0, F.length("new.text")).otherwise(out["n_chars"]).cast(old.schema["n_chars"].dataType)
-    counts = [F.coalesce(f"new.{c}", F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_words_removed")]
+    counts = [(F.coalesce(f"new.{c}", F.lit(0)) if c in COUNTS[:2] else F.col(f"new.{c}")).cast("long").alias(c) for c in COUNTS]
     return marked.select(*[c.alias(n) for n, c in out.items()], *counts)
 
 
-def without_repeats(docs: DataFrame, run: int = RUN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with later copies of runs deleted; documents of which nothing is left go. Columns as they are, but for text and n_chars."""
-    out = dedup_lines(docs, run, key, text)
-    return out.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace(text, r"\s+", " ")) != "")).select(docs.columns)
+def without_repeats(docs: DataFrame, run: int = RUN_WORDS, least_left: float = 0.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with later copies of runs deleted; documents of which others hold so much that they keep no more than the share least_left of
+    the words that stand in them once go: by default those of which nothing is left. Columns as they are, but for text and n_chars; odd
+    rows as in dedup_lines()."""
+    extra = {c: f"{c}_as_given_" for c in COUNTS if c in docs.columns}
+    out = dedup_lines(docs.withColumnsRenamed(extra), run, key, text)
+    kept = out.where((F.col("n_removed") == 0) | (F.col("n_words_left") > least_left * F.col("n_words_once")))
+    return kept.drop(*COUNTS).withColumnsRenamed({b: a for a, b in extra.items()}).select(docs.columns)
 
 
 def _rewrite():
-    @F.pandas_udf("text string, n_removed long, n_words_removed long")
+    @F.pandas_udf("text string, n_removed long, n_words_removed long, n_words_left long, n_words_once long")
     def rewrite(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        out = [(t, 0, 0) if t is None or r is None else _without(t, r) for t, r in zip(texts, runs)]
-        return pd.DataFrame(out, columns=["text", "n_removed", "n_words_removed"])
+        out = [(t, 0, 0, None, None) if t is None or r is None else _without(t, r) for t, r in zip(texts, runs)]
+        return pd.DataFrame(out, columns=["text", *COUNTS]).astype({c: "Int64" for c in COUNTS})
 
     # evaluated once, wherever the optimizer moves what reads it
     return rewrite.asNondeterministic()
 
 
-def _without(text: str, runs) -> tuple[str, int, int]:
-    kept, at, n, words = [], 0, 0, 0
-    stop = -1
-    for run in np.unique(np.asarray(runs, dtype=np.int64)).tolist():
+def _without(text: str, runs) -> tuple[str, int, int, int, int]:
+    runs = np.array(runs, dtype=np.int64)
+    own = runs < 0
+    runs[own] = ~runs[own]
+    kept, n = _cut_out(text, runs)
+    words, left = len(text.split()), len(kept.split())
+    once = len(_cut_out(text, runs[own])[0].split()) if own.any() else words
+    return kept, n, words - left, left, once
+
+
+def _cut_out(text: str, runs: np.ndarray) -> tuple[str, int]:
+    """The text without the runs, and how many they are; those that touch or overlap are one."""
+    kept, at, n, stop = [], 0, 0, -1
+    for run in np.unique(runs).tolist():
         a, b = run >> 32, run & 0xFFFFFFFF
-        if a > stop:  # runs that touch or overlap are one
+        if a > stop:
             kept.append(text[at:a])
             n += 1
-        if b > at:
-            words += len(text[max(a, at) : b].split())
-            at = b
-        stop = max(stop, b)
+        at = stop = max(stop, b)
     kept.append(text[at:])
-    return "".join(kept), n, words
+    return "".join(kept), n

@@ -12,7 +12,7 @@ from markovmill.llm.decontamination import find_contamination, without_contamina
 from markovmill.llm.embedding_dedup import near_duplicates
 from markovmill.llm.line_dedup import dedup_lines, split_lines, without_repeats
 from markovmill.llm.ngram_join import least_matches, ngram_join, one_of_each, shared_shingles
-from markovmill.llm.revisits import canonical_url, resolve_revisits
+from markovmill.llm.revisits import canonical_url, page_records, resolve_revisits
 from markovmill.llm.shingles import WordHashes, shingles, word_hashes
 
 DIR = "/root/testdata/sf0.001"
@@ -83,6 +83,34 @@ def test_vectors(spark):
     assert near_duplicates(spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id bigint, embedding array<double>")).where("n_links > 0").count() == 0
 
 
+def test_vectors_of_several_lengths_and_sizes(spark):
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(30, 3)).tolist() + [[1.0, 0.01], [1.0, 0.0], [5.0], [7.0], [-7.0]]
+    vectors += [[1e200, 1e200, 0.0], [1e201, 1e201, 0.0], [1e-200, 0.0, 1e-200], [3e-300, 0.0, 3e-300], [5e-324, 0.0, 5e-324]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<double>").repartition(3)
+    got = near_duplicates(df).orderBy("vec_id").collect()
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        scaled = [(np.array(v) / np.abs(v).max()).tolist() for v in vectors]
+    count, own = vector_truth(scaled)
+    assert [r.n_links for r in got] == count and [r.component_id for r in got] == own
+    assert count[30] == count[32] == 1 and count[34] == 0 and min(count[35:]) >= 1
+
+
+def test_vectors_without_a_common_shard(spark, monkeypatch):
+    """A chain of near vectors over many shards: links between vectors of different shards come from the joined lists."""
+    import markovmill.llm.embedding_dedup as E
+
+    monkeypatch.setattr(E, "SHARD_ROWS", 15)
+    monkeypatch.setattr(E, "OVERLAP", (2,))
+    monkeypatch.setattr(E, "LEAST_RECALL", 0.0)
+    angle = np.linspace(0, np.pi, 240)
+    vectors = np.stack([np.cos(angle), np.sin(angle)], 1).tolist()
+    got = near_duplicates(spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<double>")).orderBy("vec_id").collect()
+    count, own = vector_truth(vectors)
+    shared = sum(min(r.n_links, c) for r, c in zip(got, count)) / sum(count)
+    assert all(r.n_links <= c for r, c in zip(got, count)) and shared > 0.6 and [r.component_id for r in got] == own
+
+
 def test_vectors_of_a_hot_cluster(spark, monkeypatch):
     import markovmill.llm.embedding_dedup as E
 
@@ -105,8 +133,8 @@ def test_vectors_of_small_groups_beside_a_hot_one(spark, monkeypatch):
     vectors = hot + pairs
     search = E._search
 
-    def lossy(dealt, graph, near):  # of the small groups nothing is found, whatever the overlap
-        return search(dealt, graph, near).where(f"id < {len(hot)}")
+    def lossy(dealt, graph, once, near):  # of the small groups nothing is found, whatever the overlap
+        return search(dealt, graph, once, near).where(f"id < {len(hot)}")
 
     monkeypatch.setattr(E, "_search", lossy)
     monkeypatch.setattr(E, "BLOCK", 100)
@@ -157,27 +185,33 @@ def test_line_dedup(spark):
     assert dedup_lines(twice).where("n_removed > 0").count() == 0
 
 
-def test_line_dedup_query(spark):
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
-    got = {r.doc_id: r for r in Q.op4_line_dedup(spark, DIR).collect()}
-    assert set(got) == set(docs)
-    seen, removed = set(), 0
+def dedup_truth(docs, run=12):
+    """Texts by id without the lines of each shortest stretch of `run` words, from a line on or up to one, that stands earlier."""
+    seen, out = {}, {}
     for k in sorted(docs):
-        old, new, at = [docs[k][a:b] for a, b in split_lines(docs[k])], got[k].text, 0
-        here = set()
-        for line in old:
-            bare = line.strip()
-            if new.startswith(line, at):
-                at += len(line)
-                # a line of a run's length never stays when it comes again
-                assert not (bare.count(" ") >= 11 and bare in seen | here)
-            else:
-                removed += 1
-                assert bare in seen or sum(x.strip() == bare for x in old) > 1  # what goes has been there before
-            here.add(bare)
-        assert at == len(new)
-        seen |= here
-    assert removed == sum(r.n_removed for r in got.values()) > 0
+        own = [docs[k][a:b] for a, b in split_lines(docs[k])]
+        words = [x.split() for x in own]
+        gone = set()
+        for i in range(len(own)):
+            for way in (1, -1):
+                j, n = i, 0
+                while 0 <= j < len(own) and n + len(words[j]) < run:
+                    n, j = n + len(words[j]), j + way
+                if 0 <= j < len(own):
+                    span = range(min(i, j), max(i, j) + 1)
+                    if seen.setdefault(tuple(tuple(words[x]) for x in span), (k, span[0])) < (k, span[0]):
+                        gone.update(span)
+        out[k] = "".join(x for i, x in enumerate(own) if i not in gone)
+    return out
+
+
+def test_line_dedup_query(spark):
+    for d in (DIR, "/root/testdata/sf0.01"):
+        docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+        got = {r.doc_id: r for r in Q.op4_line_dedup(spark, d).collect()}
+        truth = dedup_truth(docs)
+        assert {k: r.text for k, r in got.items()} == truth
+        assert all(len(docs[k].split()) - r.n_words_removed == len(r.text.split()) and (r.n_removed > 0) == (r.text != docs[k]) for k, r in got.items())
 
 
 def removed_truth(texts, run=12):
@@ -209,15 +243,7 @@ def test_line_dedup_of_runs_around_frequent_lines(spark):
     truth = removed_truth(texts)
     assert sum(map(len, truth)) > 100
     for d, t in enumerate(texts):
-        at = 0
-        old = [t[a:b] for a, b in split_lines(t)]
-        # at least what brute force finds goes: the text that stays is within the other lines
-        rest = [x for i, x in enumerate(old) if i not in truth[d]]
-        for x in (got[d].text[a:b] for a, b in split_lines(got[d].text)):
-            while at < len(rest) and rest[at].strip() != x.strip():
-                at += 1
-            assert at < len(rest), (d, x)
-            at += 1
+        assert got[d].text == "".join(t[a:b] for i, (a, b) in enumerate(split_lines(t)) if i not in truth[d])
     for i in range(len(pool)):
         assert got[60 + 2 * i + 1].text.strip() == f"two {i} of its own"
 
@@ -286,13 +312,14 @@ def test_shared_shingles():
     assert shared_shingles(s, i[:5], j[:5]).tolist() == want[:5]
 
 
-def test_ngram_join(spark):
+def test_ngram_join(spark, monkeypatch):
     texts = near_copies(1, 120, 40, 4) + near_copies(2, 300, 12, 10) + near_copies(3, 60, 6, 2) + [" ".join(prose(10 + i, 80)) for i in range(20)]
     texts += [None, "", "...", "one two", "One, two!", "one two three", " ".join(prose(99, 30_000)), texts[0], texts[0].upper()]
     rows = [(i, t, 1, "c", i) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, class_id int, rep string, n_links int").repartition(3)
     count, own = join_truth(texts)
-    for most in (512, 16):
+    for most, shingles_ in ((512, 1 << 22), (16, 1 << 22), (512, 1_500)):
+        monkeypatch.setattr("markovmill.llm.ngram_join.BLOCK_SHINGLES", shingles_)
         got = ngram_join(df, most=most).orderBy("doc_id").collect()
         assert [r.n_links for r in got] == count and [r.class_id for r in got] == own
         assert all(r.kept == (r.doc_id == r.class_id) for r in got)
@@ -309,6 +336,14 @@ def test_ngram_join_of_repeated_rows_and_null_ids(spark):
     assert one_of_each(df).where("doc_id is null").count() == 2
 
 
+def test_ngram_join_of_an_id_with_many_texts(spark):
+    """Rows of one id don't link with each other, and each of them links with others."""
+    texts = near_copies(4, 100, 60, 3)
+    df = spark.createDataFrame([(1, t) for t in texts] + [(1, texts[0])] * 50 + [(2, texts[0]), (3, " ".join(prose(77, 100)))], "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in ngram_join(df, most=16).collect()}
+    assert got[1].class_id == got[2].class_id == 1 and got[2].n_links >= 1 and got[3].n_links == 0 and got[3].kept
+
+
 def test_ngram_join_query(spark):
     rows = spark.read.parquet(f"{DIR}/documents.parquet").orderBy("doc_id").collect()
     count, own = join_truth([r.text for r in rows])
@@ -338,6 +373,18 @@ def test_decontamination(spark):
         find_contamination(docs, tests, least=0)
 
 
+def test_decontamination_in_rounds(spark, monkeypatch):
+    """Many items, long ones, and repeated rows of items: the same rows, whatever goes to a scan."""
+    items = [" ".join(prose(i, 20 + i)) for i in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(prose(100 + i, 200)) + " " + items[i % 12]) for i in range(40)], "doc_id bigint, text string")
+    tests = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(3, items[3])] * 2 + [(3, items[4])], "item_id bigint, text string")
+    want = Counter((i, i % 12) for i in range(40)) + Counter((i, 3) for i in range(40) for _ in range({3: 2, 4: 1}.get(i % 12, 0)))
+    for bounds in ((50_000, 1 << 25), (3, 1 << 25), (50_000, 400)):
+        monkeypatch.setattr("markovmill.llm.decontamination.ITEMS_AT_ONCE", bounds[0])
+        monkeypatch.setattr("markovmill.llm.decontamination.CHARACTERS_AT_ONCE", bounds[1])
+        assert Counter((r.doc_id, r.item_id) for r in find_contamination(docs, tests).collect()) == want
+
+
 def test_decontamination_of_items_of_a_few_words(spark):
     items = [" ".join(f"w{i}x{k}" for k in range(5 + i % 4)) for i in range(8)]
     docs = [(i, " ".join(prose(i, 300)) + " " + items[i % 8] + " " + " ".join(prose(5000 + i, 300))) for i in range(800)]
@@ -399,6 +446,27 @@ def test_revisits_like_brute_force(spark):
     assert resolve_revisits(df.unionByName(df)).count() == 2 * len(got)
 
 
+def test_page_records_like_brute_force(spark):
+    urls = ["http://a.org/x", "https://www.a.org/x/index.html", "http://b.org/", None, "no url", "http://c.org/1?utm_source=f"]
+    rng = random.Random(8)
+    pages = [(i, rng.choice(urls), rng.choice(["one", "two", "three", f"page {i}", None])) for i in range(300)] + [(None, "http://a.org/x", "x"), (2**62 + 5, "http://a.org/x", "y"), (2**63 - 1, "http://a.org/x", "z"), (-5, "http://b.org/", "w")]
+    records = page_records(spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3))
+    # the brute force's order of ids: null first, as in columns
+    key = lambda r: (-(2**63) if r.page is None else r.page, r.visit)
+    from pyspark.sql import functions as F
+
+    rows = [(key(r.record_id), r.u, r.kind, r.at, r.etag and r.etag.removeprefix("W/"), r.last_modified, r.digest) for r in records.withColumn("u", canonical_url(F.col("url"))).collect()]
+    want = revisit_truth(rows)
+    got = {key(r.record_id): (r.outcome, r.resolved_id and key(r.resolved_id)) for r in resolve_revisits(records).collect()}
+    assert got == want and Counter(o for o, _ in got.values()).keys() == {"resolved", "changed", "no_response", "no_validator", "no_url"}
+
+
+def test_revisit_query_has_each_outcome(spark):
+    found = Q.op10_warc_revisits(spark, "/root/testdata/sf0.01")
+    assert found.count() == 500
+    assert {"resolved", "no_response"} <= {r.outcome for r in found.select("outcome").distinct().collect()}
+
+
 def test_headers(spark):
     rows = [(1, "http://a.org", "response", 1, 'W/"1"', None, None, {"ETag": "1", "Content-Length": "9", "X": "old"}, None, 1), (2, "https://www.a.org/", "revisit", 2, '"1"', None, None, {"content-length": "0", "x": "new", "Date": "d"}, None, 1), (3, "http://a.org", "revisit", 3, '"2"', None, None, None, None, 1)]
     got = {r.record_id: r for r in resolve_revisits(spark.createDataFrame(rows, RECORD)).collect()}

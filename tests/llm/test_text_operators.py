@@ -1,7 +1,10 @@
 """Token counts, packing, sharding, toxicity and quality: edge cases, brute force, held-out accuracy."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,16 +12,17 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from markovmill.llm import queries as Q
-from markovmill.llm.encoding import COMMON, chunked_ids, load_fast, load_tokenizer, tokenizer_path
+from markovmill.llm.encoding import COMMON, SPACE, Encoder, chunked_ids, cuts_before_space, encode_all, load_tokenizer, proven_ranks, tokenizer_path
+from markovmill.llm.labelled import labelled_sample
 from markovmill.llm.packing import CAPACITY, pack_documents, pieces
-from markovmill.llm.quality import fit_quality, score_quality
+from markovmill.llm.quality import _dictionary, fit_quality, score_quality
 from markovmill.llm.sharding import assign_shards
 from markovmill.llm.tokens import token_counts
 from markovmill.llm.toxicity import fit_toxicity, maximal_segments, score_toxicity, without_toxic
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, size int, slot int, key_ string, score double"
-ODD = [None, "", " ", "x", "word " * 30_000, "<|endoftext|> a<|endoftext|>", "é ü 中文 \U0001f600 1234"]
+ODD = [None, "", " ", "x", "word " * 30_000, "<|endoftext|> a<|endoftext|>", "é ü 中文 \U0001f600 1234", "中\u3000文。\u2003b\xa0\u3000 " * 4_000]
 
 
 @pytest.fixture(scope="module")
@@ -38,34 +42,65 @@ def ids(tokenizer, text):
 
 
 PARTS = ["a", "Bc", "é", "ß", " ", "  ", "\n", "\t", "1", "23", "'s", "'re", ",", "!!", "<|endoftext|>", "…", "x<|endof", "€", "the ", "Ω", "\r\n", "中", "\U0001f600"]
+PARTS += ["\u3000", "\u2003", "\xa0", "\x85", "\x1c", "\u180e", "\u200b", "\u2028", "\x00", "\u0301", "a\u3000b"]
 
 
-@settings(max_examples=300, deadline=None)
+@pytest.fixture(scope="module", params=[None, "byte_bpe_50k.tiktoken"])
+def encoder(request):
+    return Encoder(tokenizer_path("byte_bpe_50k.json"), request.param and tokenizer_path(request.param))
+
+
+@settings(max_examples=500, deadline=None)
 @given(st.lists(st.sampled_from(PARTS), max_size=60), st.integers(1, 12), st.integers(1, 5))
-def test_chunks_give_the_whole_texts_ids(tokenizer, parts, chunk, overlap):
+def test_chunks_give_the_whole_texts_ids(tokenizer, encoder, parts, chunk, overlap):
+    text = "".join(parts)
+    assert chunked_ids(encoder, text, chunk, overlap) == ids(tokenizer, text)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(max_size=40) | st.sampled_from(PARTS), max_size=20))
+def test_units_give_the_whole_texts_ids(tokenizer, encoder, parts):
     text = "".join(parts)
-    assert chunked_ids(tokenizer, text, chunk, overlap) == ids(tokenizer, text)
+    assert encoder.encode([text, text[:5]]) == [ids(tokenizer, text), ids(tokenizer, text[:5])]
+
+
+def test_white_space_is_the_tokenizers(tokenizer):
+    """A character is in SPACE if and only if the tokenizer's pattern always ends a piece before it."""
+    cut = tokenizer.pre_tokenizer.pre_tokenize_str
+    for c in (c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"):
+        assert (re.fullmatch(f"[{SPACE}]", c) is not None) == all(cut(x + c)[0][1] == (0, 1) for x in "a1!"), hex(ord(c))
+
+
+def test_long_texts_of_wide_spaces(tokenizer, encoder):
+    rng = random.Random(3)
+    for text in ("\u3000".join(rng.choices(["中文", "ab", "é,", "1"], k=9_000)), "\u2003\u3000".join(["x"] * 12_000), "中" * 30_000, " " * 30_000, "a" * 9 + "\u3000" * 40_000 + "b"):
+        for chunk, overlap in ((16_384, 512), (100, 10)):
+            assert encode_all(encoder, [text], chunk, overlap) == [ids(tokenizer, text)]
+
 
+def test_ranks_are_used_if_proven(tokenizer):
+    import public_tokenizers as P
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(PARTS), max_size=60))
-def test_ranks_give_the_same_ids(tokenizer, parts):
-    text = "".join(p for p in parts if COMMON.fullmatch(p))
-    fast = load_fast(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
-    assert fast.encode(text, allowed_special="all", disallowed_special=()) == ids(tokenizer, text)
+    path = P.path("byte_bpe_50k.json")
+    quick = proven_ranks(path, P.path("byte_bpe_50k.tiktoken"))
+    assert proven_ranks(path, P.path("byte_bpe_multi_50k.tiktoken")) is None and proven_ranks(P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.tiktoken")) is None
+    for c in (c for c in map(chr, range(0x2200)) if COMMON.fullmatch(c)):
+        text = "".join(f"{x}{c}{y}" for x in ("a", "1", "!", " ", "\n", c, "é") for y in ("a", "1", "!", " ", "\n", c, "é"))
+        assert quick.encode(text, disallowed_special=()) == ids(tokenizer, text)
 
 
-def test_ranks_on_each_common_character(tokenizer):
-    fast = load_fast(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
-    for c in map(chr, range(0x2200)):
-        if COMMON.fullmatch(c):
-            text = f"a{c}b {c} 1{c}{c}\n{c}"
-            assert fast.encode(text, disallowed_special=()) == ids(tokenizer, text)
+def test_files_that_prove_no_boundary_are_encoded_whole():
+    import public_tokenizers as P
+
+    assert cuts_before_space(P.path("byte_bpe_50k.json")) and not cuts_before_space(P.path("word_bpe_49k.json"))
+    text = "Some  words\n" * 3_000
+    other = Encoder(P.path("word_bpe_49k.json"))
+    assert encode_all(other, [text], 100, 10) == [other.tokenizer.encode(text, add_special_tokens=False).ids]
 
 
 def test_token_counts(spark, odd, tokenizer):
-    for ranks in (None, tokenizer_path("byte_bpe_50k.tiktoken")):
-        got = token_counts(odd, tokenizer_path("byte_bpe_50k.json"), chunk=500, overlap=20, ranks=ranks)
+    for chunk, overlap, ranks in ((500, 20, None), (16_384, 512, tokenizer_path("byte_bpe_50k.tiktoken"))):
+        got = token_counts(odd, tokenizer_path("byte_bpe_50k.json"), chunk=chunk, overlap=overlap, ranks=ranks)
         want = sorted((str(r.doc_id), len((r.text or "").encode()), len(ids(tokenizer, r.text)), len(ids(tokenizer, r.text)) > 1024) for r in odd.collect())
         assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in got.collect()) == want
     assert token_counts(odd.limit(0), tokenizer_path("byte_bpe_50k.json")).count() == 0
@@ -205,6 +240,109 @@ def test_toxicity_is_calibrated_alike_where_the_sample_cuts_a_class(spark):
     assert score_toxicity(docs, model).where("predicted = 1").count() == 0
 
 
+def brute_score(text, model):
+    """A text's score by the formulas alone: greatest segments by all pairs of places, Karlin-Altschul sums, logistic calibration."""
+    def token(t):
+        found = [next((model.scores[f] for f in (w, *(w[:k] + "*" for k in (6, 5, 4) if len(w) >= k)) if f in model.scores), -model.drift) for w in re.findall(r"\w+", t.lower())]
+        return max([-model.drift, *found])
+
+    def greatest(total, low, high):
+        best = max(((total[j] - total[i], i - j, -i) for i in range(low, high) for j in range(i + 1, high + 1)), default=(0.0, 0, 0))
+        if best[0] <= 1e-12:
+            return []
+        i = -best[2]
+        j = i - best[1]
+        return greatest(total, low, i) + [best[0]] + greatest(total, j, high)
+
+    s = [token(t) for t in text.split()]
+    found = greatest([sum(s[:i]) for i in range(len(s) + 1)], 0, len(s)) if any(x > 0 for x in s) else []
+    each = sorted((model.decay * x - math.log(model.scale * len(s)) for x in found), reverse=True)
+    nats = max([0.0, *(sum(each[:r]) - math.lgamma(r + 1) for r in range(1, len(each) + 1))])
+    return 1 / (1 + math.exp(-(model.a + model.b * math.log1p(nats)))), len(found)
+
+
+def at_optimum(x, y, weight, a, b, ridge=1e-3):
+    """Whether (a, b) is where the logistic loss and a ridge on the scaled slope have no slope."""
+    x, y, weight = map(np.asarray, (x, y, weight))
+    p = 1 / (1 + np.exp(-(a + b * x)))
+    z = (x - x.mean()) / (x.std() or 1.0)
+    return abs((weight * (p - y)).sum()) < 1e-4 and abs((weight * (p - y) * z).sum() + ridge * len(y) * b * x.std()) < 1e-4
+
+
+def test_toxicity_by_the_formulas(spark):
+    docs, labels = labelled(spark, 400)
+    model = fit_toxicity(docs, labels)
+    sample = labelled_sample(docs, labels, "toxic", 5, 0, 16_000).collect()
+    held = Counter()
+    for r in sample:
+        if r.fold != 3:
+            words = set(re.findall(r"\w+", r.text.lower()))
+            held.update((f, r.y) for f in words | {w[:k] + "*" for w in words for k in (6, 5, 4) if len(w) >= k})
+    n = [sum(v for (_, y), v in held.items() if y == k) for k in (0, 1)]
+    want, share = {}, {}
+    for f in {f for f, _ in held}:
+        c, t = held[f, 0], held[f, 1]
+        alpha, expected = 500 * (t + c) / sum(n), (t + c) * n[1] / sum(n)
+        odds = math.log((t + alpha) / (n[1] + 500 - t - alpha)) - math.log((c + alpha) / (n[0] + 500 - c - alpha))
+        gain = 2 * ((t * math.log(t / expected) if t else 0) + (c * math.log(c / (t + c - expected)) if c else 0))
+        if t >= 3 and gain >= 14 and odds > 0.5:
+            want[f], share[f] = odds - 0.5, (c + alpha) / (n[0] + 500)
+    assert want and model.scores == pytest.approx(want)
+    words = [f for f in want if not f.endswith("*")]
+    assert sum(share[f] * math.exp(model.decay * want[f]) for f in words) + (1 - sum(share[f] for f in words)) * math.exp(-0.5 * model.decay) == pytest.approx(1)
+    rest = [r for r in sample if r.fold == 3]
+    clean = [r for r in rest if not r.y]
+    found = sum(brute_score(r.text, model)[1] for r in clean)
+    assert model.scale == pytest.approx((found + 0.5) / (math.exp(-model.decay * min(want.values())) * sum(len(r.text.split()) for r in clean)))
+    scores = {r.doc_id: r.score for r in score_toxicity(docs, model).collect()}
+    assert scores == pytest.approx({r.doc_id: brute_score(r.text, model)[0] for r in docs.collect()})
+    x = [(math.log(s / (1 - s)) - model.a) / model.b for s in (scores[r.key_] for r in rest)]
+    assert at_optimum(x, [r.y for r in rest], np.ones(len(rest)), model.a, model.b)
+
+
+def test_quality_by_the_formulas(spark):
+    import zstandard
+    from pyspark.sql import functions as F
+
+    docs, labels = labelled(spark, 400)
+    # a line in all, empty lines, and one document of a single line of many segments
+    docs = docs.select("doc_id", F.concat(F.lit("All have this line.\n\n"), F.regexp_replace("text", "a ", "a\n"), F.when(F.col("doc_id") == 7, F.repeat(F.concat("text", F.lit(" 7 ")), 60)).otherwise("")).alias("text"))
+    model = fit_quality(docs, labels)
+    sample = labelled_sample(docs, labels, "quality", 4, 2, 12_000).collect()
+    train = [r for r in sample if r.fold != 3]
+    holders = {}
+    for r in train:
+        for line in r.text.split("\n"):
+            holders.setdefault(line, set()).add(r.key_)
+    segments = {}
+    for r in train:
+        size = 0
+        for line in r.text.split("\n"):
+            if line and len(holders[line]) == 1:
+                for at in range(0, len(line), 2048):
+                    size += len(line[at : at + 2048]) + 1
+                    segments.setdefault((r.y, r.key_, (size - 1) // 2048), []).append(line[at : at + 2048])
+    assert max(len("".join(v)) for v in segments.values()) <= 4096 and len([k for k in segments if k[1] == 7]) != 1
+    order = spark.createDataFrame([(k[1], k[2]) for k in segments], "key_ bigint, segment bigint").select("*", F.xxhash64("key_", "segment").alias("o")).collect()
+    order = {(r.key_, r.segment): r.o for r in order}
+    for y, dictionary in enumerate((model.bad, model.good)):
+        own = sorted((order[k[1:]], "\n".join(v).encode()) for k, v in segments.items() if k[0] == y)
+        assert dictionary == _dictionary([b for _, b in own], 112_640)
+    by = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d)) for d in (model.good, model.bad)]
+
+    def difference(text):
+        raw = text.encode()
+        return (len(by[1].compress(raw)) - len(by[0].compress(raw))) / (len(raw) + 200)
+
+    for r, text in zip(*(sorted(x, key=lambda r: r.doc_id) for x in (score_quality(docs, model).collect(), docs.collect()))):
+        assert r.difference == difference(text.text) and r.score == pytest.approx(1 / (1 + math.exp(-model.a - model.b * r.difference))) and r.predicted == (r.score >= 0.7)
+    rest = [r for r in sample if r.fold == 3]
+    prior = np.mean([r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2])
+    of = Counter(r.y for r in rest)
+    weight = [(prior if r.y else 1 - prior) * len(rest) / of[r.y] for r in rest]
+    assert at_optimum([difference(r.text) for r in rest], [r.y for r in rest], weight, model.a, model.b)
+
+
 def test_without_toxic(spark, odd):
     docs, labels = labelled(spark)
     model = fit_toxicity(docs, labels)
