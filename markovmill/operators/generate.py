@@ -52,6 +52,18 @@ def generate(prompts: DataFrame, chains: Chains, limits: Limits, steps: int, see
         ranks = cut(_word_ranks(chains.ranks, chains.total))
         sims = F.transform(F.array_sort(F.collect_list(F.struct("expert", "sim"))), lambda x: F.round(x["sim"] * MILLION).cast("bigint"))
         state = state.join(similarities(prompts, chains.ranks, chains.total).groupBy("query_id").agg(sims.alias("sims")), "query_id")
+    # a step's columns, which name what the frames of each step have
+    asks, pending, none = "NOT done AND ptr >= size(seq)", "ptr < size(seq)", "(done OR given IS NULL)"
+    dead = f"(done OR (NOT ({pending}) AND given IS NULL))"
+    more = [f"CASE WHEN {none} OR more IS NULL THEN sims ELSE zip_with(sims, more, (a, b) -> a + b) END AS sims"] if active else []
+    moved = [f"CASE WHEN {none} THEN seq ELSE concat(seq, given) END AS seq", f"ptr + CASE WHEN {dead} THEN 0 ELSE 1 END AS ptr", "words", f"{dead} AS done", "uses", *more, f"NOT {dead} AS moved"]
+    word = F.element_at("seq", F.col("ptr"))
+    stopped = F.col("moved") & word.isin(list(limits.stops))
+    words = F.when(F.col("moved") & ~stopped, F.concat("words", F.array(word))).otherwise(F.col("words"))
+    ended = F.col("done") | stopped
+    last = [f"element_at(seq, {i - n_from}) AS {f}" for i, f in enumerate(from_columns(n_from))]
+    chosen = activated(f"transform(sims, s -> s / {MILLION!r}D)", active, chains.total) if active else None
+    uses = F.expr(f"CASE WHEN {asks} THEN concat(uses, transform(chosen, x -> CAST(x.expert AS INT))) ELSE uses END")
     following = before = None
     for step in range(steps):
         state = cut(state.withColumn("done", full))
@@ -60,30 +72,19 @@ def generate(prompts: DataFrame, chains: Chains, limits: Limits, steps: int, see
         live, shortest = state.where("not done").agg(F.count("*"), F.min(F.size("seq"))).first()
         if not live:
             break
-        asks = ~F.col("done") & (F.col("ptr") >= F.size("seq"))
         if active:
-            state = state.withColumn("chosen", activated(F.transform("sims", lambda s: s / MILLION), active, chains.total))
-            state = state.withColumn("uses", F.when(asks, F.concat("uses", F.transform("chosen", lambda x: x["expert"].cast("int")))).otherwise(F.col("uses")))
+            state = state.withColumn("chosen", chosen).withColumn("uses", uses)
         asking = state.where(asks)
         if seed is None and not active and shortest >= n_from:
             following = cut(successors(chains.base, n_from, chains.n_to)) if following is None else following
-            last = [F.element_at("seq", i - n_from).alias(f) for i, f in enumerate(from_columns(n_from))]
-            found = asking.select("query_id", *last).join(following, from_columns(n_from))
+            found = asking.selectExpr("query_id", *last).join(following, from_columns(n_from))
         else:
             found = predict(asking, chains, active, max(1, limits.top_k), F.lit(step), seed, shortest)
-        found = found.select("query_id", F.array(*tos).alias("to"))
+        found = found.selectExpr("query_id", f"array({', '.join(tos)}) AS given")
         if active:
             found = _with_ranks(found, ranks, chains.n_to)
-        state = state.join(found, "query_id", "left")
-        pending, none = F.col("ptr") < F.size("seq"), F.col("done") | F.col("to").isNull()
-        seq = F.when(none, F.col("seq")).otherwise(F.concat("seq", "to"))
-        dead = F.col("done") | (~pending & F.col("to").isNull())
-        more = [F.when(none | F.col("more").isNull(), F.col("sims")).otherwise(F.zip_with("sims", "more", lambda a, b: a + b)).alias("sims")] if active else []
-        state = state.select("query_id", seq.alias("seq"), (F.col("ptr") + F.when(dead, 0).otherwise(1)).alias("ptr"), "words", dead.alias("done"), "uses", *more, (~dead).alias("moved"))
-        word = F.element_at("seq", F.col("ptr"))
-        stopped = F.col("moved") & word.isin(list(limits.stops))
-        words = F.when(F.col("moved") & ~stopped, F.concat("words", F.array(word))).otherwise(F.col("words"))
-        state = state.withColumn("words", words).withColumn("done", F.col("done") | stopped).drop("moved")
+        state = state.join(found, "query_id", "left").selectExpr("query_id", *moved)
+        state = state.withColumns({"words": words, "done": ended}).drop("moved")
     else:
         state = cut(state.withColumn("done", full))
         release(before)
@@ -98,13 +99,13 @@ def _word_ranks(ranks: DataFrame, total: int) -> DataFrame:
 
 
 def _with_ranks(found: DataFrame, ranks: DataFrame, n_to: int) -> DataFrame:
-    """found (query_id, to) with `more`, the sum of the words' ranks by expert."""
+    """found (query_id, given) with `more`, the sum of the words' ranks by expert."""
     for i in range(n_to):
-        found = found.withColumn("word", F.get("to", F.lit(i))).join(ranks.withColumnRenamed("ranks", f"ranks{i}"), "word", "left").drop("word")
+        found = found.withColumn("word", F.get("given", F.lit(i))).join(ranks.withColumnRenamed("ranks", f"ranks{i}"), "word", "left").drop("word")
     more = F.col("ranks0")
     for i in range(1, n_to):
         more = F.when(more.isNull(), F.col(f"ranks{i}")).when(F.col(f"ranks{i}").isNull(), more).otherwise(F.zip_with(more, f"ranks{i}", lambda a, b: a + b))
-    return found.select("query_id", "to", more.alias("more"))
+    return found.select("query_id", "given", more.alias("more"))
 
 
 def _usage(state: DataFrame, total: int) -> DataFrame:

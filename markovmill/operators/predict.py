@@ -45,18 +45,18 @@ def multipliers(activated: DataFrame, active: int, total: int) -> DataFrame:
     return activated.withColumn("multiplier", share * F.sqrt(F.lit(total / active) if active else F.lit(0.0)))
 
 
-def activated(sims: Column, active: int, total: int) -> Column:
+def activated(sims: str, active: int, total: int) -> Column:
     """activate() and multipliers() of one row: an array of (expert, multiplier) by an array of the experts' similarities, in place order."""
-    chosen = F.slice(F.array_sort(F.transform(sims, lambda s, e: F.struct((-s).alias("o"), e.alias("expert")))), 1, active)
-    whole = F.aggregate(chosen, F.lit(0.0), lambda a, x: a - x["o"])
-    return F.transform(chosen, lambda x: F.struct(x["expert"].alias("expert"), (F.try_divide(-x["o"], whole) * F.sqrt(F.lit(total / active))).alias("multiplier")))
+    chosen = f"slice(array_sort(transform({sims}, (s, e) -> struct(-s AS o, e AS expert))), 1, {active})"
+    whole = f"aggregate({chosen}, 0D, (a, y) -> a - y.o)"
+    return F.expr(f"transform({chosen}, x -> struct(x.expert AS expert, try_divide(-x.o, {whole}) * sqrt({total / active!r}D) AS multiplier))")
 
 
 def choose(state: DataFrame, chains: Chains, active: int) -> DataFrame:
     """state (query_id, seq) with `chosen`, the experts that the whole sequence activates and their multipliers."""
     sims = F.transform(F.array_sort(F.collect_list(F.struct("expert", "sim"))), lambda x: x["sim"])
     found = similarities(state, chains.ranks, chains.total).groupBy("query_id").agg(sims.alias("sims"))
-    return state.join(found, "query_id").withColumn("chosen", activated(F.col("sims"), active, chains.total)).drop("sims")
+    return state.join(found, "query_id").withColumn("chosen", activated("sims", active, chains.total)).drop("sims")
 
 
 def candidates(state: DataFrame, chains: Chains, active: int, shortest: int = 0) -> DataFrame:
@@ -75,25 +75,26 @@ def candidates(state: DataFrame, chains: Chains, active: int, shortest: int = 0)
         asked = state.select("query_id", "seq", F.posexplode("chosen").alias("slot", "x")).select("query_id", "seq", (F.col("slot") + 1).alias("slot"), "x.expert", "x.multiplier")
         own = find_transitions(asked, chains.experts.select("expert", *names, "weight"), chains.n_from, ["query_id", "slot", "multiplier"], ["expert"], shortest=shortest)
         found = found.unionByName(own.drop("expert"))
-    w, slots = (F.col("weight") + 1).cast("double"), range(active + 1)
-    each = [F.max(F.when(F.col("slot") == i, x)).alias(f"{n}{i}_") for i in slots for n, x in (("w", w), ("m", F.col("multiplier")))]
-    found = found.groupBy("query_id", *names).agg(*each, F.sum(w).alias("w_"))
-    found = found.join(found.groupBy("query_id").agg(F.sum("w_").alias("total_")), "query_id")
-
-    def share(i: int) -> Column:
-        p = F.col(f"w{i}_") / F.col("total_") * F.col(f"m{i}_")
-        return F.when(F.col(f"w{i}_").isNull(), 0.0).when(F.isnan(p) | p.isNull() | (p < EPSILON), EPSILON).otherwise(p)
-
-    p = share(0)
-    for i in slots[1:]:
-        p = p + share(i)
-    return found.select("query_id", *names, p.alias("p"))
+    together = shortest >= chains.n_from
+    if together:
+        # a full context has no more successors than there are words: one exchange by query serves sums, places and draws
+        found = found.repartition("query_id")
+    w, slots = "CAST(weight + 1 AS DOUBLE)", range(active + 1)
+    each = [f"max(CASE WHEN slot = {i} THEN {x} END) AS {n}{i}_" for i in slots for n, x in (("w", w), ("m", "multiplier"))]
+    found = found.groupBy("query_id", *names).agg(*map(F.expr, [*each, f"sum({w}) AS w_"]))
+    if together:
+        found = found.selectExpr("*", "sum(w_) OVER (PARTITION BY query_id) AS total_")
+    else:
+        found = found.join(found.groupBy("query_id").agg(F.sum("w_").alias("total_")), "query_id")
+    found = found.selectExpr("query_id", *names, *[f"w{i}_ / total_ * m{i}_ AS p{i}_" for i in slots], *[f"w{i}_" for i in slots])
+    shares = [f"CASE WHEN w{i}_ IS NULL THEN 0D WHEN isnan(p{i}_) OR p{i}_ IS NULL OR p{i}_ < {EPSILON!r}D THEN {EPSILON!r}D ELSE p{i}_ END" for i in slots]
+    return found.selectExpr("query_id", *names, f"{' + '.join(shares)} AS p")
 
 
 def top_candidates(found: DataFrame, n_from: int, n_to: int, k: int) -> DataFrame:
     """The k likeliest candidates of each query with their place; of equal ones the first by words."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("p"), *from_columns(n_from), *to_columns(n_to))
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    words = ", ".join(from_columns(n_from) + to_columns(n_to))
+    return found.selectExpr("*", f"row_number() OVER (PARTITION BY query_id ORDER BY p DESC, {words}) AS place").where(f"place <= {k}")
 
 
 def uniform(seed: int, step: Column) -> Column:
@@ -104,11 +105,10 @@ def uniform(seed: int, step: Column) -> Column:
 
 def draw(top: DataFrame, u: Column) -> DataFrame:
     """The first candidate whose cumulative weight reaches u times the sum; the first of all if rounding leaves none."""
-    w = Window.partitionBy("query_id")
-    cum = F.sum("p").over(w.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    marked = top.withColumn("cum", cum).withColumn("target", u * F.max("cum").over(w))
-    chosen = F.coalesce(F.min(F.when(F.col("cum") >= F.col("target"), F.col("place"))).over(w), F.lit(1))
-    return marked.withColumn("chosen", chosen).where(F.col("place") == F.col("chosen"))
+    cum = "sum(p) OVER (PARTITION BY query_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum"
+    marked = top.selectExpr("*", cum).withColumn("u", u).selectExpr("*", "u * max(cum) OVER (PARTITION BY query_id) AS target").drop("u")
+    chosen = "coalesce(min(CASE WHEN cum >= target THEN place END) OVER (PARTITION BY query_id), 1) AS chosen"
+    return marked.selectExpr("*", chosen).where("place = chosen")
 
 
 def predict(state: DataFrame, chains: Chains, active: int, top_k: int, step: Column, seed: int | None = None, shortest: int = 0) -> DataFrame:

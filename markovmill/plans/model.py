@@ -15,7 +15,7 @@ from ..operators.predict import Chains
 from ..operators.vocabulary import build_vocabulary, vocabulary_size
 from ..sources.corpora import read_files, tokenised
 from ..sources.recipe import Recipe
-from .lineage import cut
+from .lineage import cut, release
 
 TABLES = ("metadata", "vocabulary", "transitions", "expert_transitions", "ranks")
 # Metadata keys
@@ -116,7 +116,9 @@ class Model:
         limits = self.limits()
         start, stop = self.keys.get(START_TOKEN, START), self.keys.get(STOP_TOKEN, START)
         ready = cut(prepare_prompts(prompts, self.vocabulary, self.tokenizer, self.keys.get(TEMPLATE, "{{content}}"), start, stop))
-        return generate(ready, self.chains(), limits, limits.max_tokens if steps is None else steps, seed)
+        found = generate(ready, self.chains(), limits, limits.max_tokens if steps is None else steps, seed)
+        release(ready)
+        return found
 
     def summary(self) -> DataFrame:
         """(part, expert, items, bytes): vocabulary, base and each expert's transitions, and the sum of bytes."""

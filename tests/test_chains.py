@@ -259,20 +259,21 @@ def test_sums_over_a_sequence_are_those_of_its_steps(spark):
     d = docs(spark, *texts).cache()
     ranks = X.cluster_ranks(d, X.pick_seeds(d, 2, 2), X.term_frequency(d))
     own = X.expert_transitions(d, X.assign_documents(d, X.similarity(d, ranks), 2), 1, 1)
-    chains = Chains(base_transitions(d, 1, 1), own, ranks, 1, 1, 2)
+    ranks = cut(ranks)
+    chains = Chains(cut(base_transitions(d, 1, 1)), cut(own), ranks, 1, 1, 2)
     asked = spark.createDataFrame([(0, ["a"]), (1, ["c", "d"]), (2, ["none"])], "query_id int, seq array<string>")
-    found, used = generate(asked, chains, Limits(1, 3, 12), 12, seed=3)
+    found, used = generate(asked, chains, Limits(1, 3, 8), 8, seed=3)
     words, uses = {r.query_id: r.words for r in found.collect()}, {(r.query_id, r.expert): r.uses for r in used.collect()}
     state, count = {0: ["a"], 1: ["c", "d"], 2: ["none"]}, {}
-    for step in range(12):
-        live = {k: s for k, s in state.items() if len(s) < 12}
+    for step in range(8):
+        live = {k: s for k, s in state.items() if len(s) < 8}
         rows_ = spark.createDataFrame(list(live.items()), "query_id int, seq array<string>") if live else None
         if rows_ is None:
             break
         for r in activate(similarities(rows_, ranks, 2), 1).collect():
             count[r.query_id, r.expert] = count.get((r.query_id, r.expert), 0) + 1
         picked = {r.query_id: r.t0 for r in predict(rows_, chains, 1, 3, F.lit(step), 3).collect()}
-        state = {k: [*s, picked[k]] if k in picked and picked[k] not in Limits().stops else [*s, *["end"] * 12] for k, s in live.items()} | {k: s for k, s in state.items() if k not in live}
+        state = {k: [*s, picked[k]] if k in picked and picked[k] not in Limits().stops else [*s, *["end"] * 8] for k, s in live.items()} | {k: s for k, s in state.items() if k not in live}
     want = {k: [w for w in s if w != "end"] for k, s in state.items()}
     assert {k: w for k, w in words.items()} == {0: want[0][1:], 1: want[1][2:], 2: []}
     assert {k: n for k, n in uses.items() if n} == count
