@@ -40,7 +40,9 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
 
 def fixed_point(count: Column, total: Column) -> Column:
     """A share in single precision as a whole number of 2^-32, cut off, at most 2^32 - 1."""
-    share = (count.cast("float").cast("double") / total.cast("float").cast("double")).cast("float").cast("double")
+    # greatest() keeps the casts apart: Spark takes bigint to float to double for bigint to double, without rounding in between
+    single = [F.greatest(c.cast("float"), F.lit(0).cast("float")).cast("double") for c in (count, total)]
+    share = (single[0] / single[1]).cast("float").cast("double")
     return F.least(F.floor(share * float(2**32)).cast("bigint"), F.lit(MOST_WEIGHT).cast("bigint"))
 
 

@@ -1,4 +1,5 @@
 import math
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from markovmill.functions.text import WordTokenizer
 from markovmill.operators import experts as X
 from markovmill.operators.generate import Limits, generate
 from markovmill.operators.lookup import find_transitions
-from markovmill.operators.ngrams import base_transitions, count_transitions, windows
+from markovmill.operators.ngrams import base_transitions, count_transitions, weigh, windows
 from markovmill.operators.predict import Chains, activate, candidates, draw, predict, similarities, top_candidates
 from markovmill.operators.vocabulary import build_vocabulary, decode_ids, encode, id_words, vocabulary_size, word_ids
 from markovmill.plans.lineage import cut, release
@@ -65,6 +66,18 @@ def test_copies_and_weights(spark):
     assert [r.weight for r in base_transitions(docs(spark, "a b")).collect()] == [M]
 
 
+@pytest.mark.parametrize("total", [2**24 + 1, 24_857_627, 100_000_001])
+def test_totals_beyond_single_precision_are_rounded(spark, total):
+    def single(x):
+        return struct.unpack("f", struct.pack("f", x))[0]
+
+    n = 3000
+    rest = total - n * (n - 1) // 2
+    counts = spark.range(1, n).unionByName(spark.createDataFrame([(rest,)], "id bigint")).withColumnRenamed("id", "count")
+    got = {r["count"]: r.weight for r in weigh(counts).collect()}
+    assert got == {c: min(M, math.floor(single(single(c) / single(total)) * 2**32)) for c in (*range(1, n), rest)}
+
+
 A = [("1", "2", "3", "4"), ("2", "3", "4", "5"), ("3", "4", "5", "1")]
 B = [("1", "0", "1"), ("2", "0", "2"), ("3", "1", "3"), ("4", "1", "4"), ("5", "1", "5")]
 
