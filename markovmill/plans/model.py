@@ -126,11 +126,17 @@ class Model:
 
 
 def model_summary(vocab: DataFrame, base: DataFrame, own: DataFrame, n_from: int, n_to: int) -> DataFrame:
+    none = F.lit(None).cast("int").alias("expert")
+    items = base.agg(F.count("*").alias("items")).select(none, "items")
+    return summed_up(vocab, items.unionByName(own.groupBy("expert").agg(F.count("*").alias("items"))), n_from, n_to)
+
+
+def summed_up(vocab: DataFrame, items: DataFrame, n_from: int, n_to: int) -> DataFrame:
+    """items: (expert, items), the number of transitions, the base chain's at null."""
     none = F.lit(None).cast("int")
-    size = F.count("*") * transitions_bytes(n_from, n_to) + 2
+    part = F.when(F.col("expert").isNull(), "base").otherwise("expert").alias("part")
     rows = vocabulary_size(vocab).select(F.lit("vocabulary").alias("part"), none.alias("expert"), F.col("words").alias("items"), "bytes")
-    rows = rows.unionByName(base.agg(F.count("*").alias("items"), size.alias("bytes")).select(F.lit("base").alias("part"), none.alias("expert"), "items", "bytes"))
-    each = own.groupBy("expert").agg(F.count("*").alias("items"), size.alias("bytes"))
-    rows = rows.unionByName(each.select(F.lit("expert").alias("part"), "expert", "items", "bytes"))
+    rows = rows.unionByName(items.select(part, "expert", "items", (F.col("items") * transitions_bytes(n_from, n_to) + 2).alias("bytes")))
+    rows = cut(rows)  # a few, read twice
     total = rows.agg(F.sum("items").alias("items"), F.sum("bytes").alias("bytes"))
     return rows.unionByName(total.select(F.lit("total").alias("part"), none.alias("expert"), "items", "bytes"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from markovmill.functions.text import WordTokenizer
 from markovmill.operators import experts as X
 from markovmill.operators.generate import Limits, generate
-from markovmill.operators.lookup import find_transitions
+from markovmill.operators.lookup import find_transitions, index, near
 from markovmill.operators.ngrams import base_transitions, count_transitions, weigh, windows
 from markovmill.operators.predict import Chains, activate, candidates, draw, predict, similarities, top_candidates
 from markovmill.operators.vocabulary import build_vocabulary, decode_ids, encode, id_words, vocabulary_size, word_ids
@@ -319,3 +319,71 @@ def test_streams(spark, tmp_path):
     out = []
     answer_stream(asked, model, lambda df, n: out.extend(df.collect()), 2, str(tmp_path / "check2"), None, True).awaitTermination(120)
     assert [r.words for r in out] == [["b", "c"]]
+
+
+def corpus(spark):
+    return cut(docs(spark, "a b c a b d", "a b c a b d", "b c a b e", "c a b", "", "a b d b c a", "x y"))
+
+
+def test_one_pass_gives_both_chains_and_those_near_prompts(spark):
+    d = corpus(spark)
+    own = d.select("doc_id", (F.col("doc_id") % 3).cast("int").alias("expert"))
+    base, each = base_transitions(d), X.expert_transitions(d, own)
+    marked = X.marks(d, own)
+    both = X.mixed_transitions(d, marked, 4).cache()
+    assert rows(both.select("f0", "f1", "t0", "count", "weight")) == rows(base)
+    held = both.select(F.posexplode("own").alias("expert", "w"), "f0", "f1", "t0", "counts").where("w IS NOT NULL")
+    assert rows(held.selectExpr("expert", "f0", "f1", "t0", "counts[expert]", "w")) == rows(each.select("expert", "f0", "f1", "t0", "count", "weight"))
+    asked = cut(spark.createDataFrame([(0, ["z", "a", "b"]), (1, ["b"]), (2, ["a", "b"]), (3, ["q", "q"])], "query_id int, seq array<string>"))
+    few = X.mixed_transitions(d, marked, 4, near=asked)
+    assert rows(few) == rows(both.where("f1 = 'b'")) and few.count()
+    # what is dealt out is what follows the prompts: no exchange before the join with them
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") >= 2
+
+
+@pytest.mark.parametrize("seed", [None, 5])
+def test_generation_by_an_index(spark, seed, monkeypatch):
+    d = corpus(spark)
+    ranks = cut(X.cluster_ranks(d, cut(X.pick_seeds(d, 2, 2)), X.term_frequency(d)))
+    own = X.assign_documents(d, X.similarity(d, ranks), 2)
+    marked = X.marks(d, own)
+    both = index(X.mixed_transitions(d, marked, 2, groups=3).drop("counts"))
+    prompts = cut(spark.createDataFrame([(i, s.split()) for i, s in enumerate(("a b", "b", "c a", "x a b", "<|start|>", "q q", "y a b"))], "query_id int, seq array<string>"))
+    active = 0 if seed is None else 1
+    limits = Limits(active, 3, 12)
+    plain = generate(prompts, Chains(base_transitions(d), X.expert_transitions(d, own), ranks, 2, 1, 2), limits, 12, seed)
+    asked = []
+    monkeypatch.setattr("markovmill.operators.generate.near", lambda t, groups: asked.append(groups) or near(t, groups))
+    fast = generate(prompts, Chains(None, None, ranks, 2, 1, 2, both, 3), limits, 12, seed)
+    assert rows(fast[0]) == rows(plain[0]) and rows(fast[1]) == rows(plain[1])
+    assert asked and all(set(g) <= {0, 1, 2} for g in asked)
+    # a step reads the folders of its contexts alone
+    assert {r.group_ for r in both.where(F.col("group_").isin([1])).select("group_").collect()} <= {1}
+
+
+def test_alike_prompts_are_one_query(spark, monkeypatch):
+    d = corpus(spark)
+    prompts = cut(spark.createDataFrame([(i, [w, "a", "b"]) for i, w in enumerate("abcdefgh")] + [(8, ["x"] * 30)], "query_id int, seq array<string>"))
+    sizes, own = [], generate.__globals__["_generate"]
+    monkeypatch.setitem(generate.__globals__, "_generate", lambda p, *a: sizes.append(p.count()) or own(p, *a))
+    got = rows(generate(prompts, Chains(base_transitions(d), None, None, 2, 1, 0), Limits(0, 1, 9), 9)[0])
+    assert sizes == [2] and len(got) == 9 and len({tuple(r[1]) for r in got[:8]}) == 1 and got[0][1] and got[8][1:] == ([], True)
+
+
+def test_counts_of_documents_deal_out_words_alone(spark):
+    d = corpus(spark)
+    found = {r.word: (r.docfreq, r.tf) for r in X.term_frequency(d).collect()}
+    tokens = [r.tokens for r in d.collect()]
+    n = sum(map(len, tokens))
+    assert found == {w: (k, k / n) for w in {x for t in tokens for x in t} for k in [sum(w in t for t in tokens)]}
+    assert "doc_id" not in X.word_documents(d)._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+
+
+def test_totals_and_rows_share_one_count(spark):
+    d = corpus(spark)
+    base = base_transitions(d)
+    joined = base.join(build_vocabulary(d), base.f0 == F.col("word"))
+    joined.collect()
+    filters = [x for x in joined._jdf.queryExecution().optimizedPlan().toString().split("\n") if "isnotnull(f0" in x]
+    assert len(filters) == 2 and all("isnotnull(t0" in x for x in filters)
