@@ -24,17 +24,26 @@ def windows(docs: DataFrame, n_from: int, n_to: int, keep: list[str] = (), inclu
     m = F.greatest(F.size("tokens") - size + int(include_last), F.lit(0))
     zipped = F.arrays_zip(*[F.slice("tokens", k + 1, m).alias(c) for k, c in enumerate(names)])
     # outer, and short documents left out afterwards: conditions on tokens would move down and make them twice
-    # all of them, as joins ask for the same: else totals and rows of one aggregate differ in conditions, and it is made twice
-    return docs.select(*keep, F.inline_outer(zipped)).toDF(*keep, *names).where(" AND ".join(f"{c} IS NOT NULL" for c in names))
+    return docs.select(*keep, F.inline_outer(zipped)).toDF(*keep, *names).where(F.col(names[0]).isNotNull())
 
 
 def count_transitions(docs: DataFrame, n_from: int, n_to: int, keep: list[str] = (), include_last: bool = False) -> DataFrame:
     """keep, f0.., t0.., count."""
-    names = [*keep, *from_columns(n_from), *to_columns(n_to)]
-    return windows(docs, n_from, n_to, keep, include_last).groupBy(*names).agg(F.count("*").alias("count"))
+    names = from_columns(n_from) + to_columns(n_to)
+    # one string as key: fewer bytes in the exchange, less work in the aggregate
+    rows = windows(docs, n_from, n_to, keep, include_last).select(*keep, packed(F.array(*names)).alias("key"))
+    counts = rows.groupBy(*keep, "key").agg(F.count("*").alias("count"))
+    return named(counts, names).select(*keep, *names, "count")
 
 
-def packed(tokens: str = "tokens") -> Column:
+def named(counts: DataFrame, names: list[str]) -> DataFrame:
+    """counts with columns of these names in the place of `key`, packed words. They are never null, and so declared: else a join's condition
+    to that effect would move below the aggregate of its rows, but not of its totals, and it would be made twice."""
+    split = counts.withColumn("key", unpacked("key"))
+    return split.withColumns({c: F.coalesce(F.get("key", F.lit(i)), F.lit("")) for i, c in enumerate(names)}).drop("key")
+
+
+def packed(tokens: str | Column = "tokens") -> Column:
     """Tokens as one string: under half of an array's bytes in an exchange. Tokens have no spaces, at which the tokenizer splits."""
     return F.array_join(tokens, " ")
 
